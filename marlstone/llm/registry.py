@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from marlstone.llm import chat_format, exact_dedup
+import public_tokenizers
+from marlstone.llm import byte_bpe, chat_format, decontaminate, exact_dedup
 from marlstone.llm.shared import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -22,6 +23,16 @@ def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.op2_chat_format(spark, table(spark, sf_dir, "conversations"))
 
 
+def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All of `documents` against all of `benchmark`."""
+    return decontaminate.op7_decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All of `documents`, encoded and decoded; SQL has no BPE."""
+    return byte_bpe.encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, with_ids=False)
+
+
 SQL_OP1 = """
 SELECT doc_id,
        max(doc_id) OVER (PARTITION BY coalesce(text, '')) AS keep_id,
@@ -54,11 +65,37 @@ FROM s GROUP BY conv_id
 """
 
 
+SQL_OP7 = r"""
+WITH word AS (
+  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM documents
+), item AS (
+  SELECT CAST(item_id AS VARCHAR) AS item_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM benchmark
+), win AS (
+  SELECT DISTINCT item_id, n, array_to_string(w[i:i + n - 1], ' ') AS key
+  FROM (SELECT item_id, w, least(10, len(w)) AS n, unnest(range(1, greatest(1, len(w) - 9) + 1)) AS i FROM item WHERE len(w) > 0)
+), place AS (
+  SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM word
+), hit AS (
+  SELECT doc_id, i, win.n, item_id
+  FROM place JOIN win ON array_to_string(w[i:i + 9], ' ') = key AND win.n = 10
+  UNION ALL
+  SELECT doc_id, i, win.n, item_id
+  FROM place JOIN (SELECT * FROM win WHERE n < 10) win ON array_to_string(w[i:i + win.n - 1], ' ') = key
+), hits AS (
+  SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS p FROM (SELECT DISTINCT doc_id, i, n FROM hit)) GROUP BY doc_id
+), items AS (
+  SELECT doc_id, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS ids FROM (SELECT DISTINCT doc_id, item_id FROM hit) GROUP BY doc_id
+)
+SELECT word.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM word LEFT JOIN hits USING (doc_id) LEFT JOIN items USING (doc_id)
+"""
+
+
 def queries() -> dict[str, Query]:
     """Name to a function of (spark, sf_dir)."""
-    return {"op1_exact_dedup": op1_exact_dedup, "op2_chat_format": op2_chat_format}
+    return {"op1_exact_dedup": op1_exact_dedup, "op2_chat_format": op2_chat_format, "op7_decontaminate": op7_decontaminate, "op8_byte_bpe": op8_byte_bpe}
 
 
 def oracle_sql() -> dict[str, str]:
     """Name to DuckDB SQL over views named as the tables."""
-    return {"op1_exact_dedup": SQL_OP1, "op2_chat_format": SQL_OP2}
+    return {"op1_exact_dedup": SQL_OP1, "op2_chat_format": SQL_OP2, "op7_decontaminate": SQL_OP7}
