@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import public_tokenizers
-from marlstone.llm import byte_bpe, chat_format, decontaminate, exact_dedup
+from marlstone.llm import byte_bpe, chat_format, decontaminate, exact_dedup, near_dedup
 from marlstone.llm.shared import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -23,6 +23,11 @@ def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.op2_chat_format(spark, table(spark, sf_dir, "conversations"))
 
 
+def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All of `documents`: components of links at a similarity of 0.85; SQL can't walk the links of whole tables in time."""
+    return near_dedup.op4_minhash_near_dedup(table(spark, sf_dir, "documents"))
+
+
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All of `documents` against all of `benchmark`."""
     return decontaminate.op7_decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -93,7 +98,7 @@ FROM word LEFT JOIN hits USING (doc_id) LEFT JOIN items USING (doc_id)
 
 def queries() -> dict[str, Query]:
     """Name to a function of (spark, sf_dir)."""
-    return {"op1_exact_dedup": op1_exact_dedup, "op2_chat_format": op2_chat_format, "op7_decontaminate": op7_decontaminate, "op8_byte_bpe": op8_byte_bpe}
+    return {"op1_exact_dedup": op1_exact_dedup, "op2_chat_format": op2_chat_format, "op4_minhash_near_dedup": op4_minhash_near_dedup, "op7_decontaminate": op7_decontaminate, "op8_byte_bpe": op8_byte_bpe}
 
 
 def oracle_sql() -> dict[str, str]:
