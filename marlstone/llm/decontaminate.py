@@ -15,6 +15,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
+from itertools import repeat
 
 import ahocorasick
 import pyarrow as pa
@@ -29,7 +30,8 @@ MAX_BLOCK_BYTES = 1_000_000
 CHAIN = 4
 
 #: Bytes outside words become spaces, A-Z becomes a-z, everything else stays.
-WORD = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
+#: WORD finds the same words in the original text, where A-Z are not folded yet.
+WORD = re.compile("[^\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+")
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
 
 
@@ -59,8 +61,8 @@ class Windows:
         """Merged [first, end) word ranges that windows cover, and the items whose windows occur."""
         if self.empty or not words:
             return [], set()
-        number, ranges, items = self.number.get, [], set()
-        for last, (n, ids) in self.machine.iter(tuple([number(w, 0) for w in words])):
+        ranges, items = [], set()
+        for last, (n, ids) in self.machine.iter(tuple(map(self.number.get, words, repeat(0)))):
             ranges.append((last + 1 - n, last + 1))
             items |= ids
         return merged(ranges), items
@@ -104,9 +106,8 @@ def blocks_of(benchmark: DataFrame, item_col: str, text_col: str, max_block_byte
     yield block
 
 
-HITS = "doc_id long, text string, n_words long, ranges array<struct<first:int,end:int>>, spans array<struct<start:int,end:int>>, items array<string>"
 _PAIR = lambda a, b: pa.list_(pa.struct([(a, pa.int32()), (b, pa.int32())]))
-_TYPES = [("doc_id", pa.int64()), ("text", pa.string()), ("n_words", pa.int64()), ("ranges", _PAIR("first", "end")), ("spans", _PAIR("start", "end")), ("items", pa.list_(pa.string()))]
+_FIELDS = [("doc_id", "long", pa.int64()), ("n_words", "long", pa.int64()), ("ranges", "array<struct<first:int,end:int>>", _PAIR("first", "end")), ("spans", "array<struct<start:int,end:int>>", _PAIR("start", "end")), ("items", "array<string>", pa.list_(pa.string())), ("text", "string", pa.string())]
 
 
 def find_hits(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, max_block_bytes: int = MAX_BLOCK_BYTES) -> DataFrame:
@@ -116,34 +117,37 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", tex
     occur; repeated items count once. An empty benchmark hits nothing, but every document is
     returned. Other columns are ignored.
     """
-    out = docs.select(
-        F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.lit(0).cast("long").alias("n_words"),
-        F.array().cast("array<struct<first:int,end:int>>").alias("ranges"), F.array().cast("array<struct<start:int,end:int>>").alias("spans"), F.array().cast("array<string>").alias("items"),
-    )
-    for k, (shipped, key) in enumerate(_shipped_blocks(docs, benchmark, item_col, item_text_col, window, max_block_bytes)):
+    out = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    blocks = list(_shipped_blocks(docs, benchmark, item_col, item_text_col, window, max_block_bytes))
+    for k, (shipped, key) in enumerate(blocks):
+        fields = _FIELDS if k + 1 < len(blocks) else _FIELDS[:-1]
 
-        def scan(batches: Iterator[pa.RecordBatch], shipped=shipped, key=key) -> Iterator[pa.RecordBatch]:
+        def scan(batches: Iterator[pa.RecordBatch], shipped=shipped, key=key, fields=fields, first=not k) -> Iterator[pa.RecordBatch]:
             windows = _automaton(shipped.value, window, key)
-            schema = pa.schema(_TYPES)
+            schema = pa.schema([(n, t) for n, _, t in fields])
             for batch in batches:
-                n_words, all_ranges, all_spans, all_items = [], [], [], []
-                for text, before, items in zip(batch.column(1), batch.column(3).to_pylist(), batch.column(5).to_pylist(), strict=True):
+                cols = {"n_words": [], "ranges": [], "spans": [], "items": []}
+                texts = batch.column(batch.schema.get_field_index("text"))
+                before = repeat((None, None)) if first else zip(batch.column(2).to_pylist(), batch.column(4).to_pylist(), strict=True)
+                for text, (old_ranges, old_items) in zip(texts, before, strict=False):
                     text = text.as_py()
                     words = words_of(text)
                     ranges, found = windows.scan(words)
-                    ranges = merged([*ranges, *((r["first"], r["end"]) for r in before)])
+                    if old_ranges:
+                        ranges = merged([*ranges, *((r["first"], r["end"]) for r in old_ranges)])
+                        found = found.union(old_items)
                     at = [m.span() for m in WORD.finditer(text)] if ranges else []
-                    n_words.append(len(words))
-                    all_ranges.append([{"first": a, "end": b} for a, b in ranges])
-                    all_spans.append([{"start": at[a][0], "end": at[b - 1][1]} for a, b in ranges])
-                    all_items.append(sorted(found.union(items)))
-                made = [pa.array(c, t) for c, (_, t) in zip((n_words, all_ranges, all_spans, all_items), _TYPES[2:], strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1).cast(pa.string()), *made], schema=schema)
+                    cols["n_words"].append(len(words))
+                    cols["ranges"].append([{"first": a, "end": b} for a, b in ranges])
+                    cols["spans"].append([{"start": at[a][0], "end": at[b - 1][1]} for a, b in ranges])
+                    cols["items"].append(sorted(found))
+                cols |= {"doc_id": batch.column(0), "text": texts}
+                yield pa.RecordBatch.from_arrays([pa.array(cols[n], t) if isinstance(cols[n], list) else cols[n].cast(t) for n, _, t in fields], schema=schema)
 
         if k and k % CHAIN == 0:
             out = materialise(out, "hits")
-        out = out.mapInArrow(scan, HITS)
-    return out.drop("text")
+        out = out.mapInArrow(scan, ", ".join(f"{n} {t}" for n, t, _ in fields))
+    return out
 
 
 def _shipped_blocks(docs: DataFrame, benchmark: DataFrame, item_col: str, item_text_col: str, window: int, max_block_bytes: int) -> Iterator[tuple]:

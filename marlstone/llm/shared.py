@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The named input table of a scale directory; only Spark's reader touches the path."""
+    bounded_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -48,3 +49,8 @@ def drop_table(spark: SparkSession, df: DataFrame) -> None:
         if "/marlstone/" in parent:
             path = jvm.org.apache.hadoop.fs.Path(parent)
             path.getFileSystem(conf).delete(path, True)
+
+
+def bounded_batches(spark: SparkSession, max_bytes: int = 32_000_000) -> None:
+    """Bound the Arrow batches that Python workers get by bytes, so that long texts don't gather by the thousand."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(max_bytes))
