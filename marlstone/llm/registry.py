@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-import public_tokenizers
-from marlstone.llm import byte_bpe, chat_format, decontaminate, exact_dedup, near_dedup
-from marlstone.llm.shared import table
+import corpus_pipeline
+from marlstone.llm import byte_bpe, chat_format, decontaminate, exact_dedup, html_extract, lang_id, license_scan, near_dedup, quality, warc
+from marlstone.llm.shared import scratch_path, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -23,11 +24,28 @@ def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.op2_chat_format(spark, table(spark, sf_dir, "conversations"))
 
 
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All of `pages`, written as archives and read back."""
+    path = scratch_path(spark, "warc")
+    warc.write_archives(table(spark, sf_dir, "pages"), path)
+    return warc.captures(warc.assemble(warc.read_records(spark, path, with_payload=False)))
+
+
 def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All of `documents`: components of links at a similarity of 0.85; SQL can't walk the links of whole tables in time."""
     return near_dedup.op4_minhash_near_dedup(table(spark, sf_dir, "documents"))
 
 
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All of `documents`; SQL has no such model."""
+    return lang_id.op5_language_id(table(spark, sf_dir, "documents"))
+
+
+def op6_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All of `pages`; SQL can't parse markup."""
+    return html_extract.extract(table(spark, sf_dir, "pages"))
+
+
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All of `documents` against all of `benchmark`."""
     return decontaminate.op7_decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -38,6 +56,16 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, with_ids=False)
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All of `documents`, learning from `labels`; SQL has no such model."""
+    return quality.op9_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All of `documents` as files of a directory tree."""
+    return license_scan.op10_license_scan(table(spark, sf_dir, "documents"))
+
+
 SQL_OP1 = """
 SELECT doc_id,
        max(doc_id) OVER (PARTITION BY coalesce(text, '')) AS keep_id,
@@ -96,11 +124,61 @@ FROM word LEFT JOIN hits USING (doc_id) LEFT JOIN items USING (doc_id)
 """
 
 
+SQL_OP3 = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+first AS (SELECT html, min(page_id) AS page_id FROM p WHERE strlen(html) >= 100 GROUP BY html)
+SELECT p.page_id, CAST(strlen(p.html) AS BIGINT) AS payload_bytes, sha256(p.html) AS payload_digest,
+       CASE WHEN first.page_id IS NULL OR first.page_id = p.page_id THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN first.page_id <> p.page_id THEN first.page_id END AS refers_to
+FROM p LEFT JOIN first ON p.html = first.html
+"""
+
+
+def sql_op10() -> str:
+    """The licence scan in SQL, from the same templates."""
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
+    templates = ", ".join(f"({i}, {quoted(n)}, {quoted(t)})" for i, (n, t) in enumerate(license_scan.TEMPLATES))
+    anchor, name, token = (quoted(x) for x in (license_scan.ANCHOR, license_scan.LICENSE_FILE, license_scan.TOKEN))
+    return f"""
+    WITH template(place, name, said) AS (VALUES {templates}),
+    ttf AS (SELECT place, name, lower(word) AS word, count(*) AS tf FROM (SELECT place, name, unnest(regexp_extract_all(said, {token})) AS word FROM template) GROUP BY ALL),
+    vocab AS (SELECT DISTINCT word FROM ttf),
+    n AS (SELECT count(*) AS n FROM documents),
+    df AS (SELECT word, count(*) AS df FROM (SELECT DISTINCT rowid AS r, lower(unnest(regexp_extract_all(coalesce(text, ''), {token}))) AS word FROM (SELECT row_number() OVER () AS rowid, text FROM documents)) JOIN vocab USING (word) GROUP BY word),
+    idf AS (SELECT vocab.word, ln((1.0 + n) / (1 + coalesce(df, 0))) + 1 AS idf FROM vocab LEFT JOIN df USING (word), n),
+    tw AS (SELECT place, name, word, tf * idf AS w FROM ttf JOIN idf USING (word)),
+    tnorm AS (SELECT place, sqrt(sum(w * w)) AS norm FROM tw GROUP BY place),
+    unit AS (SELECT tw.place, name, word, w / norm AS w FROM tw JOIN tnorm USING (place)),
+    file AS (
+      SELECT doc_id, text, CASE WHEN doc_id % 80 = 0 THEN coalesce(source, 'none') || '/LICENSE'
+             WHEN doc_id % 40 = 0 THEN coalesce(source, 'none') || '/d' || (doc_id % 7) || '/LICENSE.txt'
+             ELSE coalesce(source, 'none') || '/d' || (doc_id % 7) || '/e' || (doc_id % 5) || '/f' || doc_id || '.txt' END AS path FROM documents),
+    line AS (SELECT doc_id, generate_subscripts(l, 1) AS line, unnest(l) AS said FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM file WHERE regexp_matches(text, {anchor}))),
+    ltf AS (SELECT doc_id, line, lower(word) AS word, count(*) AS tf FROM (SELECT doc_id, line, unnest(regexp_extract_all(said, {token})) AS word FROM line WHERE regexp_matches(said, {anchor})) GROUP BY ALL),
+    lw AS (SELECT doc_id, line, word, tf * coalesce(idf, ln(1.0 + n) + 1) AS w FROM ltf LEFT JOIN idf USING (word), n),
+    lnorm AS (SELECT doc_id, line, sqrt(sum(w * w)) AS norm FROM lw GROUP BY ALL),
+    sim AS (SELECT lw.doc_id, lw.line, place, name, round(sum(lw.w * unit.w) / any_value(norm), 9) AS score FROM lw JOIN unit USING (word) JOIN lnorm ON lw.doc_id = lnorm.doc_id AND lw.line = lnorm.line GROUP BY ALL),
+    own AS (SELECT doc_id, name AS own_license, score AS own_score FROM sim WHERE score >= {license_scan.THRESHOLD} QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, line, place) = 1),
+    f AS (SELECT doc_id, path, regexp_replace(path, '/?[^/]*$', '') AS dir, own_license, own_score FROM file LEFT JOIN own USING (doc_id)),
+    listed AS (SELECT dir, own_license FROM f WHERE own_license IS NOT NULL AND regexp_matches(regexp_extract(path, '[^/]*$'), {name}) QUALIFY row_number() OVER (PARTITION BY dir ORDER BY own_score DESC, path, own_license) = 1),
+    near AS (SELECT d.dir, l.dir AS license_dir, l.own_license AS dir_license FROM (SELECT DISTINCT dir FROM f) d JOIN listed l ON d.dir = l.dir OR starts_with(d.dir, l.dir || '/') OR l.dir = '' QUALIFY row_number() OVER (PARTITION BY d.dir ORDER BY length(l.dir) DESC) = 1)
+    SELECT doc_id, path, own_license, round(own_score, 4) AS own_score, coalesce(own_license, dir_license) AS license, CASE WHEN own_license IS NULL THEN license_dir END AS license_dir
+    FROM f LEFT JOIN near ON f.dir = near.dir
+    """
+
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The corpus pipeline over all of `documents`."""
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Query]:
     """Name to a function of (spark, sf_dir)."""
-    return {"op1_exact_dedup": op1_exact_dedup, "op2_chat_format": op2_chat_format, "op4_minhash_near_dedup": op4_minhash_near_dedup, "op7_decontaminate": op7_decontaminate, "op8_byte_bpe": op8_byte_bpe}
+    ops = (op1_exact_dedup, op2_chat_format, op3_warc, op4_minhash_near_dedup, op5_language_id, op6_html_extract, op7_decontaminate, op8_byte_bpe, op9_quality, op10_license_scan, pipeline)
+    return {f.__name__: f for f in ops}
 
 
 def oracle_sql() -> dict[str, str]:
     """Name to DuckDB SQL over views named as the tables."""
-    return {"op1_exact_dedup": SQL_OP1, "op2_chat_format": SQL_OP2, "op7_decontaminate": SQL_OP7}
+    found = {"op1_exact_dedup": SQL_OP1, "op2_chat_format": SQL_OP2, "op3_warc": SQL_OP3, "op7_decontaminate": SQL_OP7, "op10_license_scan": sql_op10()}
+    return found | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
