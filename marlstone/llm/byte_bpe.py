@@ -5,12 +5,15 @@ pair of neighbours is the encoding of its own bytes, and so the encodings of the
 form a tree in which each prefix has one last token. The transducer reads a byte at a time and keeps
 the prefixes from which a longer token may still grow; as soon as all of them agree on earlier tokens
 it emits those. The lookahead is bounded by the longest token. Its states (what is kept, relative to
-what is emitted) and their moves are built when first met and then reused.
+what is emitted) and their moves are built when first met and then reused. When MAX_STATES are built
+the table is full: a piece that leaves it is then run by simulating the machine, that is by the last
+tokens of its prefixes, without building states.
 """
 
 from __future__ import annotations
 
 import base64
+import gc
 import hashlib
 from collections.abc import Iterable, Iterator
 
@@ -20,9 +23,9 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: States of the transducer before it starts again from none, and pieces whose ids are remembered.
-MAX_STATES = 200_000
-MAX_PIECES = 300_000
+#: States of the transducer that are determinised, and pieces whose ids a generation remembers.
+MAX_STATES = 60_000
+MAX_PIECES = 600_000
 MAX_PIECE_CHARS = 64
 
 
@@ -72,15 +75,31 @@ class Vocabulary:
         self.rank = {base64.b64decode(a): int(b) for a, b in (line.split() for line in rank_file.splitlines() if line)}
         if missing := [b for b in range(256) if bytes([b]) not in self.rank]:
             raise ValueError(f"no token for the bytes {missing[:5]}")
-        self.token = {r: t for t, r in self.rank.items()}
-        self.growing = {t[:n] for t in self.rank for n in range(1, len(t))}
+        #: The tokens that merging their own bytes gives; the others only stand for a whole piece.
+        self.made = {t: r for t, r in self.rank.items() if len(t) == 1 or self.merges(t) == [r]}
+        self.token = np.empty(max(self.rank.values()) + 1, object)
+        for t, r in self.rank.items():
+            self.token[r] = t
+        #: The trie of those: byte to (the token that ends here or -1, the nodes below or None).
+        self.trie: dict[int, tuple[int, dict | None]] = {}
+        for t, r in sorted(self.made.items()):
+            node = self.trie
+            for byte in t[:-1]:
+                token, below = node[byte] if byte in node else (-1, None)
+                if below is None:
+                    below = {}
+                    node[byte] = (token, below)
+                node = below
+            node[t[-1]] = (r, node[t[-1]][1] if t[-1] in node else None)
         self.pattern = regex.compile(pattern)
-        self.pieces: dict[str, tuple[int, ...]] = {}
-        self._fits: dict[tuple[int, int], bool] = {}
-        self._own: dict[int, bool] = {}
+        self.young: dict[str, tuple[int, ...]] = {}
+        self.old: dict[str, tuple[int, ...]] = {}
+        #: For each left token, whether right tokens fit it; `_known` counts these.
+        self._fits: list[dict[int, bool]] = [{} for _ in self.token]
+        self._known = 0
         self._reset()
-        self.clean = np.zeros(max(self.token) + 1, bool)
-        for r, t in self.token.items():
+        self.clean = np.zeros(len(self.token), bool)
+        for t, r in self.rank.items():
             try:
                 t.decode()
                 self.clean[r] = True
@@ -104,80 +123,132 @@ class Vocabulary:
 
     def fits(self, left: int, right: int) -> bool:
         """Whether the two tokens are the encoding of their joined bytes."""
-        key = (left, right)
-        if key not in self._fits:
-            if len(self._fits) > 2_000_000:
-                self._fits.clear()
-            self._fits[key] = self.merges(self.token[left] + self.token[right]) == [left, right]
-        return self._fits[key]
-
-    def own(self, token: int) -> bool:
-        """Whether merging the token's bytes gives the token; others only stand for a whole piece."""
-        if token not in self._own:
-            self._own[token] = self.merges(self.token[token]) == [token]
-        return self._own[token]
+        known = self._fits[left]
+        found = known.get(right)
+        if found is None:
+            if self._known > 2_000_000:
+                for d in self._fits:
+                    d.clear()
+                self._known = 0
+            self._known += 1
+            found = known[right] = self.merges(self.token[left] + self.token[right]) == [left, right]
+        return found
 
     def _reset(self) -> None:
-        #: A state: ((pending bytes, tokens not emitted yet), ...) and the last token emitted (-1: none).
+        #: A state: ((pending bytes, tokens not emitted yet), ...) and the last token emitted (-1: none); `below`: trie nodes.
         self.states: list[tuple] = [(((b"", ()),), -1)]
+        self.below: dict[bytes, dict | None] = {b"": self.trie}
         self.number = {self.states[0]: 0}
-        self.moves: list[dict[int, tuple[int, tuple[int, ...]]]] = [{}]
+        #: (state * 256 + byte) to the next state, or to ~k where the k-th of `emits` is (next state, tokens emitted).
+        self.moves: dict[int, int] = {}
+        self.emits: list[tuple[int, tuple[int, ...]]] = []
+        self.emit_number: dict[tuple[int, tuple[int, ...]], int] = {}
 
-    def _move(self, state: int, byte: int) -> tuple[int, tuple[int, ...]]:
-        """Build the move of a state by a byte: the next state and the tokens emitted."""
+    def _move(self, state: int, byte: int) -> int:
+        """Build the move of a state by a byte."""
         live, last = self.states[state]
         kept, ended = [], None
         for pending, chain in live:
-            grown = pending + bytes([byte])
-            token = self.rank.get(grown)
-            if ended is None and token is not None and self.own(token):
+            token, below = self.below[pending].get(byte, (-1, None))
+            if token >= 0 and ended is None:
                 before = chain[-1] if chain else last
                 if before < 0 or self.fits(before, token):
                     ended = (b"", (*chain, token))
-            if grown in self.growing:
+            if below:
+                grown = pending + bytes([byte])
+                self.below[grown] = below
                 kept.append((grown, chain))
         kept.append(ended)
-        chains = [c for _, c in kept]
+        first = kept[0][1]  # the prefix that began first has the fewest tokens
         n = 0
-        while all(len(c) > n for c in chains) and len({c[n] for c in chains}) == 1:
-            n += 1
-        out = chains[0][:n]
-        key = (tuple((p, c[n:]) for p, c in kept), out[-1] if out else last)
-        if key not in self.number:
-            self.number[key] = len(self.states)
+        if first:
+            for *_, chain in kept[::-1]:
+                if chain[:1] != first[:1]:
+                    break
+            else:
+                n = next((i for i in range(1, len(first)) if any(c[i] != first[i] for _, c in kept)), len(first))
+        if n:
+            kept = [(p, c[n:]) for p, c in kept]
+            last = first[n - 1]
+        key = (tuple(kept), last)
+        to = self.number.get(key)
+        if to is None:
+            to = self.number[key] = len(self.states)
             self.states.append(key)
-            self.moves.append({})
-        made = (self.number[key], out)
-        self.moves[state][byte] = made
-        return made
+        if n:
+            out = (to, first[:n])
+            if out not in self.emit_number:
+                self.emit_number[out] = len(self.emits)
+                self.emits.append(out)
+            to = ~self.emit_number[out]
+        self.moves[state << 8 | byte] = to
+        return to
+
+    def _simulate(self, piece: bytes) -> tuple[int, ...]:
+        """The ids of a piece by the last token of each prefix: the one that fits the last token before it."""
+        n, trie, fits = len(piece), self.trie, self._fits
+        last = [-1] * (n + 1)
+        for begin in range(n):
+            before = last[begin]
+            known = fits[before]
+            node = trie
+            for end in range(begin, n):
+                found = node.get(piece[end])
+                if found is None:
+                    break
+                token, node = found
+                if token >= 0 and last[end + 1] < 0:
+                    if begin:
+                        fit = known.get(token)
+                        if fit is None:
+                            fit = self.fits(before, token)
+                    else:
+                        fit = True
+                    if fit:
+                        last[end + 1] = token
+                if node is None:
+                    break
+        out, end = [], len(piece)
+        while end:
+            out.append(last[end])
+            end -= len(self.token[last[end]])
+        return tuple(reversed(out))
 
     def encode_piece(self, piece: bytes) -> tuple[int, ...]:
         """The ids of one match of the pattern."""
         if (whole := self.rank.get(piece)) is not None:
             return (whole,)
-        if len(self.states) > MAX_STATES:
-            self._reset()
         out: list[int] = []
-        state, moves = 0, self.moves
+        state, move, emits = 0, self.moves.get, self.emits
         for byte in piece:
-            state, emitted = moves[state].get(byte) or self._move(state, byte)
-            out += emitted
+            to = move(state << 8 | byte)
+            if to is None:
+                if len(self.states) >= MAX_STATES:
+                    return self._simulate(piece)
+                to = self._move(state, byte)
+            if to >= 0:
+                state = to
+            else:
+                state, emitted = emits[~to]
+                out += emitted
         return (*out, *self.states[state][0][-1][1])
 
+    def _new_piece(self, piece: str) -> tuple[int, ...]:
+        """The ids of a piece that the younger generation lacks; it joins that generation."""
+        ids = self.old.get(piece)
+        if ids is None:
+            ids = self.encode_piece(piece.encode())
+        if len(piece) <= MAX_PIECE_CHARS:
+            if len(self.young) >= MAX_PIECES:
+                self.old, self.young = self.young, {}
+            self.young[piece] = ids
+        return ids
+
     def encode(self, text: str) -> list[int]:
         """The ids of a text; every match of the pattern is encoded separately."""
-        known, out = self.pieces, []
-        get, add = known.get, out.extend
-        for m in self.pattern.finditer(text):
-            piece = m.group()
-            ids = get(piece)
-            if ids is None:
-                ids = self.encode_piece(piece.encode())
-                if len(piece) <= MAX_PIECE_CHARS:
-                    if len(known) >= MAX_PIECES:
-                        known.clear()
-                    known[piece] = ids
-            add(ids)
+        out: list[int] = []
+        for piece in self.pattern.findall(text):
+            out += self.young.get(piece) or self._new_piece(piece)
         return out
 
 
@@ -208,12 +279,12 @@ class StreamDecoder:
 
     def feed(self, ids: Iterable[int]) -> bytes:
         """The bytes of the characters completed by these ids."""
-        ids = ids if isinstance(ids, list) else list(ids)
+        ids = np.asarray(ids)
         token = self.v.token
         if self.state == 0 and self.v.clean[ids].all():
-            return b"".join([token[i] for i in ids])
+            return b"".join(token[ids].tolist())
         out: list[bytes] = []
-        for i in ids:
+        for i in ids.tolist():
             state, done = self.moves.get((self.state, i)) or self._move(self.state, i)
             data = token[i]
             if done < 0:
@@ -238,12 +309,13 @@ def vocabulary(rank_file: bytes, pattern: str) -> Vocabulary:
     key = hashlib.sha256(rank_file + pattern.encode()).hexdigest()
     if key not in _LOADED:
         _LOADED[key] = Vocabulary(rank_file, pattern)
+        gc.set_threshold(200_000, 50, 1_000)  # remembered pieces and states are many small objects without cycles
     return _LOADED[key]
 
 
-def decode(v: Vocabulary, ids: list[int], block: int = 65_536) -> bytes:
+def decode(v: Vocabulary, ids: Iterable[int], block: int = 65_536) -> bytes:
     """The bytes of a list of ids, through the stream decoder block by block."""
-    d = StreamDecoder(v)
+    d, ids = StreamDecoder(v), np.asarray(ids, np.int64)
     return b"".join([*(d.feed(ids[i : i + block]) for i in range(0, len(ids), block)), d.finish()])
 
 
@@ -267,7 +339,7 @@ def encode_documents(docs: DataFrame, rank_path: str, pattern: str, id_col: str
                 packed = np.asarray(ids, "<u4")
                 n_tokens.append(len(ids))
                 id_digests.append(hashlib.sha256(packed.tobytes()).hexdigest())
-                digests.append(hashlib.sha256(decode(v, ids)).hexdigest())
+                digests.append(hashlib.sha256(decode(v, packed)).hexdigest())
                 if with_ids:
                     all_ids.append(packed.astype(np.int32))
             cols = {"doc_id": batch.column(0), "n_tokens": n_tokens, "ids": all_ids, "ids_sha256": id_digests, "decoded_sha256": digests}
