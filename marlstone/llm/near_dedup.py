@@ -332,7 +332,7 @@ def confirm_blocks(rows: DataFrame, texts: DataFrame, f: Forest) -> DataFrame:
             a += [int(ids[k])] * len(first)
         return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b), pa.int64()), pa.array(np.maximum(a, b), pa.int64())], names=["a", "b"]) if a else None
 
-    return _by_group(rows.join(texts, "id"), run, "a long, b long")
+    return _by_group(rows.join(texts.hint("merge"), "id"), run, "a long, b long")
 
 
 # --- links and components -------------------------------------------------------------------------
@@ -340,8 +340,8 @@ def confirm_blocks(rows: DataFrame, texts: DataFrame, f: Forest) -> DataFrame:
 
 def confirm(pairs: DataFrame, texts: DataFrame, f: Forest) -> DataFrame:
     """The pairs (a, b) whose full shingle sets reach the threshold. texts: (id, text), ids unique."""
-    left = pairs.select("a", "b").join(texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a")
-    both = left.join(texts.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b").select("a", "b", "ta", "tb")
+    left = pairs.select("a", "b").join(texts.select(F.col("id").alias("a"), F.col("text").alias("ta")).hint("merge"), "a")
+    both = left.join(texts.select(F.col("id").alias("b"), F.col("text").alias("tb")).hint("merge"), "b").select("a", "b", "ta", "tb")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -406,8 +406,9 @@ def _linked_components(texts: DataFrame, reps: DataFrame, f: Forest) -> DataFram
     keys = F.transform(tree, lambda t: F.concat(F.unhex(F.lpad(F.hex(t), 2, "0")), F.substring("sig", t * (4 * f.depth) + 1, F.lit(4 * f.depth))))
     pairs, shared = candidates(reps.select(F.explode(keys).alias("key"), "brief", "id"), f)
     end = F.explode(F.array("a", "b")).alias("id")
-    nodes = pairs.select(end).distinct()
-    near = materialise(texts.join(nodes, "id", "left_semi"), "texts")
+    # The one shuffle of all texts: from here on only those of rows that share a region move.
+    nodes = pairs.select(end).unionByName(shared.select("id")).distinct()
+    near = materialise(texts.join(nodes.hint("merge"), "id", "left_semi"), "texts")
     best = pairs.select(end, F.struct("equal", F.xxhash64("a", "b").alias("any"), "a", "b").alias("p")).groupBy("id").agg(F.max("p").alias("p"))
     first = materialise(best.select("p.a", "p.b").distinct(), "best")
     links = materialise(confirm(first, near, f), "links")
@@ -416,7 +417,7 @@ def _linked_components(texts: DataFrame, reps: DataFrame, f: Forest) -> DataFram
     links = materialise(links.unionByName(confirm(cross, near, f)), "links")
     comps = components(links)
     asked = materialise(promising(blocks(shared, comps, f), f), "asked")
-    more = materialise(confirm_blocks(asked, texts.join(asked.select("id").distinct(), "id", "left_semi"), f), "links")
+    more = materialise(confirm_blocks(asked, near, f), "links")
     return components(links.unionByName(more)) if more.take(1) else comps
 
 
