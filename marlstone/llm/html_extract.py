@@ -169,6 +169,7 @@ LABELLED = np.array(
         (120, 0.1, 3, 1, 3, 1, 0, 0, 0, 0, 1), (24, 0.1, 30, 0, 2, 1, 0, 0, 0, 0, 1),
         (3, 1, 4, 1, 2, 1, 0, 0, 0, 0, 0), (5, 0.9, 2, 1, 80, 0, 0, 0, 0, 0, 0), (2, 0, 3, 1, 4, 1, 0, 0, 0, 0, 0), (12, 0.8, 6, 1, 9, 0.9, 0, 0, 0, 0, 0),
         (30, 0.9, 12, 0.8, 8, 1, 0, 0, 0, 0, 0), (9, 0.4, 5, 1, 3, 1, 0, 0, 0, 0, 0), (4, 0, 2, 1, 1, 1, 0, 0, 0, 0, 0), (8, 0, 3, 0.7, 0, 0, 0, 0, 0, 0, 0),
+        (2, 1, 0, 0, 60, 0, 0, 0, 0, 0, 0), (1, 1, 60, 0, 0, 0, 0, 0, 0, 0, 0), (4, 1, 70, 0, 0, 0, 0, 0, 0, 0, 0), (6, 1, 0, 0, 35, 0, 0, 0, 0, 0, 0), (3, 0.9, 50, 0, 2, 0, 0, 0, 0, 0, 0), (8, 0.9, 90, 0, 40, 0, 0, 0, 0, 0, 0),
         (6, 0, 0, 0, 3, 1, 0, 0, 0, 0, 0), (1, 0, 2, 0, 3, 1, 0, 0, 0, 0, 0), (15, 0.7, 70, 0, 5, 1, 0, 0, 0, 0, 0), (5, 0, 4, 1, 0, 0, 0, 0, 0, 0, 0),
     ],
     float,
