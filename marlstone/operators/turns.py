@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from marlstone.config import Turns
 from marlstone.functions.policy import normalize_speaker
 from marlstone.functions.unicode import _split
+from marlstone.operators.durable import durable
 from marlstone.operators.intervals import dominant_speaker, merge_fragments, nearest_span, priority_speaker
 from marlstone.operators.sequence import merge_adjacent, renumber
 
@@ -101,8 +102,9 @@ def assign_speakers(segments: DataFrame, words: DataFrame, spans: DataFrame, cfg
     """The whole assignment: words by priority, split, dominant speakers, interjections, fragments, merging."""
     keyed = words.withColumnsRenamed({"pos": "segment", "word": "place"}).withColumn("pos", F.struct("segment", "place"))
     spoken = priority_speaker(keyed, spans).select("media", F.col("segment").alias("pos"), F.col("place").alias("word"), "said", "start_ms", "end_ms", F.col("chosen").alias("speaker"))
-    parts = split_segments(segments, spoken, cfg)
+    parts = durable(split_segments(segments, spoken, cfg), "turns")  # what follows reads it several times
     placed = renumber(parts.withColumn("pos", F.col("pos") * 1000 + F.col("part")), "at").withColumn("pos", F.col("at").cast("long")).drop("at")
     main = dominant_speaker(placed, spans)
     main = main.withColumn("speaker", normalize_speaker(F.coalesce("speaker", "dominant"))).drop("dominant", "part", "tokens")
-    return merge_adjacent(merge_fragments(fix_interjections(main, spans, cfg), cfg).select("media", "pos", "text", "speaker", "start_ms", "end_ms"), cfg)
+    fixed = durable(fix_interjections(main, spans, cfg), "turns")
+    return merge_adjacent(merge_fragments(fixed, cfg).select("media", "pos", "text", "speaker", "start_ms", "end_ms"), cfg)

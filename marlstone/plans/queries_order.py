@@ -194,8 +194,8 @@ def q40_pause_split(spark: SparkSession, d: str) -> DataFrame:
 
 def _words(rows: DataFrame) -> DataFrame:
     """Words of segments with times in proportion to their place."""
-    said = F.split(F.trim("text"), r"\s+")
-    w = rows.select("media", "pos", "start_ms", "end_ms", F.size(said).alias("n"), F.posexplode(said).alias("word", "said"))
+    listed = rows.select("media", "pos", "start_ms", "end_ms", F.split(F.trim("text"), r"\s+").alias("all"))
+    w = listed.select("media", "pos", "start_ms", "end_ms", F.size("all").alias("n"), F.posexplode("all").alias("word", "said"))
     at = lambda k: (F.col("start_ms") + F.floor((F.col("end_ms") - F.col("start_ms")) * k / F.col("n"))).cast("long")
     return w.select("media", "pos", "word", "said", at(F.col("word")).alias("start_ms"), at(F.col("word") + 1).alias("end_ms"))
 

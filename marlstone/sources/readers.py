@@ -95,7 +95,7 @@ def recognition(text: Column) -> Column:
     stamp = "array<struct<text:string,start:double,end:double>>"
     got = F.from_json(text, f"text string, language string, time_stamps {stamp}, timestamps {stamp}")
     nested = F.from_json(text, f"time_stamps struct<items:{stamp}>, timestamps struct<items:{stamp}>")
-    stamps = F.coalesce(got["time_stamps"], got["timestamps"], nested["time_stamps.items"], nested["timestamps.items"], F.array().cast(stamp))
+    stamps = F.coalesce(got["time_stamps"], got["timestamps"], nested["time_stamps"]["items"], nested["timestamps"]["items"], F.array().cast(stamp))
     rounded = F.transform(stamps, lambda s: F.struct(s["text"].alias("text"), F.round(s["start"], 3).alias("start"), F.round(s["end"], 3).alias("end")))
     return F.struct(F.coalesce(got["text"], F.lit("")).alias("text"), F.coalesce(got["language"], F.lit("")).alias("language"), rounded.alias("stamps"))
 
