@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marlstone.llm.lang_id import held_out
+from marlstone.llm.shared import rows_of, sample_ids
 
 #: Labelled rows that the network is fitted on at most (half of each label at most), and their longest text.
 SAMPLE_ROWS = 2_000
@@ -97,7 +98,10 @@ class Network:
         d = (weight * (p - y) / n).astype(np.float32)
         g = {"out": doc.T @ d, "out_bias": d.sum(keepdims=True)}
         d_doc = d[:, None] * w["out"]
-        d_h = (d_doc[:, HIDDEN:] / count)[owner] + np.where(h == best[owner], d_doc[:, :HIDDEN][owner], 0)
+        is_top = h == best[owner]
+        ties = np.zeros((n, HIDDEN), np.float32)
+        np.add.at(ties, owner, is_top)
+        d_h = (d_doc[:, HIDDEN:] / count)[owner] + np.where(is_top, (d_doc[:, :HIDDEN] / ties)[owner], 0)
         d_s = d_h * (1 - h * h)
         g["hidden"], g["hidden_bias"] = pooled.T @ d_s, d_s.sum(axis=0)
         d_pool = d_s @ w["hidden"].T
@@ -193,12 +197,12 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, samp
     one label only, or none, the network still scores, without having learned a difference.
     """
     known = labels.where(F.col("quality").isin(0, 1) & ~held_out(F.col("doc_id"))).select("doc_id", F.col("quality").cast("int").alias("quality"))
-    rows = docs.where(F.length("text") <= sample_chars).select("doc_id", "text").join(known, "doc_id")
+    # Only ids and labels move; the texts of the chosen rows come last.
+    near = docs.where(F.length("text") <= sample_chars).select("doc_id").join(known, "doc_id")
     net = Network()
-    taken = []
-    for q in (0, 1):
-        part = rows.where(F.col("quality") == q).orderBy(F.xxhash64("doc_id"), "text").limit(sample_rows // 2)
-        taken += [(r["text"], q) for r in part.collect()]
+    chosen = {i: q for q in (0, 1) for i in sample_ids(near.where(F.col("quality") == q), sample_rows // 2)}
+    rows = rows_of(docs.where(F.length("text") <= sample_chars).select("doc_id", "text"), list(chosen))
+    taken = [(r["text"], chosen[r["doc_id"]]) for r in rows.groupBy("doc_id").agg(F.min("text").alias("text")).orderBy("doc_id").collect()]
     if taken:
         net.train(taken)
     return net

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import math
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -54,3 +56,21 @@ def drop_table(spark: SparkSession, df: DataFrame) -> None:
 def bounded_batches(spark: SparkSession, max_bytes: int = 32_000_000) -> None:
     """Bound the Arrow batches that Python workers get by bytes, so that long texts don't gather by the thousand."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(max_bytes))
+
+
+def sample_ids(rows: DataFrame, k: int, key: str = "doc_id") -> list[int]:
+    """At most `k` distinct keys of `rows`, those with the smallest hashes; the same whatever the partitions.
+
+    A first filter on the hash leaves a few times `k` keys, so that tasks don't each send `k` on.
+    """
+    keys = rows.select(key).where(F.col(key).isNotNull()).distinct()
+    parts = 1 << 30
+    most = min(parts, math.ceil(parts * min(1.0, 4 * k / max(1, keys.count()))) + 1)
+    near = keys.where(F.pmod(F.xxhash64(key), F.lit(parts)) < most)
+    return [r[0] for r in near.orderBy(F.pmod(F.xxhash64(key), F.lit(parts)), key).limit(k).collect()]
+
+
+def rows_of(rows: DataFrame, ids: list[int], key: str = "doc_id") -> DataFrame:
+    """The rows whose key is one of a bounded list, by a broadcast of the list."""
+    listed = rows.sparkSession.createDataFrame([(i,) for i in ids], f"{key} long")
+    return rows.join(F.broadcast(listed), key, "left_semi")
