@@ -19,6 +19,8 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from marlstone.llm.shared import rows_of, sample_ids
+
 #: Labelled rows that a model is fitted on, and the longest of them in characters.
 SAMPLE_ROWS = 3_000
 SAMPLE_CHARS = 200_000
@@ -122,8 +124,22 @@ def fit(docs: DataFrame, sample_rows: int = SAMPLE_ROWS, sample_chars: int = SAM
     Rows without id, text or language and texts longer than `sample_chars` are not learned from.
     """
     rows = docs.where(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.length("text") <= sample_chars))
-    taken = rows.select("doc_id", "text", F.col("lang").cast("string").alias("lang")).orderBy(F.xxhash64("doc_id"), "text", "lang").limit(sample_rows)
-    return learn([(r["text"], r["lang"]) for r in taken.collect()])
+    found = rows_of(rows.select("doc_id", "text", F.col("lang").cast("string").alias("lang")), sample_ids(rows, sample_rows))
+    once = found.groupBy("doc_id").agg(F.min(F.struct("text", "lang")).alias("r")).orderBy("doc_id")
+    return learn([(r["r"]["text"], r["r"]["lang"]) for r in once.collect()])
+
+
+class _Numbers(dict):
+    """Words to numbers in order of first sight; `new` are those not scored yet."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.new: list[str] = []
+
+    def __missing__(self, word: str) -> int:
+        self[word] = k = len(self)
+        self.new.append(word)
+        return k
 
 
 class Labeller:
@@ -134,19 +150,27 @@ class Labeller:
         self._forget()
 
     def _forget(self) -> None:
-        self.number: dict[str, int] = {}
+        self.number = _Numbers()
         self.table = np.zeros((1024, len(self.model.langs)), np.float32)
-
-    def _numbers(self, words: list[str]) -> np.ndarray:
-        """The rows of the table that have the words' scores."""
-        number = self.number
-        new = list({w for w in words if w not in number})
-        if new:
-            while len(number) + len(new) > len(self.table):
-                self.table = np.concatenate([self.table, np.zeros_like(self.table)])
-            self.table[len(number) : len(number) + len(new)] = self.model.scores(new)
-            number.update(zip(new, range(len(number), len(number) + len(new)), strict=True))
-        return np.fromiter(map(number.__getitem__, words), np.int64, len(words))
+        self.letters = np.zeros(1024, np.int32)
+
+    def _numbers(self, text: str | None) -> np.ndarray:
+        """The words of a text as rows of the table; new words get rows that `_score_new` fills."""
+        words = WORD.findall(text.lower()) if text else []
+        return np.fromiter(map(self.number.__getitem__, words), np.int32, len(words))
+
+    def _score_new(self) -> None:
+        """Fill the rows of new words, some thousand at a time."""
+        new = self.number.new
+        first = len(self.number) - len(new)
+        while len(self.number) > len(self.table):
+            self.table = np.concatenate([self.table, np.zeros_like(self.table)])
+            self.letters = np.concatenate([self.letters, np.zeros_like(self.letters)])
+        for i in range(0, len(new), 8_192):
+            part = new[i : i + 8_192]
+            self.table[first + i : first + i + len(part)] = self.model.scores(part)
+            self.letters[first + i : first + i + len(part)] = [len(w) for w in part]
+        new.clear()
 
     def viterbi(self, numbers: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
         """The language of each word. Texts are runs of `numbers`; all texts step together, longest first."""
@@ -180,22 +204,22 @@ class Labeller:
         """For each text its language, a score (mean posterior of that language over the letters of its own
         spans, times their share of all letters) and the words' labels as runs of (first word, end, language)."""
         model = self.model
-        words = [WORD.findall(t.lower()) if t else [] for t in texts]
-        flat = [w for ws in words for w in ws]
-        if not flat or not model.langs:
+        own = [self._numbers(t) for t in texts] if model.langs else []
+        sizes = np.array([len(x) for x in own])
+        if not sizes.sum():
             return [("und", 0.0, [])] * len(texts)
-        sizes = np.array([len(ws) for ws in words])
+        self._score_new()
+        numbers = np.concatenate(own)
         starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-        numbers = self._numbers(flat)
         label = self.viterbi(numbers, starts, sizes)
-        letters = np.fromiter(map(len, flat), np.float64, len(flat))
+        letters = self.letters[numbers].astype(np.float64)
         n, owner = len(model.langs), np.repeat(np.arange(len(texts)), sizes)
         share = np.bincount(owner * n + label, letters, len(texts) * n).reshape(-1, n)
         sure = np.bincount(owner * n + label, letters * np.exp(self.table[numbers, label]), len(texts) * n).reshape(-1, n)
         best = share.argmax(axis=1)
         edge = np.flatnonzero(np.concatenate([[True], (label[1:] != label[:-1]) | (owner[1:] != owner[:-1])]))
         runs: list[list[tuple[int, int, str]]] = [[] for _ in texts]
-        for a, b in zip(edge.tolist(), [*edge[1:].tolist(), len(flat)], strict=True):
+        for a, b in zip(edge.tolist(), [*edge[1:].tolist(), len(numbers)], strict=True):
             k = int(owner[a])
             runs[k].append((int(a - starts[k]), int(b - starts[k]), model.langs[label[a]]))
         if len(self.number) > MAX_WORDS:
