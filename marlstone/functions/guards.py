@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from marlstone.config import Guard
 from marlstone.functions.text import digit_tokens, is_subset
 
+# Evidence roles that never support a change.
 RISKY_ROLES = ("ui_or_watermark", "uncertain")
 
 

@@ -7,7 +7,15 @@ from pyspark.sql import functions as F
 
 from marlstone.functions.policy import language_code, strip
 
+# Patterns of noise lines and of record forms, and weights of the subtitle score.
 WORDCHAR = r"[\p{L}\p{N}]"
+URL = r"(?i)(?:https?://|www\.)\S"
+TIMECODE = r"^[\[(]?(?U:\d{1,2}:\d{2}(?::\d{2})?(?:[.,]\d+)?)[\])]?$"
+NUMBER = r"^(?U:\d+(?:[.,，]\d+)?)$"
+DIGITS = r"(?U)(\d+(?:[.:：/\-]\d+)*)"
+SENTENCE_MARK = "[。！？!?.,，]"
+POINT_PAIR = r"\(\s*(\d+)\s*,\s*(\d+)\s*\)\s*,\s*\(\s*(\d+)\s*,\s*(\d+)\s*\)"
+SUBTITLE = {"meaning": 0.65, "length": 0.35, "bonus": 0.10, "good": (4, 80), "fair": (2, 140), "fair_score": 0.65, "poor_score": 0.25}
 
 
 def compact(line: Column) -> Column:
@@ -20,9 +28,9 @@ def noise_reason(line: Column) -> Column:
     c = compact(line)
     return (
         F.when(c == "", "empty")
-        .when(line.rlike(r"(?i)(?:https?://|www\.)\S"), "url")
-        .when(c.rlike(r"^[\[(]?(?U:\d{1,2}:\d{2}(?::\d{2})?(?:[.,]\d+)?)[\])]?$"), "timecode")
-        .when(c.rlike(r"^(?U:\d+(?:[.,，]\d+)?)$"), "pure_number")
+        .when(line.rlike(URL), "url")
+        .when(c.rlike(TIMECODE), "timecode")
+        .when(c.rlike(NUMBER), "pure_number")
         .when(~c.rlike(WORDCHAR), "pure_symbol")
         .otherwise("")
     )
@@ -41,9 +49,10 @@ def subtitle_score(line: Column) -> Column:
     c = compact(line)
     n = F.length(c)
     meaning = F.regexp_count(c, F.lit(WORDCHAR)) / F.greatest(n, F.lit(1))
-    by_length = F.when(n.between(4, 80), 1.0).when(n.between(2, 140), 0.65).otherwise(0.25)
-    bonus = F.when(line.rlike("[。！？!?.,，]"), 0.10).otherwise(0.0)
-    return F.when(n == 0, 0.0).otherwise(F.least(F.lit(1.0), 0.65 * meaning + 0.35 * by_length + bonus))
+    k = SUBTITLE
+    by_length = F.when(n.between(*k["good"]), 1.0).when(n.between(*k["fair"]), k["fair_score"]).otherwise(k["poor_score"])
+    bonus = F.when(line.rlike(SENTENCE_MARK), k["bonus"]).otherwise(0.0)
+    return F.when(n == 0, 0.0).otherwise(F.least(F.lit(1.0), k["meaning"] * meaning + k["length"] * by_length + bonus))
 
 
 def script_error(text: Column, target: Column, original: Column | None = None, source: Column | None = None, allow_identity: Column | None = None) -> Column:
@@ -98,7 +107,7 @@ def is_subset(a: Column, b: Column) -> Column:
 
 def digit_tokens(text: Column) -> Column:
     """Distinct numbers with inner separators, in order of first place."""
-    return F.array_distinct(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"(?U)(\d+(?:[.:：/\-]\d+)*)"), F.lit(1)))
+    return F.array_distinct(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(DIGITS), F.lit(1)))
 
 
 def occurrences(text: Column, needle: Column) -> Column:
@@ -133,7 +142,7 @@ def splice_all(text: Column, edits: Column) -> Column:
 
 def word_tokens(text: Column) -> Column:
     """CJK characters one by one, other runs between white space whole (X04); normalise before."""
-    return F.regexp_extract_all(text, F.lit(r"([㐀-䶿一-鿿豈-﫿]|[^(?U:\s)㐀-䶿一-鿿豈-﫿]+)".replace("(?U:\\s)", r"\s\u0085\u00a0\u2000-\u200a\u2028\u2029\u202f\u205f\u3000")), F.lit(1))
+    return F.regexp_extract_all(text, F.lit(r"([㐀-䶿一-鿿豈-﫿]|[^\s㐀-䶿一-鿿豈-﫿]+)"), F.lit(1))
 
 
 def edit_ratio(left: Column, right: Column) -> Column:
@@ -149,7 +158,7 @@ def split_lines(text: Column) -> Column:
     clean = F.replace(F.coalesce(text, F.lit("")), F.lit("```"), F.lit("\n"))
     tidy = lambda x: F.regexp_replace(F.regexp_replace(x, r"(?U)\s+", " "), r"^[ \t|-]+|[ \t|-]+$", "")
     refs = F.regexp_extract_all(clean, F.lit(r"(?is)<ref>(.*?)</ref>"), F.lit(1))
-    coords = F.regexp_extract_all(clean, F.lit(r"([^\r\n]*?)\(\s*\d+\s*,\s*\d+\s*\)\s*,\s*\(\s*\d+\s*,\s*\d+\s*\)"), F.lit(1))
+    coords = F.regexp_extract_all(clean, F.lit(r"([^\r\n]*?)" + POINT_PAIR), F.lit(1))
     plain = F.filter(F.split(F.regexp_replace(clean, r"(?i)<quad>.*?</quad>", ""), r"[\r\n]+", -1), lambda x: strip(x) != "")
     kept = lambda a: F.filter(F.transform(a, tidy), lambda x: x != "")
     return F.when(F.size(refs) > 0, kept(refs)).when(F.size(kept(coords)) > 0, kept(coords)).otherwise(F.transform(plain, tidy))
@@ -157,7 +166,7 @@ def split_lines(text: Column) -> Column:
 
 def regions(text: Column) -> Column:
     """Regions of `text(x,y),(x,y)`: array of (text, bbox of four ints)."""
-    whole = r"([^()]*)\(\s*(\d+)\s*,\s*(\d+)\s*\)\s*,\s*\(\s*(\d+)\s*,\s*(\d+)\s*\)"
+    whole = "([^()]*)" + POINT_PAIR
     group = [F.regexp_extract_all(text, F.lit(whole), F.lit(i)) for i in range(1, 6)]
     return F.transform(F.arrays_zip(*(g.alias(f"g{i}") for i, g in enumerate(group))), lambda r: F.struct(strip(r["g0"]).alias("text"), F.array(*(r[f"g{i}"].try_cast("int") for i in range(1, 5))).alias("bbox")))
 

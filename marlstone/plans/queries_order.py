@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from marlstone.adapters import EMO, SEG, SPAN, emotions, segments, spans, table
 from marlstone.config import Turns
 from marlstone.functions import policy
-from marlstone.operators import intervals, sequence, turns
+from marlstone.operators import intervals, select, sequence, turns
 from marlstone.plans.registry import query
+from marlstone.sources import writers
 
 LABEL = "CASE label WHEN 'anger' THEN 'angry' WHEN 'happiness' THEN 'happy' WHEN 'surprise' THEN 'surprised' WHEN 'happy/sad' THEN 'sad' ELSE 'neutral' END"
 
@@ -231,3 +232,25 @@ def q55_segment_constraints(spark: SparkSession, d: str) -> DataFrame:
     w = sequence.order()
     p = F.when(F.col("end_ms") <= F.col("start_ms"), "empty").when(F.col("start_ms") < F.lag("end_ms").over(w), "overlap").when(F.col("end_ms") > 4000, "beyond")
     return seg(spark, d).withColumn("problem", p).where("problem IS NOT NULL").groupBy("problem").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"""WITH {SEG} SELECT printf('%d-%08d-%08d', media, start_ms, end_ms) || ' ' || media || ' ' || printf('%.3f', start_ms / 1000.0) || ' ' || printf('%.3f', end_ms / 1000.0) AS value FROM seg WHERE end_ms > start_ms""")
+def q60_segment_list(spark: SparkSession, d: str) -> DataFrame:
+    """Segment lists as diarisation programs read them."""
+    return writers.segment_list(seg(spark, d))
+
+
+@query(f"""WITH {SEG} SELECT media, pos, CAST(floor((row_number() OVER (PARTITION BY media ORDER BY pos) - 1) / 3) AS BIGINT) AS batch FROM seg""")
+def q61_batches(spark: SparkSession, d: str) -> DataFrame:
+    """Fixed-size batches in order."""
+    return select.batches(seg(spark, d), 3).select("media", "pos", "batch")
+
+
+@query()
+def q62_stamps(spark: SparkSession, d: str) -> DataFrame:
+    """Word times dropped where the text changed or a time is out of order."""
+    rows = seg(spark, d)
+    stamps = _words(rows).groupBy("media", "pos").agg(F.array_sort(F.collect_list(F.struct("word", "said", "start_ms", "end_ms"))).alias("w"))
+    listed = F.transform("w", lambda x: F.struct(x["said"].alias("text"), (x["start_ms"] / 1000).alias("start"), (x["end_ms"] / 1000 + F.when((F.col("pos") % 5 == 4) & (x["word"] == 1), 9.0).otherwise(0.0)).alias("end")))
+    given = rows.join(stamps, ["media", "pos"]).select("media", "pos", "text", F.upper("text").alias("corrected"), (F.col("pos") % 3 == 0).alias("accepted"), (F.col("start_ms") / 1000).alias("start"), (F.col("end_ms") / 1000).alias("end"), listed.alias("stamps"))
+    return sequence.update_stamps(given).groupBy("stamp_status").agg(F.count(F.lit(1)).alias("n"))

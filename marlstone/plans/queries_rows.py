@@ -110,3 +110,23 @@ def q59_set_operations(spark: SparkSession, d: str) -> DataFrame:
     a, b = table(spark, d, "documents").select("doc_id"), table(spark, d, "labels").select("doc_id")
     marked = a.withColumn("l", F.lit(1)).unionByName(b.withColumn("l", F.lit(2))).groupBy("doc_id").agg(F.bit_or("l").alias("m"))
     return marked.agg(F.count_if(F.col("m") == 3).alias("both_sides"), F.count_if(F.col("m") == 1).alias("only_left"), F.count(F.lit(1)).alias("either"))
+
+
+@query("""
+WITH s AS (SELECT o_orderkey AS id FROM orders WHERE o_orderkey % 5 <> 0), c AS (SELECT o_orderkey AS id, o_orderkey % 7 AS print, o_totalprice - 1000 AS duration FROM orders WHERE o_orderkey % 11 <> 0),
+r AS (SELECT o_orderkey AS id, CASE WHEN o_orderkey % 13 = 0 THEN 'failed' ELSE 'success' END AS status, CASE WHEN o_orderkey % 17 = 0 THEN -1 ELSE o_orderkey % 7 END AS print, o_orderkey % 19 = 0 AS changed FROM orders),
+i AS (SELECT CASE WHEN status <> 'success' OR c.id IS NULL THEN 'missing_or_unsuccessful' WHEN duration <= 0 THEN 'empty_audio' WHEN c.print <> r.print THEN 'fingerprint_mismatch' WHEN changed THEN 'checksum_mismatch' END AS issue FROM s LEFT JOIN c USING (id) LEFT JOIN r USING (id)
+  UNION ALL SELECT 'clip_unknown' FROM c WHERE id NOT IN (SELECT id FROM s))
+SELECT issue, count(*) AS n FROM i WHERE issue IS NOT NULL GROUP BY issue""")
+def q65_mix_gate(spark: SparkSession, d: str) -> DataFrame:
+    """What blocks mixing: missing, empty, changed and unknown clips (F16)."""
+    o = table(spark, d, "orders").select(F.col("o_orderkey").alias("k"), "o_totalprice").withColumn("segment_id", F.col("k").cast("string"))
+    clips = o.where("k % 11 <> 0").select("segment_id", (F.col("k") % 7).alias("fingerprint"), (F.col("o_totalprice") - 1000).alias("duration"))
+    results = o.select("segment_id", F.when(F.col("k") % 13 == 0, "failed").otherwise("success").alias("status"), F.when(F.col("k") % 17 == 0, -1).otherwise(F.col("k") % 7).alias("fingerprint"), F.lit("c").alias("checksum"), F.when(F.col("k") % 19 == 0, "d").otherwise("c").alias("stored_checksum"))
+    return incremental.mix_issues(o.where("k % 5 <> 0").select("segment_id"), clips, results).groupBy("issue").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("""SELECT label AS utt, count(*) AS n, round(sum(CAST(embedding[1] AS DOUBLE)), 4) AS first FROM embeddings GROUP BY label""")
+def q66_vector_groups(spark: SparkSession, d: str) -> DataFrame:
+    """Vectors gathered by utterance."""
+    return vectors(table(spark, d, "embeddings")).groupBy("utt").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum(F.col("vector")[0].cast("double")), 4).alias("first"))

@@ -310,3 +310,17 @@ def q57_decisions(spark: SparkSession, d: str) -> DataFrame:
     rows = evaluation(table(spark, d, "documents"))
     ask = rows.select(F.col("id").cast("string").alias("id"), F.col("baseline").alias("heard"), F.array(F.struct(F.lit("L01").alias("line_id"), F.col("reference").alias("text"))).alias("lines"))
     return alignment.decide(ask, alignment.inventory(ask))
+
+
+@query("""SELECT item_id, len(list_filter(range(1, length(text) + 1), lambda i: substr(text, i, 2) = 'an')) AS n, position('an' IN text) - 1 AS first FROM benchmark""")
+def q63_occurrences(spark: SparkSession, d: str) -> DataFrame:
+    """Places of a needle, overlapping ones too."""
+    at = text.occurrences(F.col("text"), F.lit("an"))
+    return table(spark, d, "benchmark").select("item_id", F.size(at).cast("long").alias("n"), F.coalesce(F.try_element_at(at, F.lit(1)), F.lit(-1)).cast("long").alias("first"))
+
+
+@query(f"WITH {EVAL} SELECT id, len(regexp_extract_all(baseline, '[^\\s]+')) AS words, length(baseline) - length(replace(baseline, ' ', '')) AS spaces FROM eval")
+def q64_word_tokens(spark: SparkSession, d: str) -> DataFrame:
+    """Word tokens of ASCII texts."""
+    b = F.col("baseline")
+    return evaluation(table(spark, d, "documents")).select("id", F.size(text.word_tokens(b)).cast("long").alias("words"), (F.length(b) - F.length(F.replace(b, F.lit(" "), F.lit("")))).cast("long").alias("spaces"))
