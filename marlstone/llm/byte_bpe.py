@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 #: States of the transducer that are determinised, and pieces whose ids a generation remembers.
 MAX_STATES = 60_000
-MAX_PIECES = 600_000
+MAX_PIECES = 250_000
 MAX_PIECE_CHARS = 64
 
 
@@ -126,7 +126,7 @@ class Vocabulary:
         known = self._fits[left]
         found = known.get(right)
         if found is None:
-            if self._known > 2_000_000:
+            if self._known > 500_000:
                 for d in self._fits:
                     d.clear()
                 self._known = 0

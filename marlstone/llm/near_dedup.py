@@ -7,8 +7,8 @@
    partitions; the ends of partitions meet in one more small pass. In each order a representative
    meets its neighbours with the longest common prefix, at least MIN_DEPTH values deep, and keeps
    those whose whole signatures agree most.
-3. Links are confirmed on full shingle sets: first the most alike pair of each representative, then
-   the other pairs that still join two components.
+3. Links are confirmed on full shingle sets: in a few rounds the most alike pair of each
+   representative that still joins two components, then all others that do.
 4. The rest, exactly: in every region (equal prefix of MIN_DEPTH values) that holds several
    components, each row outside the region's largest component is a query against all rows of the
    region, block by block, first by signature and then on full sets. Where that would be too much
@@ -31,7 +31,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marlstone.llm.shared import materialise
+from marlstone.llm.shared import drop_table, materialise
 
 WORD = re.compile("[^\x20\x09-\x0d]+")
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -50,6 +50,8 @@ class Forest:
     #: Rows ahead in a sorted order that a row looks at, and how many of those it keeps.
     window: int = 16
     keep: int = 2
+    #: Rounds in which each row's most alike open pair is confirmed, before all that are still open are.
+    best_rounds: int = 3
     #: Rows of a block of queries or of their targets, and the pairs of a region above which it is split deeper.
     block: int = 4096
     work: int = 50_000_000
@@ -85,7 +87,7 @@ class _Words(dict):
     """Word to 64-bit hash, bounded by starting again."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 400_000:
+        if len(self) > 250_000:
             self.clear()
         self[word] = value = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
         return value
@@ -374,8 +376,10 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         low = labels.join(near.withColumnRenamed("a", "id"), "id").select("id", F.col("comp").alias("before"), F.least("comp", "near").alias("comp"))
         own = labels.select(F.col("id").alias("comp"), F.col("comp").alias("above"))
         new = materialise(low.join(own, "comp").select("id", F.least("comp", "above").alias("comp"), (F.least("comp", "above") != F.col("before")).alias("moved")), "labels")
+        drop_table(labels)
         labels = new.select("id", "comp")
         if not new.where("moved").take(1):
+            drop_table(both)
             return labels
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")
 
@@ -409,24 +413,31 @@ def _linked_components(texts: DataFrame, reps: DataFrame, f: Forest) -> DataFram
     # The one shuffle of all texts: from here on only those of rows that share a region move.
     nodes = pairs.select(end).unionByName(shared.select("id")).distinct()
     near = materialise(texts.join(nodes.hint("merge"), "id", "left_semi"), "texts")
-    best = pairs.select(end, F.struct("equal", F.xxhash64("a", "b").alias("any"), "a", "b").alias("p")).groupBy("id").agg(F.max("p").alias("p"))
-    first = materialise(best.select("p.a", "p.b").distinct(), "best")
-    links = materialise(confirm(first, near, f), "links")
-    comps = components(links)
-    cross = _crossing(pairs.join(first, ["a", "b"], "left_anti"), comps)
-    links = materialise(links.unionByName(confirm(cross, near, f)), "links")
-    comps = components(links)
+    comps = tested = None
+    for turn in range(f.best_rounds + 1):
+        left = pairs if tested is None else materialise(_crossing(pairs.join(tested, ["a", "b"], "left_anti"), comps), "crossing")
+        if turn < f.best_rounds:  # the most alike pair of each row; most of the others are then within a component
+            best = left.select(end, F.struct("equal", F.xxhash64("a", "b").alias("any"), "a", "b").alias("p")).groupBy("id").agg(F.max("p").alias("p"))
+            left = materialise(best.select("p.a", "p.b").distinct(), "best")
+        found = confirm(left, near, f)
+        comps = components(found if comps is None else found.unionByName(_stars(comps)))
+        tested = left.select("a", "b") if tested is None else tested.unionByName(left.select("a", "b"))
     asked = materialise(promising(blocks(shared, comps, f), f), "asked")
     more = materialise(confirm_blocks(asked, near, f), "links")
-    return components(links.unionByName(more)) if more.take(1) else comps
+    return components(more.unionByName(_stars(comps))) if more.take(1) else comps
+
+
+def _stars(comps: DataFrame) -> DataFrame:
+    """Components as edges, which stand for all links found before."""
+    return comps.where("id <> comp").select(F.col("id").alias("a"), F.col("comp").alias("b"))
 
 
 def _crossing(pairs: DataFrame, comps: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose ends are in two components."""
+    """The pairs (a, b, equal) whose ends are in two components."""
     a = comps.select(F.col("id").alias("a"), F.col("comp").alias("ca"))
     b = comps.select(F.col("id").alias("b"), F.col("comp").alias("cb"))
     joined = pairs.join(a, "a", "left").join(b, "b", "left")
-    return joined.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
+    return joined.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b", "equal")
 
 
 def deduplicate(docs: DataFrame, f: Forest | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -44,13 +44,13 @@ def materialise(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def drop_table(spark: SparkSession, df: DataFrame) -> None:
-    """Delete the files of a table that `materialise` wrote, through Hadoop's file system API."""
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+def drop_table(df: DataFrame) -> None:
+    """Delete the files of a table that `materialise` wrote and nothing reads any more, through Hadoop's file systems."""
+    spark = df.sparkSession
     for parent in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
         if "/marlstone/" in parent:
-            path = jvm.org.apache.hadoop.fs.Path(parent)
-            path.getFileSystem(conf).delete(path, True)
+            path = spark._jvm.org.apache.hadoop.fs.Path(parent)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def bounded_batches(spark: SparkSession, max_bytes: int = 32_000_000) -> None:
