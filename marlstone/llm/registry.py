@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
 from marlstone.llm import byte_bpe, chat_format, decontaminate, exact_dedup, html_extract, lang_id, license_scan, near_dedup, quality, warc
-from marlstone.llm.shared import scratch_path, table
+from marlstone.llm.shared import bounded_batches, scratch_path, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -38,7 +38,9 @@ def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All of `documents`; SQL has no such model."""
-    return lang_id.op5_language_id(table(spark, sf_dir, "documents"))
+    docs = table(spark, sf_dir, "documents")
+    bounded_batches(spark, 32_000_000)  # Viterbi steps through all texts of a batch together
+    return lang_id.op5_language_id(docs)
 
 
 def op6_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -53,7 +53,7 @@ def drop_table(df: DataFrame) -> None:
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def bounded_batches(spark: SparkSession, max_bytes: int = 32_000_000) -> None:
+def bounded_batches(spark: SparkSession, max_bytes: int = 8_000_000) -> None:
     """Bound the Arrow batches that Python workers get by bytes, so that long texts don't gather by the thousand."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(max_bytes))
 
