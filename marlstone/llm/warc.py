@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from marlstone.llm.shared import tidy
+
 CRLF = "\r\n"
 #: Payloads of fewer bytes are always written again.
 LEAST_REVISIT_BYTES = 100
@@ -129,7 +131,7 @@ def read_records(spark: SparkSession, path: str, with_payload: bool = True) -> D
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema)
 
-    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, ", ".join(f"{n} {t}" for n, t in _RECORD))
+    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(tidy(run), ", ".join(f"{n} {t}" for n, t in _RECORD))
 
 
 def assemble(records: DataFrame) -> DataFrame:
@@ -159,7 +161,8 @@ def captures(assembled: DataFrame) -> DataFrame:
         F.coalesce("response.n_bytes", "metadata.said_bytes").alias("payload_bytes"),
         F.when(ok, F.col("response.digest")).otherwise(F.raise_error(F.lit("a payload differs from its digest"))).alias("payload_digest"),
         F.col("response.kind").alias("record_type"),
-        F.col("response.refers_to").alias("to"),
+        F.coalesce("response.refers_to", "capture_id").alias("to"),  # a response meets itself, so no null key gathers rows
     )
     origin = flat.where("record_type = 'response'").groupBy(F.col("capture_id").alias("to")).agg(F.min("page_id").alias("refers_to"))
-    return flat.join(origin, "to", "left").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    found = flat.join(origin, "to", "left")
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", F.when(F.col("record_type") == "revisit", F.col("refers_to")).alias("refers_to"))
