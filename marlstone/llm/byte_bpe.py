@@ -23,9 +23,11 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from marlstone.llm.shared import keep_between_tasks, tidy
+
 #: States of the transducer that are determinised, and pieces whose ids a generation remembers.
 MAX_STATES = 60_000
-MAX_PIECES = 250_000
+MAX_PIECES = 600_000
 MAX_PIECE_CHARS = 64
 
 
@@ -302,6 +304,7 @@ class StreamDecoder:
 
 
 _LOADED: dict[str, Vocabulary] = {}
+keep_between_tasks(__name__, _LOADED.clear)
 
 
 def vocabulary(rank_file: bytes, pattern: str) -> Vocabulary:
@@ -345,7 +348,7 @@ def encode_documents(docs: DataFrame, rank_path: str, pattern: str, id_col: str
             cols = {"doc_id": batch.column(0), "n_tokens": n_tokens, "ids": all_ids, "ids_sha256": id_digests, "decoded_sha256": digests}
             yield pa.RecordBatch.from_arrays([cols[n] if n == "doc_id" else pa.array(cols[n], t) for n, _, t in fields], schema=schema)
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(encode, ", ".join(f"{n} {t}" for n, t, _ in fields))
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(tidy(encode), ", ".join(f"{n} {t}" for n, t, _ in fields))
 
 
 def decode_documents(encoded: DataFrame, rank_path: str, pattern: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
@@ -358,4 +361,4 @@ def decode_documents(encoded: DataFrame, rank_path: str, pattern: str, id_col: s
             texts = [None if ids is None else decode(v, ids).decode("utf-8", "replace") for ids in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=["doc_id", "text"])
 
-    return encoded.select(F.col(id_col).cast("long").alias("doc_id"), F.col(ids_col).alias("ids")).mapInArrow(run, "doc_id long, text string")
+    return encoded.select(F.col(id_col).cast("long").alias("doc_id"), F.col(ids_col).alias("ids")).mapInArrow(tidy(run), "doc_id long, text string")

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marlstone.llm.shared import materialise
+from marlstone.llm.shared import keep_between_tasks, materialise, tidy
 
 WINDOW = 10
 MAX_BLOCK_BYTES = 1_000_000
@@ -80,6 +80,7 @@ def merged(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 
 _BUILT: dict[str, Windows] = {}
+keep_between_tasks(__name__, _BUILT.clear)
 
 
 def _automaton(items: list[tuple[str, str | None]], window: int, key: str) -> Windows:
@@ -146,7 +147,7 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", tex
 
         if k and k % CHAIN == 0:
             out = materialise(out, "hits")
-        out = out.mapInArrow(scan, ", ".join(f"{n} {t}" for n, t, _ in fields))
+        out = out.mapInArrow(tidy(scan), ", ".join(f"{n} {t}" for n, t, _ in fields))
     return out
 
 
@@ -167,7 +168,7 @@ def remove_contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> Dat
                 text = batch.column(batch.schema.get_field_index(text_col))
                 yield batch.filter(pa.array([not windows.scan(words_of(t.as_py()))[0] for t in text], pa.bool_()))
 
-        docs = docs.mapInArrow(keep, docs.schema)
+        docs = docs.mapInArrow(tidy(keep), docs.schema)
     return docs
 
 

@@ -19,7 +19,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marlstone.llm.shared import rows_of, sample_ids
+from marlstone.llm.shared import rows_of, sample_ids, tidy
 
 #: Labelled rows that a model is fitted on, and the longest of them in characters.
 SAMPLE_ROWS = 3_000
@@ -255,7 +255,7 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
             yield pa.RecordBatch.from_arrays(cols, names=names)
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, "doc_id long, lang_pred string, score double" + ", spans array<struct<start:int,end:int,lang:string>>" * with_spans)
+    return rows.mapInArrow(tidy(run), "doc_id long, lang_pred string, score double" + ", spans array<struct<start:int,end:int,lang:string>>" * with_spans)
 
 
 def _places(text: str) -> list[tuple[int, int]]:

@@ -31,7 +31,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marlstone.llm.shared import drop_table, materialise
+from marlstone.llm.shared import drop_table, keep_between_tasks, materialise, tidy
 
 WORD = re.compile("[^\x20\x09-\x0d]+")
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -94,6 +94,7 @@ class _Words(dict):
 
 
 _WORDS = _Words()
+keep_between_tasks(__name__, _WORDS.clear)
 
 
 def shingles(text: str | None, n: int = 5) -> np.ndarray:
@@ -146,7 +147,7 @@ def sketch(docs: DataFrame, f: Forest, id_col: str = "doc_id", text_col: str = "
             made = [pa.array(n, pa.int64()), *(pa.array(c, pa.binary()) for c in (keys, sigs, briefs))]
             yield pa.RecordBatch.from_arrays([batch.column(0), *made], names=["doc_id", "n_shingles", "set_key", "sig", "brief"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, n_shingles long, set_key binary, sig binary, brief binary")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(tidy(run), "doc_id long, n_shingles long, set_key binary, sig binary, brief binary")
 
 
 # --- candidates -----------------------------------------------------------------------------------
@@ -214,7 +215,7 @@ def _sweep(rows: DataFrame, f: Forest) -> DataFrame:
             yield _row_batch(2, {k: v[tail["shared"]] for k, v in tail.items()})
             yield _row_batch(1, tail)
 
-    return rows.mapInArrow(run, _SWEPT)
+    return rows.mapInArrow(tidy(run), _SWEPT)
 
 
 def candidates(rows: DataFrame, f: Forest) -> tuple[DataFrame, DataFrame]:
@@ -277,7 +278,7 @@ def _by_group(df: DataFrame, run, schema: str) -> DataFrame:
         if rest is not None and rest.num_rows and (made := run(rest)) is not None:
             yield made
 
-    return df.repartition("g").sortWithinPartitions("g").mapInArrow(groups, schema)
+    return df.repartition("g").sortWithinPartitions("g").mapInArrow(tidy(groups), schema)
 
 
 def promising(rows: DataFrame, f: Forest) -> DataFrame:
@@ -360,7 +361,7 @@ def confirm(pairs: DataFrame, texts: DataFrame, f: Forest) -> DataFrame:
             keep = [linked(of(a[k], batch.column(2)[k]), of(b[k], batch.column(3)[k]), f.percent) for k in range(batch.num_rows)]
             yield pa.RecordBatch.from_arrays(batch.columns[:2], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return both.mapInArrow(run, "a long, b long")
+    return both.mapInArrow(tidy(run), "a long, b long")
 
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:

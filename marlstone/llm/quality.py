@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marlstone.llm.lang_id import held_out
-from marlstone.llm.shared import rows_of, sample_ids
+from marlstone.llm.shared import rows_of, sample_ids, tidy
 
 #: Labelled rows that the network is fitted on at most (half of each label at most), and their longest text.
 SAMPLE_ROWS = 2_000
@@ -217,7 +217,7 @@ def score(docs: DataFrame, net: Network, id_col: str = "doc_id", text_col: str =
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([scorer.score(x.as_py()) for x in batch.column(1)], pa.float64())], names=["doc_id", "score"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, score double")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(tidy(run), "doc_id long, score double")
 
 
 def _scorer(packed: bytes) -> Scorer:
@@ -236,7 +236,7 @@ def keep_good(docs: DataFrame, net: Network, threshold: float = THRESHOLD, text_
             texts = batch.column(batch.schema.get_field_index(text_col))
             yield batch.filter(pa.array([scorer.score(x.as_py()) >= threshold for x in texts], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)
 
 
 def op9_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:

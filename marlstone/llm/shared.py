@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import math
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -74,3 +78,35 @@ def rows_of(rows: DataFrame, ids: list[int], key: str = "doc_id") -> DataFrame:
     """The rows whose key is one of a bounded list, by a broadcast of the list."""
     listed = rows.sparkSession.createDataFrame([(i,) for i in ids], f"{key} long")
     return rows.join(F.broadcast(listed), key, "left_semi")
+
+
+#: What operators keep in a Python worker between tasks: module to a function that lets it go.
+_KEPT: dict[str, Callable[[], None]] = {}
+
+
+def keep_between_tasks(owner: str, forget: Callable[[], None]) -> None:
+    """Say how to let go what the module `owner` keeps in a worker."""
+    _KEPT[owner] = forget
+
+
+def forget_others(owner: str) -> None:
+    """Let go what other operators keep in this worker; workers are shared by all stages."""
+    for name, forget in _KEPT.items():
+        if name != owner:
+            forget()
+
+
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The same function over Arrow batches: other operators' caches go when its task begins, freed memory when it ends."""
+    owner = run.__module__
+
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget_others(owner)
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(OSError, AttributeError):  # other C libraries have no such call
+                ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+    return wrapped
