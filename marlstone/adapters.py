@@ -76,8 +76,8 @@ LINE = r"""line AS (
 
 
 def evaluation(documents: DataFrame) -> DataFrame:
-    """id, lang, source, reference and two hypotheses of ASCII text, as a recogniser and its correction would give."""
-    base = F.substring(F.regexp_replace("text", r"[^\x20-\x7e]", ""), 1, 80)
+    """id, lang, source, reference and two hypotheses of whole texts' ASCII characters, as a recogniser and its correction would give."""
+    base = F.regexp_replace("text", r"[^\x20-\x7e]", "")
     rows = documents.select(F.col("doc_id").alias("id"), "lang", "source", base.alias("reference"))
     heard = F.regexp_replace(F.regexp_replace("reference", "the", "teh"), "o", "0")
     fixed = F.when(F.col("id") % 4 == 0, F.col("baseline")).when(F.col("id") % 4 == 1, F.regexp_replace("baseline", "0", "o")).when(F.col("id") % 4 == 2, F.col("reference")).otherwise(F.regexp_replace("baseline", "e", ""))

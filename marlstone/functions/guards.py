@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from marlstone.config import Guard
-from marlstone.functions.text import digit_tokens, is_subset
+from marlstone.functions.text import digit_tokens, edit_ratio, is_subset
 
 # Evidence roles that never support a change.
 RISKY_ROLES = ("ui_or_watermark", "uncertain")
@@ -17,7 +17,7 @@ def proposal_reason(heard: Column, proposed: Column, heard_key: Column, proposed
 
     heard_key and proposed_key are the texts as compared (normalised); evidence and known are arrays of line ids.
     """
-    ratio = F.levenshtein(heard_key, proposed_key) / F.greatest(F.length(heard_key), F.lit(1))
+    ratio = edit_ratio(heard_key, proposed_key)
     limit = F.when(role == "translated_subtitle", F.least(F.lit(cfg.max_edit_ratio), F.lit(cfg.translated_ratio))).when((role == "proper_noun_or_title") & (confidence >= cfg.proper_noun_confidence), F.greatest(F.lit(cfg.max_edit_ratio), F.lit(cfg.proper_noun_ratio))).otherwise(cfg.max_edit_ratio)
     new_digits = F.array_sort(F.array_except(digit_tokens(proposed), digit_tokens(heard)))
     return (

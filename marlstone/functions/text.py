@@ -145,9 +145,16 @@ def word_tokens(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(r"([㐀-䶿一-鿿豈-﫿]|[^\s㐀-䶿一-鿿豈-﫿]+)"), F.lit(1))
 
 
+def edit_distance(left: Column, right: Column) -> Column:
+    """Edit distance, exact at any length: within a band of 1/16 of the longer text, else of 1/4, else in full."""
+    longer = F.greatest(F.length(left), F.length(right))
+    within = lambda part: F.nullif(F.call_function("levenshtein", left, right, (longer / part).cast("int")), F.lit(-1))
+    return F.coalesce(within(16), within(4), F.levenshtein(left, right))
+
+
 def edit_ratio(left: Column, right: Column) -> Column:
     """Edit distance of two normalised texts over the length of the first."""
-    return F.levenshtein(left, right) / F.greatest(F.length(left), F.lit(1))
+    return edit_distance(left, right) / F.greatest(F.length(left), F.lit(1))
 
 
 def split_lines(text: Column) -> Column:

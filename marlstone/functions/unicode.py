@@ -36,15 +36,24 @@ def _words(text: str | None) -> list[str]:
 
 
 def distance(a: list | str, b: list | str) -> int:
-    """Edit distance of two sequences, by rows of the shorter one."""
-    if len(a) < len(b):
-        a, b = b, a
-    row = list(range(len(b) + 1))
-    for i, x in enumerate(a, 1):
-        diagonal, row[0] = row[0], i
-        for j, y in enumerate(b, 1):
-            diagonal, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, diagonal + (x != y))
-    return row[-1]
+    """Edit distance of two sequences: a column of the table at a time, its steps up and down as bits of two numbers (Myers)."""
+    if not a or not b:
+        return len(a) + len(b)
+    places: dict = {}
+    for i, x in enumerate(a):
+        places.setdefault(x, bytearray((len(a) + 7) // 8))[i // 8] |= 1 << i % 8
+    found = {x: int.from_bytes(v, "little") for x, v in places.items()}
+    every, last, score = (1 << len(a)) - 1, 1 << (len(a) - 1), len(a)
+    up, down = every, 0
+    for y in b:
+        same = found.get(y, 0)
+        vertical = same | down
+        level = (((same & up) + up) ^ up) | same
+        more, less = down | (every & ~(level | up)), up & level & every
+        score += (more >= last) - (less >= last)
+        more, less = more << 1 | 1, less << 1
+        up, down = (less | ~(vertical | more)) & every, more & vertical & every
+    return score
 
 
 @pandas_udf(T.StringType())

@@ -97,7 +97,7 @@ SELECT a.item_id AS a, b.item_id AS b, len(list_intersect(a.grams, b.grams)) AS
 FROM g a JOIN g b ON b.item_id = a.item_id + 1""")
 def q12_ngram_jaccard(spark: SparkSession, d: str) -> DataFrame:
     """Character bigrams of neighbouring benchmark items."""
-    t = F.substring(F.lower(F.regexp_replace("text", "[^A-Za-z ]", "")), 1, 60)
+    t = F.lower(F.regexp_replace("text", "[^A-Za-z ]", ""))
     g = table(spark, d, "benchmark").select("item_id", text.ngrams(t).alias("grams"))
     b = g.select((F.col("item_id") - 1).alias("a"), F.col("item_id").alias("b"), F.col("grams").alias("h"))
     pairs = g.withColumnRenamed("item_id", "a").join(b, "a")
@@ -107,8 +107,8 @@ def q12_ngram_jaccard(spark: SparkSession, d: str) -> DataFrame:
 @query(f"""WITH {EVAL} SELECT id, levenshtein(reference, baseline) AS edits, round(levenshtein(reference, baseline) / greatest(length(reference), 1), 6) AS ratio FROM eval""")
 def q13_edit_ratio(spark: SparkSession, d: str) -> DataFrame:
     """Edit distance of ASCII texts and their hypotheses."""
-    rows = evaluation(table(spark, d, "documents"))
-    return rows.select("id", F.levenshtein("reference", "baseline").cast("long").alias("edits"), F.round(text.edit_ratio(F.col("reference"), F.col("baseline")), 6).alias("ratio"))
+    rows = evaluation(table(spark, d, "documents")).withColumn("edits", text.edit_distance(F.col("reference"), F.col("baseline")))
+    return rows.select("id", F.col("edits").cast("long").alias("edits"), F.round(F.col("edits") / F.greatest(F.length("reference"), F.lit(1)), 6).alias("ratio"))
 
 
 CER = """rated AS (
