@@ -31,6 +31,7 @@ SPACE = frozenset("br wbr hr img td th li".split())
 HINT = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|banner|breadcrumbs?|comments?|cookies?|consent|disqus|footer|header|login|masthead|menu|modal|nav\w*|newsletter|notice|pager|pagination|popup|promo\w*|related|replies|reply|share|sharing|sidebar|signup|social|sponsor\w*|subscribe|toolbar|widget)(?:$|[\s_-])", re.I)
 _TAG = re.compile(r"<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>\"']+|\"[^\"]*\"|'[^']*')*)>")
 _LOOSE_TAG = re.compile(r"<(/?)([A-Za-z][A-Za-z0-9:-]*)([^>]*)>")
+_OPENS = re.compile(r"</?[A-Za-z]")
 _ATTR = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _HIDDEN = re.compile(r"(?:^|\s)hidden(?:[\s=/]|$)|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
 
@@ -103,8 +104,12 @@ def segment(page: str) -> list[Block]:
             continue
         m = _TAG.match(page, lt) or _LOOSE_TAG.match(page, lt)
         if not m:
-            if page[lt + 1 : lt + 2].isalpha() or page[lt + 1 : lt + 2] == "/":
-                break  # a tag cut off by the end of the page
+            if _OPENS.match(page, lt):
+                break  # a tag cut off by the end of the page: no ">" follows, or _LOOSE_TAG had matched
+            if page.startswith("</", lt) and lt + 2 < n:
+                end = page.find(">", lt)  # a bogus comment
+                at = n if end < 0 else end + 1
+                continue
             parts.append(("<", counts["a"] > 0))
             at = lt + 1
             continue

@@ -91,6 +91,17 @@ def test_blocks():
     assert (blocks[0].words, blocks[0].linked) == (6, 2)
 
 
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ("a</>b", "ab"), ("a</ p>b", "ab"), ("a</3 x>b", "ab"), ("a</é>b", "ab"), ("a <é b", "a <é b"), ("a <中文> b", "a <中文> b"), ("a < b", "a < b"), ("a <3 b", "a <3 b"), ("a <", "a <"), ("a </", "a </"),
+        ("a </ p", "a"), ("a </p", "a"), ("a <p b", "a"), ("a <b 'x> c", "a c"),
+    ],
+)
+def test_less_than_signs_that_open_no_tag(page, text):
+    assert [b.text for b in html_extract.segment(page)] == [text]
+
+
 def test_main_text_leaves_the_edges_out():
     article = "<article><h1>Title</h1><p>First  line\nof text.<p>Word.<ul><li>item one</li><li>item two</li></ul><div class='comments'><p>I think so too, thank you very much for this.</p></div><form>Name <input></form></article>"
     page = f"<html><head><title>t</title></head><body><header><a href=/>Home</a></header><nav><ul><li><a>One</a></li><li><a>Two</a></li></ul></nav><div class='ad'>Buy this very nice thing today and save a lot of money now.</div>{article}<aside><p>See also these other long stories about many things.</p></aside><div id=cookie-notice>We use cookies.</div><footer>&copy; 2024 us and others</footer></body></html>"
