@@ -1,8 +1,8 @@
 """Licence scans: sparse TF-IDF cosine of header lines to templates, then inheritance from licence files.
 
 DataFrame operations only. Document frequencies of the templates' words are counted over all files; a
-word of no template has the largest weight. A header is a line with an anchor word. Its cosine to each
-template is a sum over its words, joined to the (small, fixed) table of template weights. A file
+word of no template has the largest weight. A header is a line, a block of adjacent lines or a whole licence
+file with an anchor word; an SPDX identifier names its licence. A header's cosine to each template is a sum over its words, joined to the (small, fixed) table of template weights. A file
 without a licence of its own takes that of the nearest directory above it that has a licence file.
 """
 
@@ -12,6 +12,8 @@ import math
 import re
 from collections import Counter
 from dataclasses import dataclass, field
+from functools import cache
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -33,17 +35,38 @@ TEMPLATES: tuple[tuple[str, str], ...] = (
     ("CC0-1.0", "Dedicated to the public domain under the CC0 1.0 license."),
     ("Unlicense", "This is free and unencumbered software released into the public domain under the Unlicense."),
 )
+# Paragraphs of the customary file headers, which are wrapped over several lines.
+_GNU = "This program is free software: you can redistribute it and/or modify it under the terms of the GNU {} as published by the Free Software Foundation, either version {} of the License, or (at your option) any later version."
+HEADERS: tuple[tuple[str, str], ...] = (
+    ("GPL-3.0", _GNU.format("General Public License", "3")),
+    ("GPL-2.0", _GNU.format("General Public License", "2")),
+    ("LGPL-3.0", _GNU.format("Lesser General Public License", "3")),
+    ("LGPL-2.1", _GNU.format("Lesser General Public License", "2.1")),
+    ("AGPL-3.0", _GNU.format("Affero General Public License", "3")),
+    ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0"),
+    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."),
+)
 #: A line is a header if it has one of these (any case); a file is a licence file if its name matches the other.
 ANCHOR = r"(?i)licen[sc]e|copyright|spdx|redistribut|permission is hereby|public domain"
 LICENSE_FILE = r"(?i)^(?:licen[sc]e|copying|unlicense|notice)(?:[.-][a-z0-9.-]*)?$"
 TOKEN = "[A-Za-z0-9]+"
 THRESHOLD = 0.7
+#: Lines of a block are all comments or all not; lines without a letter or digit stand between blocks.
+COMMENT = r"^\s*(?:#|//|/\*|\*|--|;|%|<!--)"
+SPDX = r"(?i)spdx-license-identifier:[ \t]*\(?([a-z0-9.+-]+(?:[ \t]+(?:and|or|with)[ \t]+[a-z0-9.+-]+)*)"
 
 
 def words(text: str) -> list[str]:
     return [w.lower() for w in re.findall(TOKEN, text)]
 
 
+@cache
+def templates() -> tuple[tuple[str, str], ...]:
+    """Name and text of short forms, headers and full licence texts."""
+    full = sorted((Path(__file__).parent / "licenses").glob("*.txt"))
+    return (*TEMPLATES, *HEADERS, *((p.stem, p.read_text(encoding="utf-8")) for p in full))
+
+
 @dataclass
 class Weights:
     """Inverse document frequencies and unit template vectors, from n files and the counts of template words."""
@@ -54,7 +77,7 @@ class Weights:
     vectors: list[dict[str, float]] = field(default_factory=list)
 
     def __post_init__(self) -> None:
-        for name, text in TEMPLATES:
+        for name, text in templates():
             tf = Counter(words(text))
             v = {w: k * self.idf(w) for w, k in tf.items()}
             norm = math.sqrt(sum(x * x for x in v.values()))
@@ -67,7 +90,7 @@ class Weights:
 
 def vocabulary() -> list[str]:
     """The words of all templates."""
-    return sorted({w for _, t in TEMPLATES for w in words(t)})
+    return sorted({w for _, t in templates() for w in words(t)})
 
 
 def tokens(text: Column) -> Column:
@@ -82,22 +105,48 @@ def weigh(files: DataFrame, text_col: str = "text") -> Weights:
     return Weights(counts.pop("", 0), counts)
 
 
-def headers(files: DataFrame, weights: Weights, key: str, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """(key, license, score) of each file that has a header: its most similar template; ties go to the earlier line, then template."""
+def units(text: Column, whole: Column) -> Column:
+    """What is compared of a text, as (form, line, said): 0 lines, 1 blocks of several lines, 2 the whole if `whole`; each with an anchor word."""
+    lines = F.split(text, "\n", -1)
+    kind = lambda x: F.when(~x.rlike(r"[\p{L}\p{N}]"), 0).when(x.rlike(COMMENT), 1).otherwise(2)
+    # Each line with the one before it; the pair left over at the end is null and array_join leaves it out.
+    joined = F.zip_with(lines, F.concat(F.array(F.lit("")), lines), lambda x, before: F.concat(F.when(kind(x) == kind(before), "\n").otherwise("\0"), x))
+    blocks = F.split(F.array_join(joined, ""), "\0", -1)
+    made = lambda form, said: F.transform(said, lambda x, i: F.struct(F.lit(form).alias("form"), i.alias("line"), x.alias("said")))
+    some = F.concat(made(0, lines), F.filter(made(1, blocks), lambda u: u["said"].contains("\n")), F.filter(made(2, F.array(text)), lambda u: F.coalesce(whole, F.lit(False))))
+    return F.filter(some, lambda u: u["said"].rlike(ANCHOR))
+
+
+def identified(lines: DataFrame, key: str) -> DataFrame:
+    """Lines with an SPDX identifier, which names the licence; "-only", "-or-later" and "+" are left out."""
+    found = lines.where("form = 0").withColumn("name", F.regexp_extract("said", SPDX, 1)).where("name <> ''")
+    name = F.regexp_replace("name", r"(?i)(?:-only|-or-later|\+)(?=\s|$)", "")
+    known = F.create_map(*(F.lit(x) for n in dict.fromkeys(n for n, _ in templates()) for x in (n.lower(), n)))
+    return found.select(key, F.struct(F.lit(1.0).alias("score"), F.lit(0).alias("form"), (-F.col("line")).alias("line"), F.lit(1).alias("place"), F.coalesce(F.try_element_at(known, F.lower(name)), name).alias("license")).alias("b"))
+
+
+def headers(files: DataFrame, weights: Weights, key: str, text_col: str = "text", threshold: float = THRESHOLD, name_col: str | None = None) -> DataFrame:
+    """(key, license, score) of each file that has a header: its most similar template, or its SPDX identifier.
+
+    Lines, blocks of lines and (by the file name in name_col) whole licence files are compared; ties go to lines, then blocks, then
+    the earlier one, then template.
+    """
     spark = files.sparkSession
     has = F.col(text_col).rlike(ANCHOR)
-    lines = files.where(has).select(key, F.posexplode(F.split(text_col, "\n", -1)).alias("line", "said")).where(F.col("said").rlike(ANCHOR))
-    spread = lines.repartition(key, "line").select(key, "line", F.explode(tokens(F.col("said"))).alias("word"))
-    tf = spread.groupBy(key, "line", "word").agg(F.count(F.lit(1)).alias("tf"))
+    whole = F.col(name_col).rlike(LICENSE_FILE) if name_col else F.lit(False)
+    lines = files.where(has).select(key, F.inline(units(F.col(text_col), whole)))
+    spread = lines.repartition(key, "form", "line").select(key, "form", "line", F.explode(tokens(F.col("said"))).alias("word"))
+    tf = spread.groupBy(key, "form", "line", "word").agg(F.count(F.lit(1)).alias("tf"))
     columns = [f"t{i}" for i in range(len(weights.names))]
     table = [(w, weights.idf(w), *(v.get(w, 0.0) for v in weights.vectors)) for w in vocabulary()]
     known = spark.createDataFrame(table, f"word string, idf double, {', '.join(f'{c} double' for c in columns)}")
     w = F.col("tf") * F.coalesce("idf", F.lit(weights.idf(None)))
-    # The table of template words is fixed and has a few hundred rows at most.
-    sums = tf.join(F.broadcast(known), "word", "left").groupBy(key, "line").agg(F.sqrt(F.sum(w * w)).alias("norm"), *(F.coalesce(F.sum(w * F.col(c)), F.lit(0.0)).alias(c) for c in columns))
+    # The table of template words is fixed and has a few thousand rows.
+    sums = tf.join(F.broadcast(known), "word", "left").groupBy(key, "form", "line").agg(F.sqrt(F.sum(w * w)).alias("norm"), *(F.coalesce(F.sum(w * F.col(c)), F.lit(0.0)).alias(c) for c in columns))
     each = F.array(*(F.struct(F.round(F.col(c) / F.col("norm"), 9).alias("score"), F.lit(-i).alias("place"), F.lit(name).alias("license")) for i, (c, name) in enumerate(zip(columns, weights.names, strict=True))))
-    best = sums.select(key, (-F.col("line")).alias("line"), F.array_max(each).alias("b")).where(F.col("b.score") >= threshold)
-    return best.groupBy(key).agg(F.max(F.struct("b.score", "line", "b.place", "b.license")).alias("m")).select(key, F.col("m.license").alias("own_license"), F.col("m.score").alias("own_score"))
+    best = sums.select(key, "form", "line", F.array_max(each).alias("b")).where(F.col("b.score") >= threshold)
+    best = best.select(key, F.struct("b.score", (-F.col("form")).alias("form"), (-F.col("line")).alias("line"), "b.place", "b.license").alias("b")).unionByName(identified(lines, key))
+    return best.groupBy(key).agg(F.max("b").alias("m")).select(key, F.col("m.license").alias("own_license"), F.col("m.score").alias("own_score"))
 
 
 def scan(files: DataFrame, path_col: str = "path", id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
@@ -113,7 +162,7 @@ def scan(files: DataFrame, path_col: str = "path", id_col: str = "doc_id", text_
     path = F.regexp_replace(F.col(path_col).cast("string"), "^/+", "")
     rows = files.select(F.col(id_col).alias("id"), path.alias("path"), F.xxhash64(F.col(id_col), path, F.col(text_col)).alias("row"), F.col(text_col).alias("text"))
     rows = rows.withColumn("dir", F.regexp_replace("path", "/?[^/]*$", "")).withColumn("name", F.regexp_extract("path", "[^/]*$", 0))
-    own = headers(rows.where("text IS NOT NULL"), weights, "row", "text", threshold)
+    own = headers(rows.where("text IS NOT NULL"), weights, "row", "text", threshold, "name")
     narrow = rows.drop("text").join(own, "row", "left")
     listed = narrow.where(F.col("name").rlike(LICENSE_FILE) & F.col("own_license").isNotNull())
     by_dir = listed.groupBy("dir").agg(F.min(F.struct((-F.col("own_score")).alias("s"), "path", "own_license")).alias("m")).select(F.col("dir").alias("license_dir"), F.col("m.own_license").alias("dir_license"))

@@ -249,6 +249,19 @@ def test_license_scan(spark):
     assert license_scan.scan(df.limit(0)).count() == 0
 
 
+def test_wrapped_headers_licence_files_and_identifiers(spark):
+    from pathlib import Path
+
+    full = {p.stem: p.read_text() for p in (Path(license_scan.__file__).parent / "licenses").glob("*.txt")}
+    gpl = "/*\n * Copyright (C) 2020 A. Person\n *\n * This program is free software: you can redistribute it and/or modify\n * it under the terms of the GNU General Public License as published by\n * the Free Software Foundation, either version 3 of the License, or\n * (at your option) any later version.\n */\nint main;\n"
+    apache = '# Licensed under the Apache License, Version 2.0 (the "License");\n# you may not use this file except in compliance with the License.\n# You may obtain a copy of the License at\n#\n#     http://www.apache.org/licenses/LICENSE-2.0\nimport x\n'
+    files = [("a.c", gpl, "GPL-3.0"), ("b.c", gpl.replace("version 3", "version 2"), "GPL-2.0"), ("c.py", apache, "Apache-2.0"), ("d.py", "# x\n# Released under\n# the MIT License.\ncode", "MIT"), ("e.py", "# SPDX-License-Identifier: MIT\n", "MIT")]
+    files += [("f.py", "// SPDX-License-Identifier: GPL-3.0-or-later */", "GPL-3.0"), ("g.py", "no licence here\nat all", None)] + [(f"{n}/LICENSE", t, n) for n, t in full.items()]
+    df = spark.createDataFrame([(i, p, t) for i, (p, t, _) in enumerate(files)], "doc_id long, path string, text string")
+    got = {r["doc_id"]: r["own_license"] for r in license_scan.scan(df).collect()}
+    assert got == {i: want for i, (_, _, want) in enumerate(files)}
+
+
 def test_native_plans_have_no_python(spark):
     from marlstone.llm import chat_format, exact_dedup
 
