@@ -1,7 +1,6 @@
 """Licence scans: sparse TF-IDF cosine of header lines to templates, then inheritance from licence files.
 
-DataFrame operations only. Document frequencies of the templates' words are counted over all files; a
-word of no template has the largest weight. A header is a line, a block of adjacent lines or a whole licence
+DataFrame operations only. Document frequencies of all words are counted over all files. A header is a line, a block of adjacent lines or a whole licence
 file with an anchor word; an SPDX identifier names its licence. A header's cosine to each template is a sum over its words, joined to the (small, fixed) table of template weights. A file
 without a licence of its own takes that of the nearest directory above it that has a licence file.
 """
@@ -84,7 +83,7 @@ class Weights:
             self.names.append(name)
             self.vectors.append({w: x / norm for w, x in v.items()})
 
-    def idf(self, word: str | None) -> float:
+    def idf(self, word: str) -> float:
         return math.log((1 + self.n) / (1 + self.df.get(word, 0))) + 1
 
 
@@ -105,6 +104,11 @@ def weigh(files: DataFrame, text_col: str = "text") -> Weights:
     return Weights(counts.pop("", 0), counts)
 
 
+def frequencies(files: DataFrame, text_col: str = "text") -> DataFrame:
+    """(word, df): in how many files each word occurs."""
+    return files.select(F.explode(F.array_distinct(tokens(F.col(text_col)))).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("df"))
+
+
 def units(text: Column, whole: Column) -> Column:
     """What is compared of a text, as (form, line, said): 0 lines, 1 blocks of several lines, 2 the whole if `whole`; each with an anchor word."""
     lines = F.split(text, "\n", -1)
@@ -140,9 +144,12 @@ def headers(files: DataFrame, weights: Weights, key: str, text_col: str = "text"
     columns = [f"t{i}" for i in range(len(weights.names))]
     table = [(w, weights.idf(w), *(v.get(w, 0.0) for v in weights.vectors)) for w in vocabulary()]
     known = spark.createDataFrame(table, f"word string, idf double, {', '.join(f'{c} double' for c in columns)}")
-    w = F.col("tf") * F.coalesce("idf", F.lit(weights.idf(None)))
+    others = frequencies(files, text_col).join(F.broadcast(known.select("word")), "word", "left_anti")
+    # A word of no template has the weight of its own document frequency; one of `others` only if it occurs in a unit.
+    counted = F.log(F.lit(1.0 + weights.n) / (F.lit(1) + F.coalesce("df", F.lit(0)))) + 1
+    w = F.col("tf") * F.coalesce(F.col("idf"), counted)
     # The table of template words is fixed and has a few thousand rows.
-    sums = tf.join(F.broadcast(known), "word", "left").groupBy(key, "form", "line").agg(F.sqrt(F.sum(w * w)).alias("norm"), *(F.coalesce(F.sum(w * F.col(c)), F.lit(0.0)).alias(c) for c in columns))
+    sums = tf.join(F.broadcast(known), "word", "left").join(others, "word", "left").groupBy(key, "form", "line").agg(F.sqrt(F.sum(w * w)).alias("norm"), *(F.coalesce(F.sum(w * F.col(c)), F.lit(0.0)).alias(c) for c in columns))
     each = F.array(*(F.struct(F.round(F.col(c) / F.col("norm"), 9).alias("score"), F.lit(-i).alias("place"), F.lit(name).alias("license")) for i, (c, name) in enumerate(zip(columns, weights.names, strict=True))))
     best = sums.select(key, "form", "line", F.array_max(each).alias("b")).where(F.col("b.score") >= threshold)
     best = best.select(key, F.struct("b.score", (-F.col("form")).alias("form"), (-F.col("line")).alias("line"), "b.place", "b.license").alias("b")).unionByName(identified(lines, key))

@@ -249,6 +249,22 @@ def test_license_scan(spark):
     assert license_scan.scan(df.limit(0)).count() == 0
 
 
+def test_weights_of_words_of_no_template(spark):
+    import math
+    from collections import Counter
+
+    said = "Released under the MIT License, zorbly quux quux"
+    texts = [said, *["zorbly quux plain text"] * 30, "quux", None]
+    df = Counter(w for t in texts for w in set(license_scan.words(t or "")))
+    vector = lambda t: {w: k * (math.log((1 + len(texts)) / (1 + df[w])) + 1) for w, k in Counter(license_scan.words(t)).items()}
+    a, b = vector(said), vector(license_scan.TEMPLATES[0][1])
+    norm = lambda v: math.sqrt(sum(x * x for x in v.values()))
+    want = sum(x * b.get(w, 0) for w, x in a.items()) / norm(a) / norm(b)
+    files = spark.createDataFrame([(i, f"f{i}", t) for i, t in enumerate(texts)], "doc_id long, path string, text string")
+    row = license_scan.scan(files).where("doc_id = 0").first()
+    assert (row["own_license"], row["own_score"]) == ("MIT", pytest.approx(want, abs=1e-8))
+
+
 def test_wrapped_headers_licence_files_and_identifiers(spark):
     from pathlib import Path
 
