@@ -43,7 +43,7 @@ def words_of(text: str | None) -> list[bytes]:
 class Windows:
     """The automaton of a block of items: [(item_id, text)]. Its letters are word numbers; 0 is any other word."""
 
-    def __init__(self, items: list[tuple[str, str | None]], window: int = WINDOW) -> None:
+    def __init__(self, items: list[tuple[str | None, str | None]], window: int = WINDOW) -> None:
         self.number: dict[bytes, int] = {}
         found: dict[tuple[int, ...], set[str]] = {}
         for item, text in items:
@@ -83,7 +83,7 @@ _BUILT: dict[str, Windows] = {}
 keep_between_tasks(__name__, _BUILT.clear)
 
 
-def _automaton(items: list[tuple[str, str | None]], window: int, key: str) -> Windows:
+def _automaton(items: list[tuple[str | None, str | None]], window: int, key: str) -> Windows:
     """The block's automaton, built once per Python worker."""
     if key not in _BUILT:
         if len(_BUILT) >= CHAIN:
@@ -92,10 +92,10 @@ def _automaton(items: list[tuple[str, str | None]], window: int, key: str) -> Wi
     return _BUILT[key]
 
 
-def blocks_of(benchmark: DataFrame, item_col: str, text_col: str, max_block_bytes: int) -> Iterator[list[tuple[str, str | None]]]:
+def blocks_of(benchmark: DataFrame, item_col: str, text_col: str, max_block_bytes: int) -> Iterator[list[tuple[str | None, str | None]]]:
     """Item lists of at most `max_block_bytes` of text (one item at least), never all at once on the driver."""
-    rows = benchmark.select(F.col(item_col).cast("string"), text_col).where(F.col(item_col).isNotNull())
-    block: list[tuple[str, str | None]] = []
+    rows = benchmark.select(F.col(item_col).cast("string"), text_col)
+    block: list[tuple[str | None, str | None]] = []
     size = 0
     for item, text in rows.toLocalIterator():
         n = len((text or "").encode())
@@ -114,8 +114,8 @@ _FIELDS = [("doc_id", "long", pa.int64()), ("n_words", "long", pa.int64()), ("ra
 def find_hits(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, max_block_bytes: int = MAX_BLOCK_BYTES) -> DataFrame:
     """One row per document row: doc_id, n_words, hit word ranges, hit code-point spans of the original, sorted items.
 
-    Null and empty texts have no words and no hits. Items without an id or without words never
-    occur; repeated items count once. An empty benchmark hits nothing, but every document is
+    Null and empty texts have no words and no hits. Items without words never occur, those
+    without an id only leave no id; repeated items count once. An empty benchmark hits nothing, but every document is
     returned. Other columns are ignored.
     """
     out = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
@@ -141,7 +141,7 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", tex
                     cols["n_words"].append(len(words))
                     cols["ranges"].append([{"first": a, "end": b} for a, b in ranges])
                     cols["spans"].append([{"start": at[a][0], "end": at[b - 1][1]} for a, b in ranges])
-                    cols["items"].append(sorted(found))
+                    cols["items"].append(sorted(x for x in found if x is not None))
                 cols |= {"doc_id": batch.column(0), "text": texts}
                 yield pa.RecordBatch.from_arrays([pa.array(cols[n], t) if isinstance(cols[n], list) else cols[n].cast(t) for n, _, t in fields], schema=schema)
 

@@ -65,6 +65,14 @@ def test_hits_against_brute_force(spark, block):
     assert kept.columns == ["doc_id", "text", "ids", "ranges"]
 
 
+def test_items_without_an_id_hit_too(spark):
+    bench = spark.createDataFrame([(None, "one two three"), (7, "two three four")], "item_id long, text string")
+    d = docs(spark, [(1, "x one two three y"), (2, "one two three four"), (3, "x y z")])
+    got = {r["doc_id"]: (r["n_hit"], r["n_items"], r["contaminated"]) for r in decontaminate.op7_decontaminate(d, bench).collect()}
+    assert got == {1: (3, 0, True), 2: (4, 1, True), 3: (0, 0, False)}
+    assert [r["doc_id"] for r in decontaminate.remove_contaminated(d, bench).collect()] == [3]
+
+
 def test_no_benchmark_and_no_documents(spark):
     none = spark.createDataFrame([], "item_id long, text string")
     assert [r["contaminated"] for r in decontaminate.op7_decontaminate(docs(spark, [(1, "a b")]), none).collect()] == [False]
