@@ -2,12 +2,12 @@
 
 Encoding rests on two facts about BPE: a token sequence is the encoding of its bytes exactly if each
 pair of neighbours is the encoding of its own bytes, and so the encodings of the prefixes of a text
-form a tree in which each prefix has one last token. The transducer reads a byte at a time and keeps
-the prefixes from which a longer token may still grow; as soon as all of them agree on earlier tokens
-it emits those. The lookahead is bounded by the longest token. Its states (what is kept, relative to
-what is emitted) and their moves are built when first met and then reused. When MAX_STATES are built
-the table is full: a piece that leaves it is then run by simulating the machine, that is by the last
-tokens of its prefixes, without building states.
+form a tree in which each prefix has one last token. The transducer reads a byte at a time. A state is
+the prefixes from which a longer token may still grow: the bytes since the first of them, which say
+where the others begin, and the last token of each. A move says which token ends at the byte; tokens
+are emitted as soon as all prefixes of the state agree on them, so the lookahead is bounded by the
+longest token. States and moves are built when first met and then reused by every piece. When
+MAX_STATES are built the table is emptied and the machine goes on from the state it is in.
 """
 
 from __future__ import annotations
@@ -25,10 +25,12 @@ from pyspark.sql import functions as F
 
 from marlstone.llm.shared import keep_between_tasks, tidy
 
-#: States of the transducer that are determinised, and pieces whose ids a generation remembers.
-MAX_STATES = 60_000
+#: States of the transducer that are kept at once, and pieces whose ids a generation remembers.
+MAX_STATES = 150_000
 MAX_PIECES = 600_000
 MAX_PIECE_CHARS = 64
+#: Bytes of a piece after which the tokens settled by then are emitted.
+EMIT_BYTES = 4_096
 
 
 def read_ranks(path: str, max_bytes: int = 64_000_000) -> bytes:
@@ -99,7 +101,15 @@ class Vocabulary:
         #: For each left token, whether right tokens fit it; `_known` counts these.
         self._fits: list[dict[int, bool]] = [{} for _ in self.token]
         self._known = 0
+        #: For the bytes since a state's first prefix, how many bytes ago each prefix ended and its place in the trie.
+        self.live: dict[bytes, tuple[tuple[int, dict], ...]] = {b"": ((0, self.trie),)}
+        self.ends: list[int] = []
+        self.moves: dict[int, int] = {}
         self._reset()
+        self.sizes = [len(t) if t is not None else 0 for t in self.token]
+        #: All tokens one after another, and where each begins and ends.
+        self.bytes = np.frombuffer(b"".join(t or b"" for t in self.token), np.uint8)
+        self.begins = np.concatenate([[0], np.cumsum(self.sizes)])
         self.clean = np.zeros(len(self.token), bool)
         for t, r in self.rank.items():
             try:
@@ -137,103 +147,81 @@ class Vocabulary:
         return found
 
     def _reset(self) -> None:
-        #: A state: ((pending bytes, tokens not emitted yet), ...) and the last token emitted (-1: none); `below`: trie nodes.
-        self.states: list[tuple] = [(((b"", ()),), -1)]
-        self.below: dict[bytes, dict | None] = {b"": self.trie}
-        self.number = {self.states[0]: 0}
-        #: (state * 256 + byte) to the next state, or to ~k where the k-th of `emits` is (next state, tokens emitted).
-        self.moves: dict[int, int] = {}
-        self.emits: list[tuple[int, tuple[int, ...]]] = []
-        self.emit_number: dict[tuple[int, tuple[int, ...]], int] = {}
+        """Forget all states; 0 is the beginning of a piece. The tables are emptied in place, as loops hold them."""
+        #: A state: the bytes since its first prefix, and the last token of each prefix from there on (-1: none).
+        self.states: list[tuple[bytes, tuple[int, ...]]] = []
+        self.number: dict[tuple[bytes, tuple[int, ...]], int] = {}
+        #: The token that ends where a state is reached.
+        self.ends.clear()
+        #: state * 256 + byte to the next state.
+        self.moves.clear()
+        self._number((b"", (-1,)))
+
+    def _number(self, key: tuple[bytes, tuple[int, ...]]) -> int:
+        """The number of a state, which is new if need be."""
+        found = self.number.get(key)
+        if found is None:
+            found = self.number[key] = len(self.states)
+            self.states.append(key)
+            self.ends.append(key[1][-1])
+        return found
 
     def _move(self, state: int, byte: int) -> int:
         """Build the move of a state by a byte."""
-        live, last = self.states[state]
-        kept, ended = [], None
-        for pending, chain in live:
-            token, below = self.below[pending].get(byte, (-1, None))
-            if token >= 0 and ended is None:
-                before = chain[-1] if chain else last
-                if before < 0 or self.fits(before, token):
-                    ended = (b"", (*chain, token))
+        key = self.states[state]
+        if len(self.states) >= MAX_STATES:
+            self._reset()
+            state = self._number(key)
+        pending, lasts = key
+        ended, grown, nodes, kept = -1, b"", [], []
+        for (size, node), last in zip(self.live[pending], lasts, strict=True):
+            token, below = node.get(byte, (-1, None))
+            if token >= 0 and ended < 0 and (last < 0 or self.fits(last, token)):
+                ended = token
             if below:
-                grown = pending + bytes([byte])
-                self.below[grown] = below
-                kept.append((grown, chain))
-        kept.append(ended)
-        first = kept[0][1]  # the prefix that began first has the fewest tokens
-        n = 0
-        if first:
-            for *_, chain in kept[::-1]:
-                if chain[:1] != first[:1]:
-                    break
-            else:
-                n = next((i for i in range(1, len(first)) if any(c[i] != first[i] for _, c in kept)), len(first))
-        if n:
-            kept = [(p, c[n:]) for p, c in kept]
-            last = first[n - 1]
-        key = (tuple(kept), last)
-        to = self.number.get(key)
-        if to is None:
-            to = self.number[key] = len(self.states)
-            self.states.append(key)
-        if n:
-            out = (to, first[:n])
-            if out not in self.emit_number:
-                self.emit_number[out] = len(self.emits)
-                self.emits.append(out)
-            to = ~self.emit_number[out]
-        self.moves[state << 8 | byte] = to
+                if not nodes:
+                    grown = pending[len(pending) - size :] + bytes([byte])
+                nodes.append((size + 1, below))
+                kept.append(last)
+        if grown not in self.live:
+            self.live[grown] = (*nodes, (0, self.trie))
+        to = self.moves[state << 8 | byte] = self._number((grown, (*kept, ended)))
         return to
 
-    def _simulate(self, piece: bytes) -> tuple[int, ...]:
-        """The ids of a piece by the last token of each prefix: the one that fits the last token before it."""
-        n, trie, fits = len(piece), self.trie, self._fits
-        last = [-1] * (n + 1)
-        for begin in range(n):
-            before = last[begin]
-            known = fits[before]
-            node = trie
-            for end in range(begin, n):
-                found = node.get(piece[end])
-                if found is None:
-                    break
-                token, node = found
-                if token >= 0 and last[end + 1] < 0:
-                    if begin:
-                        fit = known.get(token)
-                        if fit is None:
-                            fit = self.fits(before, token)
-                    else:
-                        fit = True
-                    if fit:
-                        last[end + 1] = token
-                if node is None:
-                    break
-        out, end = [], len(piece)
+    def _back(self, ends: list[int], end: int) -> list[int]:
+        """The tokens of the prefix of length `end`; each position has the token that ends there."""
+        out = []
         while end:
-            out.append(last[end])
-            end -= len(self.token[last[end]])
-        return tuple(reversed(out))
+            out.append(ends[end - 1])
+            end -= self.sizes[out[-1]]
+        out.reverse()
+        return out
+
+    def _settled(self, ends: list[int], state: int) -> int:
+        """The length of the longest prefix that all prefixes of a state go through."""
+        places = {len(ends) - size for size, _ in self.live[self.states[state][0]]}
+        while len(places) > 1:
+            far = max(places)
+            places.remove(far)
+            places.add(far - self.sizes[ends[far - 1]])
+        return places.pop()
 
     def encode_piece(self, piece: bytes) -> tuple[int, ...]:
         """The ids of one match of the pattern."""
         if (whole := self.rank.get(piece)) is not None:
             return (whole,)
         out: list[int] = []
-        state, move, emits = 0, self.moves.get, self.emits
+        ends: list[int] = []
+        state, move, token = 0, self.moves.get, self.ends
         for byte in piece:
             to = move(state << 8 | byte)
-            if to is None:
-                if len(self.states) >= MAX_STATES:
-                    return self._simulate(piece)
-                to = self._move(state, byte)
-            if to >= 0:
-                state = to
-            else:
-                state, emitted = emits[~to]
-                out += emitted
-        return (*out, *self.states[state][0][-1][1])
+            state = self._move(state, byte) if to is None else to
+            ends.append(token[state])
+            if len(ends) >= EMIT_BYTES and not len(ends) % EMIT_BYTES:
+                done = self._settled(ends, state)
+                out += self._back(ends, done)
+                del ends[:done]
+        return (*out, *self._back(ends, len(ends)))
 
     def _new_piece(self, piece: str) -> tuple[int, ...]:
         """The ids of a piece that the younger generation lacks; it joins that generation."""
@@ -281,21 +269,29 @@ class StreamDecoder:
 
     def feed(self, ids: Iterable[int]) -> bytes:
         """The bytes of the characters completed by these ids."""
-        ids = np.asarray(ids)
-        token = self.v.token
-        if self.state == 0 and self.v.clean[ids].all():
-            return b"".join(token[ids].tolist())
-        out: list[bytes] = []
-        for i in ids.tolist():
-            state, done = self.moves.get((self.state, i)) or self._move(self.state, i)
-            data = token[i]
-            if done < 0:
-                self.rest += data
-            else:
-                out += (self.rest, data[:done])
-                self.rest = data[done:]
-            self.state = state
-        return b"".join(out)
+        v, ids = self.v, np.asarray(ids, np.int64)
+        sizes = v.begins[ids + 1] - v.begins[ids]
+        after = np.cumsum(sizes) + len(self.rest)
+        shift = np.repeat(v.begins[ids] - after + sizes, sizes)
+        data = self.rest + v.bytes[shift + np.arange(len(self.rest), len(self.rest) + len(shift))].tobytes()
+        # Between characters the machine stands still over tokens of whole characters.
+        odd = np.flatnonzero(~v.clean[ids])
+        at = done = 0
+        while at < len(ids):
+            if self.state == 0:
+                k = int(np.searchsorted(odd, at))
+                if k == len(odd):
+                    done = len(data)
+                    break
+                at = int(odd[k])
+                done = int(after[at] - sizes[at])
+            token = int(ids[at])
+            self.state, whole = self.moves.get((self.state, token)) or self._move(self.state, token)
+            if whole >= 0:
+                done = int(after[at] - sizes[at]) + whole
+            at += 1
+        self.rest = data[done:]
+        return data[:done]
 
     def finish(self) -> bytes:
         """The bytes of a last character that was not completed."""
@@ -326,7 +322,8 @@ def encode_documents(docs: DataFrame, rank_path: str, pattern: str, id_col: str
     """One row per document row: doc_id, n_tokens, ids (if with_ids), ids_sha256, decoded_sha256.
 
     ids_sha256 digests the ids as little-endian unsigned 32-bit integers, decoded_sha256 the bytes
-    that decoding the ids gives. Null text counts as empty (no ids). Other columns are ignored.
+    that decoding the ids gives. Null text counts as empty (no ids). Repeated rows each give a row, an
+    empty table none, and a null id stays null. Other columns are ignored.
     """
     shipped = docs.sparkSession.sparkContext.broadcast(read_ranks(rank_path))
     fields = [("doc_id", "long", pa.int64()), ("n_tokens", "long", pa.int64()), ("ids", "array<int>", pa.list_(pa.int32())), ("ids_sha256", "string", pa.string()), ("decoded_sha256", "string", pa.string())]

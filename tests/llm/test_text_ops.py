@@ -100,13 +100,27 @@ def test_encoding_is_that_of_the_library(vocab, reference, text):
     assert byte_bpe.decode(vocab, ids, block=3) == text.encode()
 
 
-@given(text=st.text(alphabet="abcdeéß \n'st.", max_size=80))
-def test_simulation_is_the_machine(reference, text):
-    v = byte_bpe.vocabulary(byte_bpe.read_ranks(PATH), public_tokenizers.PATTERN)
-    for piece in v.pattern.findall(text):
-        data = piece.encode()
-        if data not in v.rank:
-            assert v._simulate(data) == v.encode_piece(data) == tuple(reference.encode_ordinary(piece))
+@pytest.mark.parametrize("states", [20, 1_000])
+def test_a_full_table_is_emptied_and_the_machine_goes_on(reference, monkeypatch, states):
+    monkeypatch.setattr(byte_bpe, "MAX_STATES", states)
+    v = byte_bpe.Vocabulary(byte_bpe.read_ranks(PATH), public_tokenizers.PATTERN)
+    rng = random.Random(4)
+    said = ["".join(rng.choice("abcdeéß \n'st.") for _ in range(rng.randrange(60))) for _ in range(400)] + ["ab" * 9_000]
+    assert all(v.encode(t) == reference.encode_ordinary(t) for t in said)
+    assert len(v.states) <= states + 1
+
+
+def test_every_piece_of_the_table_goes_through_the_machine(vocab, reference):
+    import pyarrow.parquet as pq
+
+    texts = [t or "" for t in pq.read_table("/root/testdata/sf0.01/documents.parquet", columns=["text"]).column(0).to_pylist()]
+    pieces = {p.encode() for t in texts for p in vocab.pattern.findall(t)}
+    fresh = byte_bpe.Vocabulary(byte_bpe.read_ranks(PATH), public_tokenizers.PATTERN)
+    for p in pieces:
+        if p not in fresh.rank:
+            assert list(fresh.encode_piece(p)) == reference.encode_ordinary(p.decode())
+    # A move is built once and then serves every piece that comes by.
+    assert len(fresh.moves) < sum(len(p) for p in pieces) / 4
 
 
 @given(ids=st.lists(st.integers(0, 50_255), max_size=40), block=st.integers(1, 5))
