@@ -3,6 +3,10 @@
 A word's script narrows the languages it can belong to. Each of those gets a log posterior from a
 character n-gram model of the word with its ends marked. A Viterbi pass over the words of a text, with
 a penalty for each change of language, labels spans; the text's language is the one with most letters.
+
+A run of letters is cut where its script changes, and after every PIECE letters, so that text without
+spaces is many words to the Viterbi pass. A later piece of a run knows the letters before it, so every
+n-gram of the run is scored once.
 """
 
 from __future__ import annotations
@@ -10,8 +14,9 @@ from __future__ import annotations
 import pickle
 from bisect import bisect_right
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -21,10 +26,11 @@ from pyspark.sql import functions as F
 
 from marlstone.llm.shared import rows_of, sample_ids, tidy
 
-#: Labelled rows that a model is fitted on, and the longest of them in characters.
+#: Labelled rows that a model is fitted on; their texts are learned from as a whole.
 SAMPLE_ROWS = 3_000
-SAMPLE_CHARS = 200_000
 ORDERS = (2, 3, 4)
+#: Letters of a run that are one word at most.
+PIECE = 24
 SWITCH_PENALTY = 9.0
 #: A script belongs to a language if at least so much of its training letters are of that script.
 SCRIPT_SHARE = 0.01
@@ -75,7 +81,7 @@ class Model:
         flat = np.fromiter((k for f in found for k in f), np.int64, int(sizes.sum()))
         total = np.add.reduceat(self.logs[flat], np.concatenate([[0], np.cumsum(sizes)[:-1]]), axis=0)
         none = np.zeros(n, bool)
-        allowed = np.stack([self.scripts.get(script_of(w[0]), none) for w in words])
+        allowed = np.stack([self.scripts.get(script_of(body_of(w)[0]), none) for w in words])
         strange = ~allowed.any(axis=1)
         total[~allowed] = -np.inf
         total[strange] = 0
@@ -83,31 +89,87 @@ class Model:
         return np.maximum(total - np.log(np.exp(total).sum(axis=1, keepdims=True)), -20.0)
 
 
-def grams_of(word: str) -> list[str]:
-    """The n-grams of a word between its end marks; long words by their first and last 24 characters."""
-    if len(word) > 48:
-        word = f"{word[:24]}\x00{word[-24:]}"
-    marked = f"<{word}>"
-    return [marked[i : i + k] for k in ORDERS for i in range(len(marked) - k + 1)]
+#: Between the letters before a piece and the piece. Runs hold letters and marks only.
+_CUT = "\0"
+#: Texts in which a run may have to be cut: letters outside the Latin ranges, or more than PIECE letters in a row.
+_ODD = regex.compile(rf"[^\x00-\u024f\u1e00-\u1eff\u2000-\u206f]|\p{{L}}[\p{{L}}\p{{M}}]{{{PIECE}}}")
+
+
+@lru_cache(100_000)
+def pieces_of(word: str) -> tuple[str, ...]:
+    """A run of letters as words: itself, or pieces with the letters before them. Marks keep the script of their letter."""
+    if word.isascii() and len(word) <= PIECE:
+        return (word,)
+    parts: list[tuple[bool, str]] = []  # whether a run of one script begins, and letters
+    before = None
+    for c in word:
+        script = before if parts and regex.match(r"\p{M}", c) else script_of(c)
+        if script != before or len(parts[-1][1]) == PIECE:
+            parts.append((script != before, c))
+        else:
+            parts[-1] = (parts[-1][0], parts[-1][1] + c)
+        before = script
+    out, context = [], ""
+    for k, (first, body) in enumerate(parts):
+        last = k + 1 == len(parts) or parts[k + 1][0]
+        out.append(body if first and last else f"{'' if first else context}{_CUT}{body}{_CUT if last else ''}")
+        context = body[-max(ORDERS) + 1 :]
+    return tuple(out)
+
+
+def body_of(piece: str) -> str:
+    """The letters of a piece without those before it."""
+    return piece.split(_CUT)[1] if _CUT in piece else piece
+
+
+def words_of(text: str | None) -> list[str]:
+    """The words and pieces of a text in order, in lower case."""
+    if not text:
+        return []
+    found = WORD.findall(text.lower())
+    return [p for w in found for p in pieces_of(w)] if _ODD.search(text) else found
+
+
+def grams_of(piece: str) -> list[str]:
+    """The n-grams of a word between its end marks; of a piece of a longer run those that end in it."""
+    if _CUT not in piece:
+        marked, skip = f"<{piece}>", 0
+    else:
+        context, body, *last = piece.split(_CUT)
+        marked = f"{context or '<'}{body}{'>' if last else ''}"
+        skip = len(context)
+    return [marked[i : i + k] for k in ORDERS for i in range(max(0, skip + 1 - k), len(marked) - k + 1)]
+
+
+def count_grams(rows: Iterable[tuple[str | None, str]]) -> Counter:
+    """Of (text, lang) rows the number of (lang, n-gram), and of letters by script as (lang, "\\0" and script)."""
+    words: dict[str, Counter] = {}
+    for text, lang in rows:
+        words.setdefault(lang, Counter()).update(words_of(text))
+    out: Counter = Counter()
+    for lang, seen in words.items():
+        for word, k in seen.items():
+            body = body_of(word)
+            out[lang, _CUT + script_of(body[0])] += k * len(body)
+            for g in grams_of(word):
+                out[lang, g] += k
+    return out
 
 
 def learn(rows: list[tuple[str, str]]) -> Model:
     """A model of (text, lang) rows; languages are sorted."""
-    model = Model(sorted({lang for _, lang in rows}))
-    place = {lang: i for i, lang in enumerate(model.langs)}
-    words = [Counter() for _ in model.langs]
-    for text, lang in rows:
-        words[place[lang]].update(WORD.findall(text.lower()))
-    n = len(model.langs)
+    return learn_counts(sorted({lang for _, lang in rows}), count_grams(rows))
+
+
+def learn_counts(langs: list[str], found: dict[tuple[str, str], int]) -> Model:
+    """A model from the numbers that `count_grams` gives."""
+    model = Model(langs)
+    place, n = {lang: i for i, lang in enumerate(langs)}, len(langs)
     counts: dict[str, np.ndarray] = {}
     letters: dict[str, np.ndarray] = {}
-    for i, c in enumerate(words):
-        for word, k in c.items():
-            letters.setdefault(script_of(word[0]), np.zeros(n))[i] += k * len(word)
-            for g in grams_of(word):
-                if g not in counts:
-                    counts[g] = np.zeros(n)
-                counts[g][i] += k
+    for (lang, g), k in sorted(found.items()):
+        own = letters if g.startswith(_CUT) else counts
+        own.setdefault(g.removeprefix(_CUT), np.zeros(n))[place[lang]] += k
     total = sum(letters.values(), np.zeros(n))
     model.scripts = {s: v >= SCRIPT_SHARE * np.maximum(total, 1) for s, v in letters.items() if s}
     # N-grams of one order share a distribution; a longer one refines what the shorter ones say.
@@ -118,15 +180,26 @@ def learn(rows: list[tuple[str, str]]) -> Model:
     return model
 
 
-def fit(docs: DataFrame, sample_rows: int = SAMPLE_ROWS, sample_chars: int = SAMPLE_CHARS) -> Model:
+def fit(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model:
     """A model of at most `sample_rows` labelled documents that are not held out, taken by a hash of the id.
 
-    Rows without id, text or language and texts longer than `sample_chars` are not learned from.
+    Their whole texts are counted by the tasks; the driver gets the numbers of n-grams. Rows without id,
+    text or language are not learned from; of rows that share an id the one with the smallest text is.
     """
-    rows = docs.where(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.length("text") <= sample_chars))
+    rows = docs.where(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull())
     found = rows_of(rows.select("doc_id", "text", F.col("lang").cast("string").alias("lang")), sample_ids(rows, sample_rows))
-    once = found.groupBy("doc_id").agg(F.min(F.struct("text", "lang")).alias("r")).orderBy("doc_id")
-    return learn([(r["r"]["text"], r["r"]["lang"]) for r in once.collect()])
+    once = found.groupBy("doc_id").agg(F.min(F.struct("text", "lang")).alias("r")).select("r.text", "r.lang")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: Counter = Counter()
+        for batch in batches:
+            out.update(count_grams(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)))
+        cols = [pa.array(c, pa.string()) for c in ([x for x, _ in out], [g for _, g in out])]
+        yield pa.RecordBatch.from_arrays([*cols, pa.array(list(out.values()), pa.int64())], names=["lang", "gram", "n"])
+
+    counts = once.mapInArrow(tidy(run), "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toArrow()
+    langs, grams, n = (c.to_pylist() for c in counts.columns)
+    return learn_counts(sorted(set(langs)), dict(zip(zip(langs, grams, strict=True), n, strict=True)))
 
 
 class _Numbers(dict):
@@ -156,7 +229,7 @@ class Labeller:
 
     def _numbers(self, text: str | None) -> np.ndarray:
         """The words of a text as rows of the table; new words get rows that `_score_new` fills."""
-        words = WORD.findall(text.lower()) if text else []
+        words = words_of(text)
         return np.fromiter(map(self.number.__getitem__, words), np.int32, len(words))
 
     def _score_new(self) -> None:
@@ -169,7 +242,7 @@ class Labeller:
         for i in range(0, len(new), 8_192):
             part = new[i : i + 8_192]
             self.table[first + i : first + i + len(part)] = self.model.scores(part)
-            self.letters[first + i : first + i + len(part)] = [len(w) for w in part]
+            self.letters[first + i : first + i + len(part)] = [len(body_of(w)) for w in part]
         new.clear()
 
     def viterbi(self, numbers: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -177,12 +250,12 @@ class Labeller:
         order = np.argsort(-sizes, kind="stable")
         begin, size = starts[order], sizes[order]
         n_langs = len(self.model.langs)
-        came = np.zeros((len(numbers), n_langs), np.int8)
-        label = np.zeros(len(numbers), np.int8)
+        came = np.zeros((len(numbers), n_langs), np.min_scalar_type(n_langs))
+        label = np.zeros(len(numbers), np.int64)
         value = np.zeros((len(order), n_langs), np.float32)
         longest = int(size[0]) if len(size) else 0
         active = np.searchsorted(-size, -np.arange(1, longest + 1), "right")  # texts with more than t words
-        own = np.arange(n_langs, dtype=np.int8)
+        own = np.arange(n_langs, dtype=came.dtype)
         for t in range(longest):
             m = active[t]
             at = begin[:m] + t
@@ -192,7 +265,7 @@ class Labeller:
             stay = before >= other[:, None]
             came[at] = np.where(stay, own, top[:, None])
             value[:m] = self.table[numbers[at]] + np.where(stay, before, other[:, None])
-        now = value.argmax(axis=1).astype(np.int8)
+        now = value.argmax(axis=1)
         for t in range(longest - 1, -1, -1):
             m = active[t]
             at = begin[:m] + t
@@ -234,7 +307,9 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     """One row per document row: doc_id, lang_pred, score and (with_spans) spans of code points with their language.
 
     Null texts and texts without letters are `und` with score 0, as is everything if no language was
-    learned. A tie goes to the language that sorts first. Other columns are ignored.
+    learned. A tie goes to the language that sorts first. Repeated rows each give a row, null ids stay
+    null, an empty table gives no rows. Texts are read whole, in batches bounded by bytes. Other columns
+    are ignored.
     """
     shipped = docs.sparkSession.sparkContext.broadcast(pickle.dumps(model))
 
@@ -261,10 +336,18 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
 def _places(text: str) -> list[tuple[int, int]]:
     """Spans of the words in the text as it is; lower-casing may change lengths, so characters are lowered one by one."""
     lowered = text.lower()
-    if len(lowered) == len(text):
-        return [m.span() for m in WORD.finditer(lowered)]
-    origin = [i for i, c in enumerate(text) for _ in c.lower()]
-    return [(origin[m.start()], origin[m.end() - 1] + 1) for m in WORD.finditer("".join(c.lower() for c in text))]
+    origin = None
+    if len(lowered) != len(text):
+        origin = [i for i, c in enumerate(text) for _ in c.lower()]
+        lowered = "".join(c.lower() for c in text)
+    odd = _ODD.search(text)
+    out = []
+    for m in WORD.finditer(lowered):
+        at = m.start()
+        for size in [len(body_of(p)) for p in pieces_of(m[0])] if odd else [len(m[0])]:
+            out.append((origin[at], origin[at + size - 1] + 1) if origin else (at, at + size))
+            at += size
+    return out
 
 
 def op5_language_id(docs: DataFrame) -> DataFrame:

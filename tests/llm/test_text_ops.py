@@ -191,6 +191,76 @@ def test_spans_of_mixed_text(spark):
     assert all(0 <= r["score"] <= 1 for r in got.values())
 
 
+def test_every_letter_of_a_long_run_is_scored():
+    run = "".join(chr(0x4E00 + i % 300) for i in range(500))
+    pieces = lang_id.pieces_of(run)
+    assert "".join(map(lang_id.body_of, pieces)) == run and max(len(lang_id.body_of(p)) for p in pieces) <= lang_id.PIECE
+    whole = [f"<{run}>"[i : i + k] for k in lang_id.ORDERS for i in range(len(run) + 3 - k)]
+    assert sorted(g for p in pieces for g in lang_id.grams_of(p)) == sorted(whole)
+    assert lang_id.pieces_of("漢字かなkatakana") == ("漢字", "かな", "katakana")
+    assert lang_id.pieces_of("été") == ("été",) and lang_id.pieces_of("x" * 24) == ("x" * 24,) and list(map(len, map(lang_id.body_of, lang_id.pieces_of("é" * 49)))) == [24, 24, 1]
+
+
+def test_text_without_spaces(spark):
+    rng = random.Random(8)
+    zh, ja = ("".join(rng.choice(s) for _ in range(4_000)) for s in ("的一是不了人我在有他这中大来上国", "のにはをたがでてとしれさあいうか日本"))
+    model = lang_id.learn([(zh, "zh"), (ja, "ja")])
+    text = zh[:24] + ja[:440] + zh[100:124]
+    got = {r["doc_id"]: r for r in lang_id.predict(docs(spark, [(1, text), (2, ja[:440]), (3, zh[:30_000])]), model).collect()}
+    assert [got[i]["lang_pred"] for i in (1, 2, 3)] == ["ja", "ja", "zh"]
+    assert [s["lang"] for s in got[1]["spans"]] == ["zh", "ja", "zh"]
+    # Letters that both use may fall to either side.
+    assert all(abs(s["end"] - want) <= 3 for s, want in zip(got[1]["spans"], (24, 464, 488), strict=True))
+
+
+def test_many_languages_and_repeated_rows(spark):
+    said = lambda k: f"w{chr(97 + k % 26)}{chr(97 + k // 26)}x " * 8
+    model = lang_id.learn([(said(k), f"l{k:03}") for k in range(300)])
+    rows = [(k, said(k)) for k in (0, 127, 128, 255, 256, 299)] * 2 + [(None, said(200)), (None, None), (9, said(131) * 20_000)]
+    got = lang_id.predict(docs(spark, rows), model).collect()
+    assert len(got) == len(rows) and all(0 <= r["score"] <= 1 for r in got)
+    assert all(r["lang_pred"] == f"l{131 if r['doc_id'] == 9 else r['doc_id']:03}" for r in got if r["doc_id"] is not None)
+    assert sorted(r["lang_pred"] for r in got if r["doc_id"] is None) == ["l200", "und"]
+
+
+def test_predictions_are_those_of_a_plain_version(spark):
+    """Log posteriors by the definition and every path's best by a plain Viterbi, over documents of the table."""
+    import math
+
+    d = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text", "lang").collect()
+    train = [(r["text"], r["lang"]) for r in d if r["doc_id"] % 2 and r["lang"]]
+    model = lang_id.learn(train)
+    counts = lang_id.count_grams(train)
+    kinds = {k: {g for _, g in counts if not g.startswith("\0") and len(g) == k} for k in lang_id.ORDERS}
+    total = {(lang, k): sum(counts[lang, g] for g in kinds[k]) + 0.5 * len(kinds[k]) for lang in model.langs for k in lang_id.ORDERS}
+    letters = {lang: {g[1:]: n for (x, g), n in counts.items() if x == lang and g.startswith("\0")} for lang in model.langs}
+
+    def posterior(word):
+        script = lang_id.script_of(word[0])
+        fits = [lang for lang in model.langs if script and letters[lang].get(script, 0) >= lang_id.SCRIPT_SHARE * max(1, sum(letters[lang].values()))]
+        said = {lang: sum(math.log((counts[lang, g] + 0.5) / total[lang, len(g)]) / 3 for g in lang_id.grams_of(word) if g in kinds[len(g)]) if lang in fits or not fits else -math.inf for lang in model.langs}
+        if not fits:
+            said = dict.fromkeys(said, 0.0)
+        most = max(said.values())
+        norm = most + math.log(sum(math.exp(v - most) for v in said.values()))
+        return {lang: max(-20.0, v - norm) for lang, v in said.items()}
+
+    rows = [r for r in d if not r["doc_id"] % 2 and r["text"]][:40]
+    got = {r["doc_id"]: r for r in lang_id.predict(docs(spark, [(r["doc_id"], r["text"]) for r in rows]), model).collect()}
+    for r in rows:
+        words = lang_id.words_of(r["text"])
+        seen = [posterior(w) for w in words]
+        best = dict.fromkeys(model.langs, 0.0)
+        for p in seen:
+            best = {a: p[a] + max(best[a], max(best.values()) - lang_id.SWITCH_PENALTY) for a in model.langs}
+        spans = got[r["doc_id"]]["spans"]
+        labels = [s["lang"] for s in spans for w in lang_id.words_of(r["text"][s["start"] : s["end"]])]
+        mine = sum(p[a] for p, a in zip(seen, labels, strict=True)) - lang_id.SWITCH_PENALTY * (len(spans) - 1)
+        assert mine == pytest.approx(max(best.values()), rel=1e-4, abs=1e-2)
+        share = {a: sum(len(lang_id.body_of(w)) for w, x in zip(words, labels, strict=True) if x == a) for a in model.langs}
+        assert share[got[r["doc_id"]]["lang_pred"]] == max(share.values())
+
+
 def test_language_accuracy_and_empty(spark):
     d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     out = lang_id.op5_language_id(d).join(d.select("doc_id", "lang"), "doc_id").where("held_out").collect()
