@@ -4,15 +4,15 @@
    MinHash signature. Documents with equal sets are one class and only its representative goes on.
 2. Each tree orders the representatives by a signature prefix of its own. The order is a range
    partitioning by (tree, prefix, id), so a region that holds a third of all rows spreads over
-   partitions; the ends of partitions meet in one more small pass. In each order a representative
-   meets its neighbours with the longest common prefix, at least MIN_DEPTH values deep, and keeps
-   those whose whole signatures agree most.
+   partitions; the ends of neighbouring partitions meet in one more small pass. In each order a
+   representative meets its neighbours, whose common prefix is as deep there as its region is dense but
+   at least MIN_DEPTH values, and keeps those whose whole signatures agree most.
 3. Links are confirmed on full shingle sets: in a few rounds the most alike pair of each
    representative that still joins two components, then all others that do.
 4. The rest, exactly: in every region (equal prefix of MIN_DEPTH values) that holds several
    components, each row outside the region's largest component is a query against all rows of the
-   region, block by block, first by signature and then on full sets. Where that would be too much
-   work, the region is split at its next deeper prefix, so depth adapts to density.
+   region, first by signature and then on full sets. Queries and rows are dealt to a grid of small
+   blocks, so a dense region is more blocks, never fewer comparisons.
 
 So two documents are compared if they share a region in one of the trees, unless links already join
 them. No pair of rows is ever expanded within a component.
@@ -28,10 +28,11 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marlstone.llm.shared import drop_table, keep_between_tasks, materialise, tidy
+from marlstone.llm.shared import drop_tables, fresh, keep_between_tasks, materialise, once_each, tidy
 
 WORD = re.compile("[^\x20\x09-\x0d]+")
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -52,9 +53,8 @@ class Forest:
     keep: int = 2
     #: Rounds in which each row's most alike open pair is confirmed, before all that are still open are.
     best_rounds: int = 3
-    #: Rows of a block of queries or of their targets, and the pairs of a region above which it is split deeper.
-    block: int = 4096
-    work: int = 50_000_000
+    #: Rows of a block of queries, and of a block of the rows that they are compared with.
+    block: int = 512
     #: Pairs stay candidates down to so many standard deviations of the estimate below the threshold.
     slack: float = 5.0
 
@@ -133,26 +133,33 @@ def linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
 
 
 def sketch(docs: DataFrame, f: Forest, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles, set_key (digest of the set; null if empty), sig (big-endian 32-bit values), brief (their low bytes)."""
+    """doc_id, check (hash of the text), n_shingles, set_key (digest of the set; null if empty), sig (big-endian 32-bit values), brief (their low bytes)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n, keys, sigs, briefs = [], [], [], []
-            for text in batch.column(1):
+            for text in batch.column(2):
                 sh = shingles(text.as_py(), f.words)
                 n.append(len(sh))
                 keys.append(hashlib.blake2b(sh.tobytes(), digest_size=16).digest() if len(sh) else None)
                 sigs.append(signature(sh, f.size).tobytes() if len(sh) else None)
                 briefs.append(sigs[-1][3::4] if len(sh) else None)
             made = [pa.array(n, pa.int64()), *(pa.array(c, pa.binary()) for c in (keys, sigs, briefs))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *made], names=["doc_id", "n_shingles", "set_key", "sig", "brief"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *made], names=["doc_id", "check", "n_shingles", "set_key", "sig", "brief"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(tidy(run), "doc_id long, n_shingles long, set_key binary, sig binary, brief binary")
+    return _named(docs, id_col, text_col).mapInArrow(tidy(run), "doc_id long, check long, n_shingles long, set_key binary, sig binary, brief binary")
+
+
+def _named(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, check, text) of all rows."""
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(F.col(text_col)).alias("check"), F.col(text_col).alias("text"))
 
 
 # --- candidates -----------------------------------------------------------------------------------
 
 _SWEPT = "kind int, a long, b long, equal int, key binary, brief binary"
+#: Bytes of a boundary's number before the key, where the ends of partitions meet.
+_EDGE = 4
 _SWEPT_PA = pa.schema([("kind", pa.int32()), ("a", pa.int64()), ("b", pa.int64()), ("equal", pa.int32()), ("key", pa.binary()), ("brief", pa.binary())])
 
 
@@ -166,9 +173,9 @@ def _row_batch(kind: int, part: dict) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(np.full(n, kind, np.int32)), pa.array(part["id"]), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int32()), pa.array([x.tobytes() for x in part["key"]], pa.binary()), pa.array([x.tobytes() for x in part["brief"]], pa.binary())], schema=_SWEPT_PA)
 
 
-def _neighbours(now: dict, upto: int, f: Forest) -> pa.RecordBatch:
+def _neighbours(now: dict, upto: int, f: Forest, skip: int) -> pa.RecordBatch:
     """The pairs of the first `upto` rows of a sorted run with rows ahead; marks rows that share a region."""
-    n, region = len(now["id"]), now["key"][:, : 1 + 4 * f.min_depth]
+    n, region = len(now["id"]), now["key"][:, : skip + 1 + 4 * f.min_depth]
     equal = np.full((f.window, upto), -1, np.int32)
     for d in range(1, min(f.window, n - 1) + 1):
         m = min(upto, n - d)
@@ -186,78 +193,86 @@ def _neighbours(now: dict, upto: int, f: Forest) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(np.zeros(k, np.int32)), pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(got[good].astype(np.int32)), pa.nulls(k, pa.binary()), pa.nulls(k, pa.binary())], schema=_SWEPT_PA)
 
 
-def _sweep(rows: DataFrame, f: Forest) -> DataFrame:
-    """Over (key, brief, id), globally sorted by (key, id).
+def _sweep(rows: DataFrame, f: Forest, ends: bool = True) -> DataFrame:
+    """Over (key, brief, id), sorted by (key, id).
 
-    Output rows: kind 0, a candidate pair (a, b, equal); kind 1, a row at an end of a partition;
-    kind 2, a row that shares its region. Kinds 1 and 2 have key, brief and a = id.
+    Output rows: kind 0, a candidate pair (a, b, equal). With `ends`, for a range partitioning, also kind
+    1, a row at an end of a partition, its key after the number of the boundary with the partition
+    before or behind, and kind 2, a row that shares its region with another or stands at such an end.
+    Kinds 1 and 2 have key, brief and a = id. Without, the keys are those of kind 1.
     """
+    skip = 0 if ends else _EDGE
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tail: dict | None = None
         head_left = f.window
+        own = TaskContext.get().partitionId()
+
+        def end(boundary: int, part: dict) -> pa.RecordBatch:
+            mark = np.broadcast_to(np.frombuffer(boundary.to_bytes(_EDGE, "big"), np.uint8), (len(part["id"]), _EDGE))
+            return _row_batch(1, part | {"key": np.concatenate([mark, part["key"]], axis=1)})
+
         for batch in batches:
             if not batch.num_rows:
                 continue
             now = {"key": _matrix(batch.column(0)), "brief": _matrix(batch.column(1)), "id": batch.column(2).to_numpy(), "shared": np.zeros(batch.num_rows, bool)}
-            if head_left:
-                yield _row_batch(1, {k: v[:head_left] for k, v in now.items()})
+            if ends and head_left:
+                if head_left == f.window:
+                    now["shared"][0] = True
+                yield end(own, {k: v[:head_left] for k, v in now.items()})
                 head_left = max(0, head_left - batch.num_rows)
             if tail:
                 now = {k: np.concatenate([tail[k], now[k]]) for k in now}
             cut = max(0, len(now["id"]) - f.window)
             if cut:
-                yield _neighbours(now, cut, f)
-                yield _row_batch(2, {k: v[:cut][now["shared"][:cut]] for k, v in now.items()})
+                yield _neighbours(now, cut, f, skip)
+                if ends:
+                    yield _row_batch(2, {k: v[:cut][now["shared"][:cut]] for k, v in now.items()})
             tail = {k: v[cut:] for k, v in now.items()}
         if tail:
-            yield _neighbours(tail, len(tail["id"]), f)
-            yield _row_batch(2, {k: v[tail["shared"]] for k, v in tail.items()})
-            yield _row_batch(1, tail)
+            yield _neighbours(tail, len(tail["id"]), f, skip)
+            if ends:
+                tail["shared"][-1] = True
+                yield _row_batch(2, {k: v[tail["shared"]] for k, v in tail.items()})
+                yield end(own + 1, tail)
 
     return rows.mapInArrow(tidy(run), _SWEPT)
 
 
-def candidates(rows: DataFrame, f: Forest) -> tuple[DataFrame, DataFrame]:
-    """Candidate pairs (a < b, equal), and the rows (key, brief, id) that share a region, of rows (key, brief, id)."""
-    swept = materialise(_sweep(rows.repartitionByRange("key", "id").sortWithinPartitions("key", "id"), f), "swept")
-    # 2 * window rows of each partition: their number follows the number of partitions only.
+def candidates(rows: DataFrame, f: Forest, paths: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Candidate pairs (a < b, equal), and the rows (key, brief, id) that share a region, of rows (key, brief, id).
+
+    A row that is alone in its region may be among the latter if it stands at an end of a partition.
+    """
+    swept = materialise(_sweep(rows.repartitionByRange("key", "id").sortWithinPartitions("key", "id"), f), "swept", paths)
+    # 2 * window rows of each partition, dealt by boundary.
     ends = swept.where("kind = 1").select("key", "brief", F.col("a").alias("id"))
-    met = _sweep(ends.repartition(1).sortWithinPartitions("key", "id"), f)
-    both = swept.where("kind <> 1").unionByName(met.where("kind <> 1"))
-    pairs = both.where("kind = 0").groupBy("a", "b").agg(F.max("equal").alias("equal"))
-    shared = both.where("kind = 2").groupBy("key", F.col("a").alias("id")).agg(F.first("brief").alias("brief"))
-    return materialise(pairs, "pairs"), materialise(shared, "shared")
+    met = _sweep(ends.repartition(F.substring("key", 1, _EDGE)).sortWithinPartitions("key", "id"), f, ends=False)
+    both = swept.where("kind = 0").unionByName(met.where("kind = 0"))
+    pairs = both.groupBy("a", "b").agg(F.max("equal").alias("equal"))
+    shared = swept.where("kind = 2").select("key", F.col("a").alias("id"), "brief")
+    return materialise(pairs, "pairs", paths), materialise(shared, "shared", paths)
 
 
 # --- regions of several components ----------------------------------------------------------------
 
 
-def blocks(shared: DataFrame, comps: DataFrame, f: Forest) -> DataFrame:
+def blocks(shared: DataFrame, comps: DataFrame, f: Forest, paths: list[str]) -> DataFrame:
     """Rows (g, id, comp, brief, query) of the regions that hold several components.
 
     A row outside its region's largest component is a query. A group g is one block of queries with
-    one block of the region's rows (those are targets).
+    one block of the region's rows (those are targets); the blocks of a region are a whole grid.
     """
-    left = shared.join(comps, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
-    out = None
-    for depth in range(f.min_depth, f.depth + 1):
-        left = left.withColumn("region", F.substring("key", 1, 1 + 4 * depth))
-        sizes = left.groupBy("region", "comp").agg(F.count(F.lit(1)).alias("n"))
-        stats = sizes.groupBy("region").agg(F.sum("n").alias("n"), F.max(F.struct("n", "comp")).alias("major"), F.count(F.lit(1)).alias("comps")).where("comps > 1")
-        stats = stats.select("region", "n", (F.col("n") - F.col("major.n")).alias("m"), F.col("major.comp").alias("major"))
-        rows = materialise(left.join(stats, "region"), "regions")
-        now = rows if depth == f.depth else rows.where(F.col("n") * F.col("m") <= f.work)
-        nb, nq = (F.ceil(F.col(c) / f.block).cast("int") for c in ("n", "m"))
-        own = F.xxhash64("id")
-        targets = now.select("region", "id", "comp", "brief", F.lit(False).alias("query"), F.pmod(own, nb).cast("int").alias("t"), F.explode(F.sequence(F.lit(0), nq - 1)).alias("q"))
-        asked = now.where("comp <> major").select("region", "id", "comp", "brief", F.lit(True).alias("query"), F.explode(F.sequence(F.lit(0), nb - 1)).alias("t"), F.pmod(own, nq).cast("int").alias("q"))
-        made = targets.unionByName(asked).select(F.concat("region", *(F.unhex(F.lpad(F.hex(c), 8, "0")) for c in ("t", "q"))).alias("g"), "id", "comp", "brief", "query")
-        out = made if out is None else out.unionByName(made)
-        left = rows.where(F.col("n") * F.col("m") > f.work).select("key", "id", "comp", "brief")
-        if depth == f.depth or not left.take(1):
-            return out
-    return out
+    left = shared.join(comps, "id", "left").withColumn("comp", F.coalesce("comp", "id")).withColumn("region", F.substring("key", 1, 1 + 4 * f.min_depth))
+    sizes = left.groupBy("region", "comp").agg(F.count(F.lit(1)).alias("n"))
+    stats = sizes.groupBy("region").agg(F.sum("n").alias("n"), F.max(F.struct("n", "comp")).alias("major"), F.count(F.lit(1)).alias("comps")).where("comps > 1")
+    stats = stats.select("region", "n", (F.col("n") - F.col("major.n")).alias("m"), F.col("major.comp").alias("major"))
+    rows = materialise(left.join(stats, "region"), "regions", paths)
+    nb, nq = (F.ceil(F.col(c) / f.block).cast("int") for c in ("n", "m"))
+    own = F.xxhash64("id")
+    targets = rows.select("region", "id", "comp", "brief", F.lit(False).alias("query"), F.pmod(own, nb).cast("int").alias("t"), F.explode(F.sequence(F.lit(0), nq - 1)).alias("q"))
+    asked = rows.where("comp <> major").select("region", "id", "comp", "brief", F.lit(True).alias("query"), F.explode(F.sequence(F.lit(0), nb - 1)).alias("t"), F.pmod(own, nq).cast("int").alias("q"))
+    return targets.unionByName(asked).select(F.concat("region", *(F.unhex(F.lpad(F.hex(c), 8, "0")) for c in ("t", "q"))).alias("g"), "id", "comp", "brief", "query")
 
 
 def _by_group(df: DataFrame, run, schema: str) -> DataFrame:
@@ -308,22 +323,23 @@ def confirm_blocks(rows: DataFrame, texts: DataFrame, f: Forest) -> DataFrame:
     """Links (a, b) between queries and targets of rows (g, id, comp, query); one for each query and component."""
 
     def run(t: pa.Table) -> pa.RecordBatch | None:
-        query, ids, comp = (t.column(c).to_numpy(zero_copy_only=False) for c in ("query", "id", "comp"))
-        known: dict[int, np.ndarray] = {}
-        for i, text in zip(ids, t.column("text"), strict=True):
-            if i not in known:
-                known[i] = shingles(text.as_py(), f.words)
+        query, ids, comp, check = (t.column(c).to_numpy(zero_copy_only=False) for c in ("query", "id", "comp", "check"))
+        keys = list(zip(ids.tolist(), check.tolist(), strict=True))
+        known: dict[tuple[int, int], np.ndarray] = {}
+        for key, text in zip(keys, t.column("text"), strict=True):
+            if key not in known:
+                known[key] = shingles(text.as_py(), f.words)
         x = np.flatnonzero(~query)
         if not len(x):
             return None
-        values = np.concatenate([known[i] for i in ids[x]])
-        owner = np.repeat(np.arange(len(x)), [len(known[i]) for i in ids[x]])
-        sizes = np.array([len(known[i]) for i in ids[x]])
+        values = np.concatenate([known[keys[i]] for i in x])
+        sizes = np.array([len(known[keys[i]]) for i in x])
+        owner = np.repeat(np.arange(len(x)), sizes)
         order = np.argsort(values, kind="stable")
         values, owner = values[order], owner[order]
         a, b = [], []
         for k in np.flatnonzero(query):
-            own = known[ids[k]]
+            own = known[keys[k]]
             lo, hi = np.searchsorted(values, own, "left"), np.searchsorted(values, own, "right")
             lo, hi = lo[hi > lo], hi[hi > lo]
             n = hi - lo
@@ -342,113 +358,133 @@ def confirm_blocks(rows: DataFrame, texts: DataFrame, f: Forest) -> DataFrame:
 
 
 def confirm(pairs: DataFrame, texts: DataFrame, f: Forest) -> DataFrame:
-    """The pairs (a, b) whose full shingle sets reach the threshold. texts: (id, text), ids unique."""
-    left = pairs.select("a", "b").join(texts.select(F.col("id").alias("a"), F.col("text").alias("ta")).hint("merge"), "a")
-    both = left.join(texts.select(F.col("id").alias("b"), F.col("text").alias("tb")).hint("merge"), "b").select("a", "b", "ta", "tb")
+    """The pairs (a, b) whose full shingle sets reach the threshold. texts: (id, check, text)."""
+    side = lambda i: texts.select(F.col("id").alias(i), F.col("check").alias(f"c{i}"), F.col("text").alias(f"t{i}")).hint("merge")
+    both = pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b").select("a", "b", "ca", "cb", "ta", "tb")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            known: dict[int, np.ndarray] = {}  # rows come sorted by b, so its set is used again
+            known: dict[tuple[int, int], np.ndarray] = {}  # rows come sorted by b, so its set is used again
 
-            def of(i: int, text: pa.Scalar, known=known) -> np.ndarray:
-                if i not in known:
+            def of(key: tuple[int, int], text: pa.Scalar, known=known) -> np.ndarray:
+                if key not in known:
                     if len(known) > 64:
                         known.clear()
-                    known[i] = shingles(text.as_py(), f.words)
-                return known[i]
+                    known[key] = shingles(text.as_py(), f.words)
+                return known[key]
 
-            a, b = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            keep = [linked(of(a[k], batch.column(2)[k]), of(b[k], batch.column(3)[k]), f.percent) for k in range(batch.num_rows)]
+            a, b, ca, cb = (batch.column(i).to_pylist() for i in range(4))
+            keep = [linked(of((a[k], ca[k]), batch.column(4)[k]), of((b[k], cb[k]), batch.column(5)[k]), f.percent) for k in range(batch.num_rows)]
             yield pa.RecordBatch.from_arrays(batch.columns[:2], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return both.mapInArrow(tidy(run), "a long, b long")
 
 
-def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(id, comp) of every end of an edge (a, b): comp is the smallest id that can be reached.
 
     Labels go to the smallest label among the neighbours and then to that label's own label, which
-    halves paths. Each round is a table in the shared folder.
+    halves paths. Labels only fall, so it ends; each round is a table in the shared folder.
     """
-    both = materialise(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
-    labels = materialise(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("id"), F.least("a", "m").alias("comp")), "labels")
-    for _ in range(max_rounds):
+    spark = edges.sparkSession
+    paths: list[str] = []
+    both = materialise(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges", paths)
+    old: list[str] = []
+    labels = materialise(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("id"), F.least("a", "m").alias("comp")), "labels", old)
+    while True:
         near = both.join(labels.select(F.col("id").alias("b"), "comp"), "b").groupBy("a").agg(F.min("comp").alias("near"))
         low = labels.join(near.withColumnRenamed("a", "id"), "id").select("id", F.col("comp").alias("before"), F.least("comp", "near").alias("comp"))
-        own = labels.select(F.col("id").alias("comp"), F.col("comp").alias("above"))
-        new = materialise(low.join(own, "comp").select("id", F.least("comp", "above").alias("comp"), (F.least("comp", "above") != F.col("before")).alias("moved")), "labels")
-        drop_table(labels)
-        labels = new.select("id", "comp")
+        # Labels that are their own label lead no further, so the label of a giant component meets nothing here.
+        own = labels.where("id <> comp").select(F.col("id").alias("comp"), F.col("comp").alias("above"))
+        best = F.least("comp", F.coalesce("above", "comp"))
+        made: list[str] = []
+        new = materialise(low.join(own, "comp", "left").select("id", best.alias("comp"), (best != F.col("before")).alias("moved")), "labels", made)
+        drop_tables(spark, old)
+        labels, old = new.select("id", "comp"), made
         if not new.where("moved").take(1):
-            drop_table(both)
+            drop_tables(spark, paths)
             return labels
-    raise RuntimeError(f"components did not settle in {max_rounds} rounds")
+
+
+def joined(comps: DataFrame, edges: DataFrame, paths: list[str]) -> DataFrame:
+    """The components (id, comp) with further edges (a, b): only components that edges meet are labelled again."""
+    ends = edges.select(F.explode(F.array("a", "b")).alias("id")).distinct().join(comps, "id", "left_anti")
+    base = comps.unionByName(ends.select("id", F.col("id").alias("comp")))
+    lifted = _lifted(edges, comps).select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct()
+    moved = components(lifted).select(F.col("id").alias("comp"), F.col("comp").alias("root"))
+    return materialise(base.join(moved, "comp", "left").select("id", F.coalesce("root", "comp").alias("comp")), "components", paths)
+
+
+def _lifted(pairs: DataFrame, comps: DataFrame) -> DataFrame:
+    """The pairs (a, b, ...) whose ends are in two components, with these as ca and cb."""
+    a = comps.select(F.col("id").alias("a"), F.col("comp").alias("ca"))
+    b = comps.select(F.col("id").alias("b"), F.col("comp").alias("cb"))
+    found = pairs.join(a, "a", "left").join(b, "b", "left").withColumn("ca", F.coalesce("ca", "a")).withColumn("cb", F.coalesce("cb", "b"))
+    return found.where("ca <> cb")
 
 
 def classes(docs: DataFrame, f: Forest | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document row: doc_id, n_shingles, class_id (smallest id with an equal set), component_id.
+    """One row per document row: doc_id, check (hash of the text), n_shingles, class_id (smallest id with an equal set), component_id.
 
     Null and empty texts, and texts of white space, have an empty set and link with nothing: class
     and component are their own id. Rows without an id never represent a class; where a set has no
-    other rows its class and component are null. Rows repeated with one id are one node of the
-    links. Other columns are ignored. An empty table gives no rows.
+    other rows its class and component are null. Rows that share an id may have different texts:
+    different sets of which it is the smallest id are one node, whose links are those of all of them.
+    Other columns are ignored. An empty table gives no rows.
     """
     f = f or Forest()
     sketches = materialise(sketch(docs, f, id_col, text_col), "sketches")
     sets = sketches.where("set_key IS NOT NULL AND doc_id IS NOT NULL")
-    reps = sets.groupBy("set_key").agg(F.min(F.struct("doc_id", "sig", "brief")).alias("rep"))
-    reps = materialise(reps.select("set_key", F.col("rep.doc_id").alias("id"), F.col("rep.sig").alias("sig"), F.col("rep.brief").alias("brief")), "representatives")
-    comps = _linked_components(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")), reps, f)
+    reps = sets.groupBy("set_key").agg(F.min(F.struct("doc_id", "check", "sig", "brief")).alias("rep"))
+    reps = materialise(reps.select("set_key", F.col("rep.doc_id").alias("id"), F.col("rep.check").alias("check"), F.col("rep.sig").alias("sig"), F.col("rep.brief").alias("brief")), "representatives")
+    comps = _linked_components(_named(docs, id_col, text_col), reps, f)
     named = reps.select("set_key", F.col("id").alias("class_id")).join(comps.withColumnRenamed("id", "class_id"), "class_id", "left")
-    out = sketches.select("doc_id", "n_shingles", "set_key").join(named, "set_key", "left")
+    out = sketches.select("doc_id", "check", "n_shingles", "set_key").join(named, "set_key", "left")
     alone = F.when(F.col("n_shingles") == 0, F.col("doc_id"))
-    return out.select("doc_id", "n_shingles", F.coalesce("class_id", alone).alias("class_id"), F.coalesce("comp", "class_id", alone).alias("component_id"))
+    return out.select("doc_id", "check", "n_shingles", F.coalesce("class_id", alone).alias("class_id"), F.coalesce("comp", "class_id", alone).alias("component_id"))
 
 
 def _linked_components(texts: DataFrame, reps: DataFrame, f: Forest) -> DataFrame:
-    """(id, comp) of the representatives that have links. reps: (id, sig, brief); texts: (id, text) of all rows."""
+    """(id, comp) of the representatives that have links. reps: (id, check, sig, brief); texts: (id, check, text) of all rows."""
+    spark = texts.sparkSession
+    paths: list[str] = []
     tree = F.sequence(F.lit(0), F.lit(f.trees - 1))
     keys = F.transform(tree, lambda t: F.concat(F.unhex(F.lpad(F.hex(t), 2, "0")), F.substring("sig", t * (4 * f.depth) + 1, F.lit(4 * f.depth))))
-    pairs, shared = candidates(reps.select(F.explode(keys).alias("key"), "brief", "id"), f)
+    pairs, shared = candidates(reps.select(F.explode(keys).alias("key"), "brief", "id"), f, paths)
     end = F.explode(F.array("a", "b")).alias("id")
     # The one shuffle of all texts: from here on only those of rows that share a region move.
     nodes = pairs.select(end).unionByName(shared.select("id")).distinct()
-    near = materialise(texts.join(nodes.hint("merge"), "id", "left_semi"), "texts")
+    wanted = reps.select("id", "check").join(nodes, "id", "left_semi")
+    near = materialise(texts.join(wanted.hint("merge"), ["id", "check"], "left_semi").dropDuplicates(["id", "check"]), "texts", paths)
     comps = tested = None
     for turn in range(f.best_rounds + 1):
-        left = pairs if tested is None else materialise(_crossing(pairs.join(tested, ["a", "b"], "left_anti"), comps), "crossing")
+        left = pairs if tested is None else materialise(_lifted(pairs.join(tested, ["a", "b"], "left_anti"), comps).select("a", "b", "equal"), "crossing", paths)
         if turn < f.best_rounds:  # the most alike pair of each row; most of the others are then within a component
             best = left.select(end, F.struct("equal", F.xxhash64("a", "b").alias("any"), "a", "b").alias("p")).groupBy("id").agg(F.max("p").alias("p"))
-            left = materialise(best.select("p.a", "p.b").distinct(), "best")
-        found = confirm(left, near, f)
-        comps = components(found if comps is None else found.unionByName(_stars(comps)))
+            left = materialise(best.select("p.a", "p.b").distinct(), "best", paths)
+        found = materialise(confirm(left, near, f), "links", paths)
+        comps = components(found) if comps is None else joined(comps, found, paths)
         tested = left.select("a", "b") if tested is None else tested.unionByName(left.select("a", "b"))
-    asked = materialise(promising(blocks(shared, comps, f), f), "asked")
-    more = materialise(confirm_blocks(asked, near, f), "links")
-    return components(more.unionByName(_stars(comps))) if more.take(1) else comps
-
-
-def _stars(comps: DataFrame) -> DataFrame:
-    """Components as edges, which stand for all links found before."""
-    return comps.where("id <> comp").select(F.col("id").alias("a"), F.col("comp").alias("b"))
-
-
-def _crossing(pairs: DataFrame, comps: DataFrame) -> DataFrame:
-    """The pairs (a, b, equal) whose ends are in two components."""
-    a = comps.select(F.col("id").alias("a"), F.col("comp").alias("ca"))
-    b = comps.select(F.col("id").alias("b"), F.col("comp").alias("cb"))
-    joined = pairs.join(a, "a", "left").join(b, "b", "left")
-    return joined.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b", "equal")
+    asked = materialise(promising(blocks(shared, comps, f, paths), f), "asked", paths)
+    more = materialise(confirm_blocks(asked, near, f), "links", paths)
+    out = materialise(joined(comps, more, paths) if more.take(1) else comps, "components")
+    drop_tables(spark, paths)
+    return out
 
 
 def deduplicate(docs: DataFrame, f: Forest | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of `docs` that stay, with all their columns: of each component the smallest id, once.
+    """The rows of `docs` that stay, with all their columns: of each component those of the smallest id.
 
-    Rows without an id all stay, as no component can be named by them.
+    Rows without an id all stay, as no component can be named by them. Where rows share an id that
+    stays, each of its texts stays once. Null and empty texts stay. An empty table gives no rows.
     """
-    found = classes(docs, f, id_col, text_col).where("doc_id = component_id").select(F.col("doc_id").alias(id_col)).distinct()
-    kept = docs.where(F.col(id_col).isNotNull()).join(found, id_col, "left_semi").dropDuplicates([id_col])
-    return kept.unionByName(docs.where(F.col(id_col).isNull())).select(*docs.columns)
+    key, check = fresh(docs, "row_key", "row_check")
+    found = classes(docs, f, id_col, text_col).where("doc_id IS NOT NULL")
+    # A text always has the same component under one id.
+    found = materialise(found.groupBy("doc_id", "check").agg(F.min("component_id").alias("comp"), F.count(F.lit(1)).alias("n")), "classes")
+    narrow = lambda rows: rows.select(F.col("doc_id").alias(key), F.col("check").alias(check))
+    tagged = docs.withColumn(key, F.col(id_col).cast("long")).withColumn(check, F.xxhash64(text_col))
+    return once_each(tagged, materialise(narrow(found.where("doc_id <> comp")), "dropped"), materialise(narrow(found.where("doc_id = comp AND n > 1")), "again"), [key, check]).select(*docs.columns)
 
 
 def op4_minhash_near_dedup(docs: DataFrame) -> DataFrame:

@@ -23,10 +23,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: the session's `spark.checkpoint.dir`.
 
-    Where it is unset (tests, one machine) a temporary folder is set once and used from then on.
+    Where it is unset on one machine (tests) a temporary folder is set once and used from then on; on a
+    cluster that raises, as executors elsewhere could not read such a folder.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="marlstone-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -37,24 +40,50 @@ def scratch_path(spark: SparkSession, tag: str) -> str:
     return f"{shared_dir(spark)}/marlstone/{tag}-{uuid.uuid4().hex}"
 
 
-def materialise(df: DataFrame, tag: str) -> DataFrame:
-    """Write `df` as a Parquet table in the shared folder and read it back.
+def materialise(df: DataFrame, tag: str, paths: list[str] | None = None) -> DataFrame:
+    """Write `df` as a Parquet table in the shared folder and read it back; its path is added to `paths`.
 
     Lineage ends at replicated files, so a lost executor costs a re-read and not a recomputation.
     """
     spark = df.sparkSession
     path = scratch_path(spark, tag)
     df.write.parquet(path)
+    if paths is not None:
+        paths.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def drop_table(df: DataFrame) -> None:
-    """Delete the files of a table that `materialise` wrote and nothing reads any more, through Hadoop's file systems."""
-    spark = df.sparkSession
-    for parent in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        if "/marlstone/" in parent:
-            path = spark._jvm.org.apache.hadoop.fs.Path(parent)
-            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+def drop_tables(spark: SparkSession, paths: list[str]) -> None:
+    """Delete tables that `materialise` wrote and nothing reads any more, through Hadoop's file systems."""
+    while paths:
+        path = spark._jvm.org.apache.hadoop.fs.Path(paths.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def fresh(df: DataFrame, *stems: str) -> list[str]:
+    """Column names that `df` does not have yet."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for stem in stems:
+        while stem.lower() in taken:
+            stem += "_"
+        taken.add(stem.lower())
+        out.append(stem)
+    return out
+
+
+def once_each(docs: DataFrame, dropped: DataFrame, repeated: DataFrame, keys: list[str]) -> DataFrame:
+    """The rows of `docs` whose keys are not in `dropped`, and of those whose keys are in `repeated` one each.
+
+    Both are narrow tables that were written down, so the planner knows their size: a small one is
+    broadcast and texts don't move, a larger one is joined by a shuffle. Null keys match nothing, so
+    their rows stay.
+    """
+    kept = docs.join(dropped, keys, "left_anti")
+    if not repeated.take(1):
+        return kept
+    once = docs.join(repeated, keys, "left_semi").dropDuplicates(keys).select(*kept.columns)
+    return kept.join(repeated, keys, "left_anti").unionByName(once)
 
 
 def bounded_batches(spark: SparkSession, max_bytes: int = 8_000_000) -> None:
