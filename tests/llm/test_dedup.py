@@ -27,6 +27,18 @@ def test_classify_cases(spark):
         assert sum(r["kept"] for r in got) == len(by)
 
 
+def test_extreme_identifiers_and_many_runs(spark):
+    least, most = -(2**63), 2**63 - 1
+    rows = [(least, "a"), (most, "a"), (0, "a"), (None, "a"), (least, "b"), (None, "b"), (None, "b")]
+    for keep, best in (("smallest", least), ("largest", most)):
+        for parts in (1, 40, 300):
+            got = exact_dedup.classify(docs(spark, rows).repartition(parts), keep=keep).collect()
+            assert {r["keep_id"] for r in got if r["group_size"] == 4} == {best} and {r["keep_id"] for r in got if r["group_size"] == 3} == {least}
+            assert sum(r["kept"] for r in got) == 2
+    kept = exact_dedup.deduplicate(docs(spark, rows), keep="largest").collect()
+    assert sorted((r["doc_id"], r["text"]) for r in kept) == [(least, "b"), (most, "a")]
+
+
 def test_classify_against_brute_force(spark):
     rng = random.Random(3)
     rows = [(i, rng.choice(["hot", "", None, f"t{rng.randrange(40)}", f"u{i}"])) for i in range(600)]
@@ -109,14 +121,21 @@ def test_components_against_brute_force(spark):
         assert got == want
 
 
-def test_dense_regions_are_split_and_blocked(spark):
+def test_dense_regions_lose_no_link(spark):
     rows = near_rows()
-    tight = near_dedup.Forest(percent=85, block=4, work=20, window=1, keep=1)
+    tight = near_dedup.Forest(percent=85, block=4, window=1, keep=1, best_rounds=0)
     got = {r["doc_id"]: r["component_id"] for r in near_dedup.classes(docs(spark, rows), tight).collect()}
-    want = {i: c for i, (_, c) in brute(rows, 85).items()}
-    # Regions split deeper may miss a pair; nothing may be joined that isn't linked.
-    assert sum(got[i] != want[i] for i in want) <= 0.05 * len(want)
-    assert all(want[got[i]] == want[i] for i in want)
+    assert got == {i: c for i, (_, c) in brute(rows, 85).items()}
+
+
+def test_rows_that_share_an_id(spark):
+    rng = random.Random(6)
+    said = [" ".join(rng.choice("abcdefghijklmnop") * 3 for _ in range(60)) for _ in range(3)]
+    rows = [(1, said[0]), (1, said[1]), (2, said[1] + " z"), (3, said[2]), (3, said[2]), (None, said[2]), (4, None), (4, "")]
+    kept = near_dedup.deduplicate(docs(spark, rows)).collect()
+    assert sorted(((r["doc_id"], r["text"]) for r in kept), key=str) == sorted([(1, said[0]), (1, said[1]), (3, said[2]), (None, said[2]), (4, None), (4, "")], key=str)
+    got = {(r["doc_id"], r["component_id"]) for r in near_dedup.classes(docs(spark, rows)).collect()}
+    assert got == {(1, 1), (2, 1), (3, 3), (None, 3), (4, 4)}
 
 
 def test_near_deduplicate(spark):
@@ -130,3 +149,23 @@ def test_components_of_a_path(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 102), (101, 102)], "a long, b long")
     got = {r["id"]: r["comp"] for r in near_dedup.components(edges).collect()}
     assert got == {i: 0 for i in range(41)} | {100: 100, 101: 100, 102: 100}
+    more = spark.createDataFrame([(40, 101), (500, 501), (3, 4)], "a long, b long")
+    again = near_dedup.joined(spark.createDataFrame(list(got.items()), "id long, comp long"), more, [])
+    assert {r["id"]: r["comp"] for r in again.collect()} == {i: 0 for i in (*range(41), 100, 101, 102)} | {500: 500, 501: 500}
+
+
+def test_components_of_random_graphs(spark):
+    rng = random.Random(9)
+    edges = [(i, max(0, i - rng.randrange(1, 40))) for i in rng.sample(range(3_000), 2_400)]
+    parent = list(range(3_000))
+
+    def find(x):
+        while parent[x] != x:
+            parent[x] = x = parent[parent[x]]
+        return x
+
+    for a, b in edges:
+        a, b = sorted((find(a), find(b)))
+        parent[b] = a
+    got = {r["id"]: r["comp"] for r in near_dedup.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {i: find(i) for e in edges for i in e}
