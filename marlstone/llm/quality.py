@@ -3,8 +3,9 @@
 Bytes have learned vectors; learned filters over WIDTH bytes slide over the whole text. Filter outputs
 are pooled over overlapping chunks (CHUNK bytes, half a chunk apart) by maximum and mean, a hidden
 layer looks at each chunk, its outputs are pooled over all chunks by maximum and mean, and a logistic
-unit makes one probability. For scoring, vectors and filters are compiled to one table per place in
-the filter, so that a filter output is a sum of WIDTH rows; half chunks are computed once.
+unit makes one probability. Training and scoring look at all chunks of a text. For scoring, vectors
+and filters are compiled to one table per place in the filter, so that a filter output is a sum of
+WIDTH rows; half chunks are computed once.
 """
 
 from __future__ import annotations
@@ -18,21 +19,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marlstone.llm.lang_id import held_out
-from marlstone.llm.shared import rows_of, sample_ids, tidy
+from marlstone.llm.shared import materialise, rows_of, sample_ids, tidy
 
-#: Labelled rows that the network is fitted on at most (half of each label at most), and their longest text.
+#: Labelled rows that the network is fitted on at most (half of each label at most). Their texts are learned from as a whole.
 SAMPLE_ROWS = 2_000
-SAMPLE_CHARS = 50_000
 HALF = 128
 CHUNK = 2 * HALF
 WIDTH = 6
 VECTOR = 8
 FILTERS = 16
 HIDDEN = 16
-EPOCHS = 6
+EPOCHS = 4
 THRESHOLD = 0.7
-#: Chunks of a training text that one epoch looks at (others in the next); scoring looks at all.
-EPOCH_CHUNKS = 12
+#: Chunks whose gradients are computed at once; bounds memory whatever the texts.
+BLOCK_CHUNKS = 256
 
 
 def padded(text: str | None) -> np.ndarray:
@@ -75,17 +75,22 @@ class Network:
         h = np.tanh(pooled @ w["hidden"] + w["hidden_bias"])
         return x, z, top, pooled, h
 
-    def step(self, texts: list[np.ndarray], y: np.ndarray, weight: np.ndarray, rng: np.random.Generator) -> tuple[dict, float]:
-        """Gradients and loss of a batch of padded texts."""
-        w, rows, owner = self.w, [], []
-        for k, t in enumerate(texts):
-            starts = np.arange(0, len(t) - WIDTH + 1 - HALF, HALF)
-            if len(starts) > EPOCH_CHUNKS:
-                starts = rng.choice(starts, EPOCH_CHUNKS, replace=False)
-            rows += [t[s : s + CHUNK + WIDTH - 1] for s in starts]
-            owner += [k] * len(starts)
-        chunks, owner = np.stack(rows), np.array(owner)
-        x, z, top, pooled, h = self._chunks(chunks)
+    def step(self, texts: list[np.ndarray], y: np.ndarray, weight: np.ndarray) -> tuple[dict, float]:
+        """Gradients and loss of a batch of padded texts, over all their chunks, block by block."""
+        w = self.w
+        starts = [np.arange(0, len(t) - WIDTH + 1 - HALF, HALF) for t in texts]
+        owner = np.repeat(np.arange(len(texts)), [len(s) for s in starts])
+        at = np.concatenate(starts)
+        blocks = [slice(i, i + BLOCK_CHUNKS) for i in range(0, len(owner), BLOCK_CHUNKS)]
+        span = np.arange(CHUNK + WIDTH - 1)
+
+        def forward(block: slice) -> tuple:
+            chunks = np.stack([texts[k][s + span] for k, s in zip(owner[block], at[block], strict=True)])
+            return chunks, *self._chunks(chunks)
+
+        # What backward needs is kept for one block only; where there are more, they are computed again.
+        kept = forward(blocks[0]) if len(blocks) == 1 else None
+        h = kept[-1] if kept else np.concatenate([forward(b)[-1] for b in blocks])
         n, count = len(texts), np.bincount(owner, minlength=len(texts))[:, None].astype(np.float32)
         best = np.full((n, HIDDEN), -2, np.float32)
         np.maximum.at(best, owner, h)
@@ -96,30 +101,36 @@ class Network:
         p = 1 / (1 + np.exp(-(doc @ w["out"] + w["out_bias"])))
         loss = float(-(weight * (y * np.log(p + 1e-7) + (1 - y) * np.log(1 - p + 1e-7))).mean())
         d = (weight * (p - y) / n).astype(np.float32)
-        g = {"out": doc.T @ d, "out_bias": d.sum(keepdims=True)}
         d_doc = d[:, None] * w["out"]
         is_top = h == best[owner]
         ties = np.zeros((n, HIDDEN), np.float32)
         np.add.at(ties, owner, is_top)
         d_h = (d_doc[:, HIDDEN:] / count)[owner] + np.where(is_top, (d_doc[:, :HIDDEN] / ties)[owner], 0)
         d_s = d_h * (1 - h * h)
-        g["hidden"], g["hidden_bias"] = pooled.T @ d_s, d_s.sum(axis=0)
+        g = {k: np.zeros_like(v) for k, v in w.items()} | {"out": doc.T @ d, "out_bias": d.sum(keepdims=True)}
+        for block in blocks:
+            self._backward(*(kept or forward(block)), d_s[block], g)
+        g["vector"][0] = 0
+        return g, loss
+
+    def _backward(self, chunks: np.ndarray, x: np.ndarray, z: np.ndarray, top: np.ndarray, pooled: np.ndarray, h: np.ndarray, d_s: np.ndarray, g: dict) -> None:
+        """Add the gradients below the hidden layer of a block of chunks, given those of its sums."""
+        w = self.w
+        g["hidden"] += pooled.T @ d_s
+        g["hidden_bias"] += d_s.sum(axis=0)
         d_pool = d_s @ w["hidden"].T
         d_a = np.repeat(d_pool[:, None, FILTERS:] * (4 / CHUNK), CHUNK, axis=1)
         at = np.arange(len(chunks))[:, None], top, np.arange(FILTERS)[None, :]
         d_a[at] += d_pool[:, :FILTERS]
         d_z = np.where(z > 0, d_a, 0).reshape(-1, FILTERS)
-        flat = x.reshape(-1, WIDTH * VECTOR)
-        g["filter"], g["bias"] = flat.T @ d_z, d_z.sum(axis=0)
+        g["filter"] += x.reshape(-1, WIDTH * VECTOR).T @ d_z
+        g["bias"] += d_z.sum(axis=0)
         d_x = (d_z @ w["filter"].T).reshape(len(chunks), CHUNK, WIDTH, VECTOR)
         d_v = np.zeros((len(chunks), CHUNK + WIDTH - 1, VECTOR), np.float32)
         for i in range(WIDTH):
             d_v[:, i : i + CHUNK] += d_x[:, :, i]
-        codes = chunks.ravel()
-        flat_v = d_v.reshape(-1, VECTOR)
-        g["vector"] = np.stack([np.bincount(codes, flat_v[:, j], 257) for j in range(VECTOR)], axis=1).astype(np.float32)
-        g["vector"][0] = 0
-        return g, loss
+        codes, flat = chunks.ravel(), d_v.reshape(-1, VECTOR)
+        g["vector"] += np.stack([np.bincount(codes, flat[:, j], 257) for j in range(VECTOR)], axis=1).astype(np.float32)
 
     def train(self, rows: list[tuple[str, int]], epochs: int = EPOCHS, batch: int = 24, rate: float = 0.01, seed: int = 11, good_weight: float = 1.5) -> list[float]:
         """Adam on (text, label) rows; both labels weigh alike but for `good_weight`, which spares clean texts."""
@@ -136,7 +147,7 @@ class Network:
             seen = []
             for i in range(0, len(order), batch):
                 part = order[i : i + batch]
-                g, loss = self.step([texts[k] for k in part], y[part], weight[part], rng)
+                g, loss = self.step([texts[k] for k in part], y[part], weight[part])
                 seen.append(loss)
                 t += 1
                 now = rate * (1 - t / (total + 1))
@@ -191,17 +202,20 @@ class Scorer:
         return float(1 / (1 + np.exp(-np.clip(z, -30, 30))))
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, sample_chars: int = SAMPLE_CHARS) -> Network:
+def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Network:
     """A network fitted on labelled documents that are not held out: at most `sample_rows`, half of each
-    label at most, taken by a hash of the id. Texts longer than `sample_chars` are not learned from. With
-    one label only, or none, the network still scores, without having learned a difference.
+    label at most, taken by a hash of the id, and learned from as a whole. Rows without an id or a label
+    of 0 or 1 teach nothing; a document with both labels counts as 0; of rows that share an id the
+    smallest text counts. With one label only, or none, the network still scores, without having learned
+    a difference.
     """
-    known = labels.where(F.col("quality").isin(0, 1) & ~held_out(F.col("doc_id"))).select("doc_id", F.col("quality").cast("int").alias("quality"))
-    # Only ids and labels move; the texts of the chosen rows come last.
-    near = docs.where(F.length("text") <= sample_chars).select("doc_id").join(known, "doc_id")
+    known = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
+    known = known.groupBy("doc_id").agg(F.min("quality").cast("int").alias("quality"))
+    # One narrow pass finds the ids and labels; the texts of the chosen rows come last.
+    near = materialise(docs.select("doc_id").join(known, "doc_id").groupBy("doc_id").agg(F.min("quality").alias("quality")), "labelled")
     net = Network()
     chosen = {i: q for q in (0, 1) for i in sample_ids(near.where(F.col("quality") == q), sample_rows // 2)}
-    rows = rows_of(docs.where(F.length("text") <= sample_chars).select("doc_id", "text"), list(chosen))
+    rows = rows_of(docs.select("doc_id", "text"), list(chosen))
     taken = [(r["text"], chosen[r["doc_id"]]) for r in rows.groupBy("doc_id").agg(F.min("text").alias("text")).orderBy("doc_id").collect()]
     if taken:
         net.train(taken)
@@ -209,7 +223,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, samp
 
 
 def score(docs: DataFrame, net: Network, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document row: doc_id, score. Other columns are ignored."""
+    """One row per document row: doc_id, score. Null text counts as empty and has a score too; null ids stay
+    null, repeated rows each give a row, an empty table gives none. Other columns are ignored."""
     shipped = docs.sparkSession.sparkContext.broadcast(pickle.dumps(net.w))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -227,7 +242,7 @@ def _scorer(packed: bytes) -> Scorer:
 
 
 def keep_good(docs: DataFrame, net: Network, threshold: float = THRESHOLD, text_col: str = "text") -> DataFrame:
-    """The rows of `docs` whose text scores `threshold` or more, with all their columns."""
+    """The rows of `docs` whose text scores `threshold` or more, with all their columns; null text counts as empty."""
     shipped = docs.sparkSession.sparkContext.broadcast(pickle.dumps(net.w))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

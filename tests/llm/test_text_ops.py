@@ -288,18 +288,37 @@ def test_quality_gradients():
     net = quality.Network(seed=1)
     net.w["bias"] += 0.05  # off the kink, where padding would stand
     texts, y, w = [quality.padded("some text here"), quality.padded("#a#b" * 200 + "other end")], np.array([1.0, 0.0], np.float32), np.ones(2, np.float32)
-    rng = np.random.default_rng(0)
-    g, base = net.step(texts, y, w, rng)
+    g, base = net.step(texts, y, w)
     for name in ("out", "hidden", "filter", "bias", "vector"):
         at = np.unravel_index(np.abs(g[name]).argmax(), g[name].shape)
         net.w[name][at] += 1e-3
-        up = net.step(texts, y, w, rng)[1]
+        up = net.step(texts, y, w)[1]
         net.w[name][at] -= 2e-3
-        down = net.step(texts, y, w, rng)[1]
+        down = net.step(texts, y, w)[1]
         net.w[name][at] += 1e-3
         assert (up - down) / 2e-3 == pytest.approx(float(g[name][at]), rel=0.1, abs=2e-3)
 
 
+def test_gradients_block_by_block(monkeypatch):
+    import numpy as np
+
+    net = quality.Network(seed=3)
+    texts, y, w = [quality.padded("ab c" * n) for n in (3, 400, 90)], np.array([1, 0, 1], np.float32), np.ones(3, np.float32)
+    whole, loss = net.step(texts, y, w)
+    monkeypatch.setattr(quality, "BLOCK_CHUNKS", 5)
+    parts, again = net.step(texts, y, w)
+    assert again == pytest.approx(loss, rel=1e-5)
+    assert all(np.allclose(whole[k], parts[k], rtol=1e-3, atol=1e-5) for k in whole)
+
+
+def test_documents_with_two_labels_and_long_training_texts(spark):
+    rows = [(i, ("good words in a line " if i % 2 else "#!#! $$ %% ") * (20_000 if i < 2 else 8)) for i in range(60)]
+    labels = [(i, i % 2) for i, _ in rows] + [(5, 0), (5, 1), (None, 1), (7, None), (999, 1)]
+    net = quality.fit(docs(spark, rows), spark.createDataFrame(labels, "doc_id long, quality int"))
+    got = {r["doc_id"]: r["score"] for r in quality.score(docs(spark, rows), net).collect()}
+    assert sum((got[i] >= 0.5) == bool(i % 2) for i, _ in rows) >= 55
+
+
 def test_compiled_scores_are_the_networks():
     import numpy as np
 
