@@ -24,7 +24,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marlstone.llm.shared import rows_of, sample_ids, tidy
+from marlstone.llm.shared import gathered, rows_of, sample_ids, tidy
 
 #: Labelled rows that a model is fitted on; their texts are learned from as a whole.
 SAMPLE_ROWS = 3_000
@@ -34,6 +34,8 @@ PIECE = 24
 SWITCH_PENALTY = 9.0
 #: A script belongs to a language if at least so much of its training letters are of that script.
 SCRIPT_SHARE = 0.01
+#: Text that is labelled together, in bytes.
+BATCH_BYTES = 32_000_000
 #: Words whose scores a Python worker remembers.
 MAX_WORDS = 400_000
 
@@ -315,7 +317,7 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         labeller = Labeller(pickle.loads(shipped.value), penalty)
-        for batch in batches:
+        for batch in gathered(batches, BATCH_BYTES):  # Viterbi steps through all texts of a batch together
             texts = batch.column(1).to_pylist()
             found = labeller.label(texts)
             cols = [batch.column(0), pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())]

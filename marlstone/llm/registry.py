@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
 from marlstone.llm import byte_bpe, chat_format, decontaminate, exact_dedup, html_extract, lang_id, license_scan, near_dedup, quality, warc
-from marlstone.llm.shared import bounded_batches, scratch_path, table
+from marlstone.llm.shared import scratch_path, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -28,7 +28,7 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All of `pages`, written as archives and read back."""
     path = scratch_path(spark, "warc")
     warc.write_archives(table(spark, sf_dir, "pages"), path)
-    return warc.captures(warc.assemble(warc.read_records(spark, path, with_payload=False)))
+    return warc.captures(warc.assemble(warc.read_records(spark, path)))
 
 
 def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -38,9 +38,7 @@ def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All of `documents`; SQL has no such model."""
-    docs = table(spark, sf_dir, "documents")
-    bounded_batches(spark, 32_000_000)  # Viterbi steps through all texts of a batch together
-    return lang_id.op5_language_id(docs)
+    return lang_id.op5_language_id(table(spark, sf_dir, "documents"))
 
 
 def op6_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -91,6 +91,20 @@ def bounded_batches(spark: SparkSession, max_bytes: int = 8_000_000) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(max_bytes))
 
 
+def gathered(batches: Iterator[pa.RecordBatch], least_bytes: int) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of `least_bytes` or more, but for the last."""
+    held: list[pa.RecordBatch] = []
+    size = 0
+    for batch in batches:
+        held.append(batch)
+        size += batch.nbytes
+        if size >= least_bytes:
+            yield pa.concat_batches(held)
+            held, size = [], 0
+    if held:
+        yield pa.concat_batches(held)
+
+
 def sample_ids(rows: DataFrame, k: int, key: str = "doc_id") -> list[int]:
     """At most `k` distinct keys of `rows`, those with the smallest hashes; the same whatever the partitions.
 

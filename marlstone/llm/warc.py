@@ -17,13 +17,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marlstone.llm.shared import tidy
+from marlstone.llm.shared import materialise, tidy
 
 CRLF = "\r\n"
 #: Payloads of fewer bytes are always written again.
 LEAST_REVISIT_BYTES = 100
-#: Pages of one archive file; bounds what a reading task holds.
+#: Payload bytes and pages of one archive file at most, which bounds what a reading task holds; a larger payload has a file of its own.
+FILE_BYTES = 64_000_000
 PAGES_PER_FILE = 2_000
+#: Pages are written by size, so that files hold as many as fit: each class has payloads of up to so many bytes.
+SIZES = (FILE_BYTES // PAGES_PER_FILE, FILE_BYTES // 40)
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
@@ -52,13 +55,23 @@ def write_archives(pages: DataFrame, path: str, date: str = "2024-01-01T00:00:00
     Null html is an empty payload. Of rows with equal payloads of LEAST_REVISIT_BYTES or more, those
     with the smallest id (then url; null ids last) are responses and the others revisit it. A null
     url has no target field. Rows repeated in id, url and payload are written as often as they occur,
-    with equal record identifiers. Other columns are ignored.
+    with equal record identifiers. Other columns are ignored. An empty table writes no records.
+
+    Payloads go from the scan straight to the files. Only digests are grouped, and what comes back is
+    one narrow row for each page whose payload another page has too; where those are few they are
+    broadcast, else pages meet them by their own key, which no two unequal pages share.
     """
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(html_col), F.lit("")).alias("payload"))
     rows = rows.withColumn("digest", F.sha2("payload", 256)).withColumn("n", F.octet_length("payload"))
     order = F.struct(F.col("page_id").isNull().alias("none"), F.col("page_id").alias("id"), F.coalesce("url", F.lit("")).alias("url"))
-    first = rows.where(F.col("n") >= LEAST_REVISIT_BYTES).groupBy("digest").agg(F.min(order).alias("first"))
-    rows = rows.join(first, "digest", "left")
+    key = ["key", "digest"]
+    rows = rows.withColumn("key", F.xxhash64("page_id", "url"))
+    narrow = materialise(rows.select("key", "digest", "n", order.alias("own")), "digests")
+    most = narrow.agg(F.max("n")).first()[0] or 0
+    narrow = narrow.where(F.col("n") >= LEAST_REVISIT_BYTES)
+    first = narrow.groupBy("digest").agg(F.min("own").alias("first"), F.count(F.lit(1)).alias("times")).where("times > 1")
+    again = materialise(narrow.groupBy(*key).agg(F.min("own").alias("own")).join(first, "digest").where("own <> first").select(*key, "first"), "revisits")
+    rows = rows.join(again, key, "left")
 
     def ident(kind: str, page: Column, url: Column) -> Column:
         return _uuid(F.lit(kind), F.coalesce(page.cast("string"), F.lit("null")), F.coalesce(url, F.lit("")), F.col("digest"))
@@ -82,7 +95,11 @@ def write_archives(pages: DataFrame, path: str, date: str = "2024-01-01T00:00:00
         capture,
         _record("metadata", ident("metadata", F.col("page_id"), F.col("url")), uri, date, "application/warc-fields", known, to),
     )
-    rows.select(F.explode(records).alias("value")).write.option("lineSep", CRLF * 2).option("compression", "gzip").option("maxRecordsPerFile", 3 * PAGES_PER_FILE).text(path)
+    for low, high in zip((-1, *SIZES), (*SIZES, max(most, *SIZES)), strict=True):
+        if low < most or low < 0:
+            fits = max(1, min(PAGES_PER_FILE, FILE_BYTES // high))
+            part = rows.where((F.col("n") > low) & (F.col("n") <= high)).select(F.explode(records).alias("value"))
+            part.write.mode("append").option("lineSep", CRLF * 2).option("compression", "gzip").option("maxRecordsPerFile", 3 * fits).text(path)
 
 
 def parse(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:

@@ -74,6 +74,21 @@ def test_warc_round_trip(spark):
             assert r["response"]["payload"] == by_id[r["metadata"]["page_id"]]
 
 
+def test_archives_are_bounded_by_bytes(spark, monkeypatch):
+    monkeypatch.setattr(warc, "FILE_BYTES", 40_000)
+    monkeypatch.setattr(warc, "SIZES", (20, 1_000))
+    sizes = [5] * 300 + [900] * 130 + [39_000, 120_000, 400_000, 20, 21, 1_000, 1_001]
+    pages = spark.createDataFrame([(i, f"http://h/{i}", (f"{i:06}" * (n // 6 + 1))[:n]) for i, n in enumerate(sizes)], "page_id long, url string, html string")
+    path = scratch_path(spark, "test-warc")
+    warc.write_archives(pages, path)
+    found = spark.read.format("binaryFile").load(path).select("content").collect()
+    held = [[f for f, _ in warc.parse(r["content"]) if f["warc-type"] == "response"] for r in found]
+    assert all(len(h) == 1 or sum(int(f["content-length"]) for f in h) < 40_000 + 120 * len(h) for h in held)
+    assert sum(map(len, held)) == len(sizes)
+    got = warc.captures(warc.assemble(warc.read_records(spark, path))).collect()
+    assert {r["page_id"]: r["payload_bytes"] for r in got} == dict(enumerate(sizes))
+
+
 def test_warc_empty_and_broken(spark):
     assert list(warc.parse(b"")) == []
     with pytest.raises(ValueError, match="cut off"):
