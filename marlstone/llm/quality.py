@@ -29,7 +29,9 @@ WIDTH = 6
 VECTOR = 8
 FILTERS = 16
 HIDDEN = 16
+#: Passes over the training texts; of few texts there are more, for so many steps in all.
 EPOCHS = 4
+LEAST_STEPS = 150
 THRESHOLD = 0.7
 #: Chunks whose gradients are computed at once; bounds memory whatever the texts.
 BLOCK_CHUNKS = 256
@@ -132,8 +134,9 @@ class Network:
         codes, flat = chunks.ravel(), d_v.reshape(-1, VECTOR)
         g["vector"] += np.stack([np.bincount(codes, flat[:, j], 257) for j in range(VECTOR)], axis=1).astype(np.float32)
 
-    def train(self, rows: list[tuple[str, int]], epochs: int = EPOCHS, batch: int = 24, rate: float = 0.01, seed: int = 11, good_weight: float = 1.5) -> list[float]:
+    def train(self, rows: list[tuple[str, int]], epochs: int | None = None, batch: int = 24, rate: float = 0.01, seed: int = 11, good_weight: float = 1.5) -> list[float]:
         """Adam on (text, label) rows; both labels weigh alike but for `good_weight`, which spares clean texts."""
+        epochs = epochs or max(EPOCHS, -(-LEAST_STEPS // max(1, -(-len(rows) // batch))))
         rng = np.random.default_rng(seed)
         texts, y = [padded(t) for t, _ in rows], np.array([q for _, q in rows], np.float32)
         share = max(1e-6, min(1 - 1e-6, float(y.mean())) if len(y) else 0.5)
