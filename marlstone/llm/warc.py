@@ -170,16 +170,29 @@ def assemble(records: DataFrame) -> DataFrame:
 
 
 def captures(assembled: DataFrame) -> DataFrame:
-    """The contract's columns from assembled captures; a response's payload must have the digest it states."""
-    ok = F.col("response.computed").isNull() | (F.col("response.computed") == F.col("response.digest"))
+    """The contract's columns from assembled captures; a payload must have the digest that its record states.
+
+    Length and digest of a revisit are those of the payload of the response it refers to; where that is
+    not in the archives, what the revisit's own records say.
+    """
+    ok = F.col("response.payload").isNull() | (F.sha2("response.payload", 256) == F.col("response.digest"))
     flat = assembled.select(
         "capture_id",
         F.col("metadata.page_id").alias("page_id"),
-        F.coalesce("response.n_bytes", "metadata.said_bytes").alias("payload_bytes"),
-        F.when(ok, F.col("response.digest")).otherwise(F.raise_error(F.lit("a payload differs from its digest"))).alias("payload_digest"),
+        F.col("metadata.said_bytes").alias("said_bytes"),
+        F.octet_length("response.payload").cast("long").alias("n_bytes"),
+        F.when(ok, F.col("response.digest")).otherwise(F.raise_error(F.lit("a payload differs from its digest"))).alias("digest"),
         F.col("response.kind").alias("record_type"),
         F.coalesce("response.refers_to", "capture_id").alias("to"),  # a response meets itself, so no null key gathers rows
     )
-    origin = flat.where("record_type = 'response'").groupBy(F.col("capture_id").alias("to")).agg(F.min("page_id").alias("refers_to"))
+    flat = materialise(flat, "captures")  # payloads are assembled once; what is joined is narrow
+    origin = flat.where("record_type = 'response'").groupBy(F.col("capture_id").alias("to")).agg(F.min(F.struct("page_id", "n_bytes", "digest")).alias("first"))
     found = flat.join(origin, "to", "left")
-    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", F.when(F.col("record_type") == "revisit", F.col("refers_to")).alias("refers_to"))
+    same = F.col("first.digest").isNull() | (F.col("first.digest") == F.col("digest"))
+    return found.select(
+        "page_id",
+        F.coalesce("n_bytes", "first.n_bytes", "said_bytes").alias("payload_bytes"),
+        F.when(same, F.col("digest")).otherwise(F.raise_error(F.lit("a revisit differs from its response"))).alias("payload_digest"),
+        "record_type",
+        F.when(F.col("record_type") == "revisit", F.col("first.page_id")).alias("refers_to"),
+    )
