@@ -87,7 +87,7 @@ def evaluation(documents: DataFrame) -> DataFrame:
 EVAL = r"""eval AS (
   SELECT *, CASE id % 4 WHEN 0 THEN baseline WHEN 1 THEN replace(baseline, '0', 'o') WHEN 2 THEN reference ELSE replace(baseline, 'e', '') END AS corrected
   FROM (SELECT *, replace(replace(reference, 'the', 'teh'), 'o', '0') AS baseline
-        FROM (SELECT doc_id AS id, lang, source, substr(regexp_replace(text, '[^\x20-\x7e]', '', 'g'), 1, 80) AS reference FROM documents)))"""
+        FROM (SELECT doc_id AS id, lang, source, regexp_replace(text, '[^\x20-\x7e]', '', 'g') AS reference FROM documents)))"""
 
 
 def vectors(embeddings: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from marlstone.functions import unicode
 from marlstone.functions.policy import language_code, strip
 
 # Patterns of noise lines and of record forms, and weights of the subtitle score.
@@ -146,10 +147,8 @@ def word_tokens(text: Column) -> Column:
 
 
 def edit_distance(left: Column, right: Column) -> Column:
-    """Edit distance, exact at any length: within a band of 1/16 of the longer text, else of 1/4, else in full."""
-    longer = F.greatest(F.length(left), F.length(right))
-    within = lambda part: F.nullif(F.call_function("levenshtein", left, right, (longer / part).cast("int")), F.lit(-1))
-    return F.coalesce(within(16), within(4), F.levenshtein(left, right))
+    """Edit distance, exact at any length; long texts that are alike take far less than the whole table."""
+    return unicode.edits(left, right)
 
 
 def edit_ratio(left: Column, right: Column) -> Column:

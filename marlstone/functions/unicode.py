@@ -35,14 +35,54 @@ def _words(text: str | None) -> list[str]:
     return re.findall(f"{CJK.pattern}|[^\\s㐀-䶿一-鿿豈-﫿]+", _metric(text))
 
 
+def _places(a: list | str, before: int) -> dict:
+    """For each element the places where it stands in `a`, as bits of bytes, after `before` clear bits."""
+    found: dict = {}
+    size = (before + len(a) + 7) // 8
+    for i, x in enumerate(a, before):
+        if x not in found:
+            found[x] = bytearray(size)
+        found[x][i >> 3] |= 1 << (i & 7)
+    return found
+
+
+def _within(a: list | str, b: list | str, most: int) -> int | None:
+    """The edit distance if it is at most `most`, which is at least the difference of the lengths and at most len(a).
+
+    Columns of the table by bits as in `distance`, but only the cells at most `most` off the diagonal.
+    """
+    width = 2 * most + 1
+    every, top, n_bytes = (1 << width) - 1, 1 << (width - 1), (width + 14) // 8
+    found, none = _places(a, most), b""
+    up, down, score = every >> most << most, 0, most
+    turn = len(a) - most  # from here on the last row is followed and not the lowest diagonal
+    for j, y in enumerate(b):
+        same = int.from_bytes(found.get(y, none)[j >> 3 : (j >> 3) + n_bytes], "little") >> (j & 7) & every
+        level = (((same & up) + up) ^ up) | same | down
+        more, less = down | (every & ~(level | up)), level & up & every
+        if j < turn:
+            score += not level & top
+        else:
+            top >>= 1
+            score += bool(more & top) - bool(less & top)
+        level = (level & every) >> 1
+        up, down = less | (every & ~(level | more)), level & more
+    return score if score <= most else None
+
+
 def distance(a: list | str, b: list | str) -> int:
-    """Edit distance of two sequences: a column of the table at a time, its steps up and down as bits of two numbers (Myers)."""
+    """Edit distance of two sequences: a column of the table at a time, its steps up and down as bits of two numbers (Myers).
+
+    Narrow bands around the diagonal are tried first, so alike sequences take time in proportion to their length and distance.
+    """
     if not a or not b:
         return len(a) + len(b)
-    places: dict = {}
-    for i, x in enumerate(a):
-        places.setdefault(x, bytearray((len(a) + 7) // 8))[i // 8] |= 1 << i % 8
-    found = {x: int.from_bytes(v, "little") for x, v in places.items()}
+    most = max(16, abs(len(a) - len(b)))
+    while most * 4 < len(a):
+        if (near := _within(a, b, most)) is not None:
+            return near
+        most *= 4
+    found = {x: int.from_bytes(v, "little") for x, v in _places(a, 0).items()}
     every, last, score = (1 << len(a)) - 1, 1 << (len(a) - 1), len(a)
     up, down = every, 0
     for y in b:
@@ -56,6 +96,12 @@ def distance(a: list | str, b: list | str) -> int:
     return score
 
 
+@pandas_udf(T.IntegerType())
+def edits(left: pd.Series, right: pd.Series) -> pd.Series:
+    """`distance` of two columns of texts; null with a null."""
+    return pd.Series([None if a is None or b is None else distance(a, b) for a, b in zip(left, right, strict=True)], dtype="Int32")
+
+
 @pandas_udf(T.StringType())
 def match_text(text: pd.Series) -> pd.Series:
     """NFKC, case folded, letters, digits and CJK only (X01); null is empty."""

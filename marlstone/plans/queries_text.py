@@ -92,7 +92,7 @@ def q11_char_budget(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""
-WITH g AS (SELECT item_id, list_distinct(list_transform(range(1, greatest(2, length(t))), lambda i: substr(t, i, 2))) AS grams FROM (SELECT item_id, substr(lower(regexp_replace(text, '[^A-Za-z ]', '', 'g')), 1, 60) AS t FROM benchmark))
+WITH g AS (SELECT item_id, list_distinct(list_transform(range(1, greatest(2, length(t))), lambda i: substr(t, i, 2))) AS grams FROM (SELECT item_id, lower(regexp_replace(text, '[^A-Za-z ]', '', 'g')) AS t FROM benchmark))
 SELECT a.item_id AS a, b.item_id AS b, len(list_intersect(a.grams, b.grams)) AS shared, round(len(list_intersect(a.grams, b.grams)) / len(list_distinct(list_concat(a.grams, b.grams))), 6) AS jaccard
 FROM g a JOIN g b ON b.item_id = a.item_id + 1""")
 def q12_ngram_jaccard(spark: SparkSession, d: str) -> DataFrame:
