@@ -67,6 +67,8 @@ class Turns(FromEnv):
     snap_tokens: int = 3
     snap_following: int = 2
     interjection_ms: int = 1_200
+    sentence_share: float = 0.60
+    sentence_ms: int = 8_000
 
 
 @dataclass(frozen=True)

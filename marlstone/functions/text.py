@@ -177,6 +177,18 @@ def regions(text: Column) -> Column:
     return F.transform(F.arrays_zip(*(g.alias(f"g{i}") for i, g in enumerate(group))), lambda r: F.struct(strip(r["g0"]).alias("text"), F.array(*(r[f"g{i}"].try_cast("int") for i in range(1, 5))).alias("bbox")))
 
 
+def placed_regions(text: Column) -> Column:
+    """All regions of a line in order, also what follows the last box: array of (text, bbox) with single spaces.
+
+    A line without boxes is one region without a box.
+    """
+    boxed = regions(text)
+    tidy = lambda x: F.trim(F.regexp_replace(x, r"(?U)\s+", " "))
+    tail = F.regexp_replace(text, "(?s)^.*" + POINT_PAIR, "")
+    last = F.when((tail != "") | (F.size(boxed) == 0), F.array(F.struct(tidy(tail).alias("text"), F.lit(None).cast("array<int>").alias("bbox")))).otherwise(F.array().cast("array<struct<text:string,bbox:array<int>>>"))
+    return F.concat(F.transform(boxed, lambda r: F.struct(tidy(r["text"]).alias("text"), r["bbox"].alias("bbox"))), last)
+
+
 def lenient_object(text: Column) -> Column:
     """The JSON object text inside a reply: without code fences, from the first { to the last } (S22); null if none."""
     t = strip(F.coalesce(text, F.lit("")))

@@ -8,6 +8,7 @@ import json
 import re
 import unicodedata
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
@@ -162,6 +163,23 @@ def tokenize(text: pd.Series) -> pd.Series:
     return text.map(tokens_of)
 
 
+def content_of(text: str | None) -> list[str]:
+    """Keys of the tokens that aren't punctuation."""
+    return [t["key"] for t in tokens_of(text) if t["kind"] != "punct"]
+
+
+@pandas_udf(T.ArrayType(T.StringType()))
+def content_keys(text: pd.Series) -> pd.Series:
+    """`content_of` a column; its size is the content count."""
+    return text.map(content_of)
+
+
+@pandas_udf(T.StringType())
+def surface_key(text: pd.Series) -> pd.Series:
+    """Letters, digits and CJK in lower case, without normal forms."""
+    return text.map(lambda x: "".join(c.lower() for c in x or "" if c.isalnum() or CJK.match(c)))
+
+
 @pandas_udf(T.ArrayType(T.StringType()))
 def deletions(original: pd.Series, replacement: pd.Series) -> pd.Series:
     """Parts of the original that the replacement lacks, by difflib without junk."""
@@ -225,22 +243,33 @@ def strict_json(text: pd.Series) -> pd.Series:
     return text.map(_strict)
 
 
-def _split(text: str, weights: list[float]) -> list[str]:
-    places = [i for i, c in enumerate(text) if c == "'" or unicodedata.category(c)[0] in "LN"]
-    total = sum(weights)
-    if len(weights) <= 1:
-        return [text.strip()]
-    if not places or total <= 0:
-        return [text.strip(), *[""] * (len(weights) - 1)]
-    cuts, used = [0], 0.0
-    for w in weights[:-1]:
-        used += w
-        cuts.append(places[min(len(places) - 1, max(1, round(used / total * len(places))))])
-    cuts.append(len(text))
-    return [text[a:b].strip() for a, b in zip(cuts, cuts[1:], strict=False)]
+def lettered(text: str) -> np.ndarray:
+    """For each character whether it counts as a letter, digit or apostrophe."""
+    return np.fromiter((c == "'" or unicodedata.category(c)[0] in "LN" for c in text), bool, len(text))
+
+
+def share_out(text: str, weights: list[float]) -> list[str]:
+    """The text as one piece a weight: the k-th letter is owned by the weight in whose share of all letters it falls.
+
+    What stands between letters goes with the letter before it; each piece but the first begins with a
+    letter, and the first has one at least.
+    """
+    seen = np.cumsum(lettered(text)) if text else np.zeros(0, int)
+    n, total = int(seen[-1]) if len(seen) else 0, sum(weights)
+    pieces = [""] * max(1, len(weights))
+    if len(pieces) == 1 or not n or total <= 0:
+        pieces[0] = text.strip()
+        return pieces
+    shares = np.cumsum(np.asarray(weights[:-1], float)) / total
+    firsts = np.minimum(np.maximum(np.rint(shares * n), 1), n - 1)
+    owner = np.searchsorted(firsts, seen, side="left")
+    edges = np.searchsorted(owner, np.arange(len(pieces) + 1))
+    for k in np.unique(owner).tolist():
+        pieces[k] = text[edges[k] : edges[k + 1]].strip()
+    return pieces
 
 
 @pandas_udf(T.ArrayType(T.StringType()))
 def split_by_weights(text: pd.Series, weights: pd.Series) -> pd.Series:
     """The text cut in proportion to weights at letters and digits."""
-    return pd.Series([_split(t or "", [float(x) for x in w]) for t, w in zip(text, weights, strict=True)])
+    return pd.Series([share_out(t or "", [float(x) for x in w]) for t, w in zip(text, weights, strict=True)])

@@ -8,15 +8,17 @@ from __future__ import annotations
 
 import difflib
 import json
+import re
 from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from marlstone.functions import guards
-from marlstone.functions.text import splice_all
+from marlstone.functions.text import placed_regions, splice_all
 from marlstone.functions.unicode import _match, deletions, match_text, tokens_of
 from marlstone.operators.incremental import content_id
 from marlstone.operators.intervals import conflict_groups
@@ -91,6 +93,81 @@ def inventory(requests: DataFrame) -> DataFrame:
     return grouped.withColumn("status", F.when(over, "over_capacity").when(F.col("conflict_size") > 1, "conflicting").otherwise("classifiable"))
 
 
+# --- cited lines, overlaps, local deletions, sanitised lines ---------------------------------------
+
+
+def cited_lines(edits: DataFrame, lines: DataFrame) -> DataFrame:
+    """(id, edit, texts): the lines that each edit cites, in the order cited.
+
+    edits: id, edit, cited array<string>; lines: id, line_id, text. texts is null where a cited line is missing or none is cited.
+    """
+    each = edits.select("id", "edit", F.posexplode_outer("cited").alias("place", "line_id"))
+    found = each.join(lines.select("id", "line_id", "text"), ["id", "line_id"], "left")
+    listed = found.groupBy("id", "edit").agg(F.array_sort(F.collect_list(F.struct("place", "text"))).alias("l"), F.count("text").alias("known"), F.count(F.lit(1)).alias("n"))
+    return listed.select("id", "edit", F.when(F.col("known") == F.col("n"), F.transform("l", lambda x: x["text"])).alias("texts"))
+
+
+def overlapping(spans: Column, points: bool = False) -> Column:
+    """For each of an array of (start, end) whether another one overlaps it (J14); with `points` equal empty spans do too."""
+    meet = lambda a, b: (a["start"] < b["end"]) & (b["start"] < a["end"])
+    same = lambda a, b: (a["start"] == a["end"]) & (b["start"] == b["end"]) & (a["start"] == b["start"])
+    hit = (lambda a, b: meet(a, b) | same(a, b)) if points else meet
+    placed = F.transform(spans, lambda s, i: F.struct(i.alias("i"), s["start"].alias("start"), s["end"].alias("end")))
+    return F.transform(placed, lambda a: F.exists(placed, lambda b: (a["i"] != b["i"]) & hit(a, b)))
+
+
+def local_deletion(heard: str, original: str, replacement: str, lines: list[str], width: int) -> str:
+    """Whether cited lines word a span and `width` letters on both sides as the replacement does, and nowhere as heard.
+
+    Where the heard text ends within the width, the line must end there too.
+    """
+    if not original or heard.count(original) != 1:
+        return "span_not_unique"
+    before, after = (_match(x) for x in heard.split(original))
+    left, right = before[-width:], after[:width]
+    old, new = (left + _match(x) + right for x in (original, replacement))
+    if not new or new == old or not left + right:
+        return "insufficient_local_anchors"
+    if not lines:
+        return "missing_own_cited_line"
+    known = {_match(x) for x in lines}
+    if any(old in x for x in known):
+        return "original_window_supported"
+    window = re.compile(("\\A" if len(before) <= width else "") + f"(?={re.escape(new)}" + ("\\Z" if len(after) <= width else "") + ")")
+    hits = sum(1 for x in known for _ in window.finditer(x))
+    return ("local_alignment_not_found", "unique_local_replacement", "ambiguous_local_alignment")[min(hits, 2)]
+
+
+@F.pandas_udf(T.StringType())
+def local_deletions(heard: pd.Series, original: pd.Series, replacement: pd.Series, lines: pd.Series) -> pd.Series:
+    """`local_deletion` at widths of 3 to 8: the first that settles it, else the last."""
+    final = ("unique_local_replacement", "original_window_supported", "span_not_unique", "missing_own_cited_line")
+    out = []
+    for h, o, r, cited in zip(heard, original, replacement, lines, strict=True):
+        reason = ""
+        for width in range(3, 9):
+            reason = local_deletion(h or "", o or "", r or "", [x or "" for x in (cited if cited is not None else [])], width)
+            if reason in final:
+                break
+        out.append(reason)
+    return pd.Series(out)
+
+
+def sanitize(lines: DataFrame) -> DataFrame:
+    """Regions of recognised lines with a status: what is no content, of the wrong script or seen before goes.
+
+    lines: id, source_language, place, line_id, text. Out: id, line_id (with the region's number), text, bbox, status.
+    """
+    made = lines.select("id", "source_language", "place", "line_id", F.posexplode(placed_regions(F.col("text"))).alias("k", "r"))
+    script = F.when(F.col("source_language") == "en", F.col("r.text").rlike("[A-Za-z]")).when(F.col("source_language") == "zh", F.col("r.text").rlike(r"[㐀-䶿一-鿿]"))
+    known = F.when(script.isNull(), F.raise_error(F.concat(F.lit("unsupported source language "), "source_language")).cast("boolean")).otherwise(script)
+    bad = F.when(~F.col("r.text").rlike(r"[A-Za-z0-9㐀-䶿一-鿿]"), "dropped_non_content").when(~known, "dropped_wrong_script")
+    rows = made.withColumn("bad", bad)
+    first = F.row_number().over(Window.partitionBy("id", "r.text", F.col("bad").isNull()).orderBy("place", "k"))
+    status = F.coalesce("bad", F.when(first == 1, "kept").otherwise("dropped_exact_duplicate"))
+    return rows.withColumn("status", status).select("id", F.format_string("%sS%02d", "line_id", F.col("k") + 1).alias("line_id"), F.col("r.text").alias("text"), F.col("r.bbox").alias("bbox"), "status")
+
+
 def model_items(requests: DataFrame, candidates: DataFrame) -> DataFrame:
     """What a model may see of each request: its text and classifiable candidates, and nothing else."""
     shown = candidates.where("status = 'classifiable'").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("start", "end", "candidate_id", "original", "replacement"))).alias("candidates"))

@@ -5,17 +5,35 @@ Paid or external calls are made by driver loops over bounded batches, never insi
 
 from __future__ import annotations
 
+import hashlib
+import inspect
+import json
+import re
 import time
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
 def fingerprint(*columns: Column | str, version: str = "1") -> Column:
-    """SHA-256 of the columns as JSON, nulls included (H01, H03, H05). Order and names of columns count."""
-    return F.sha2(F.to_json(F.struct(F.lit(version).alias("version"), *columns), {"ignoreNullFields": "false"}), 256)
+    """SHA-256 of the named columns as JSON, nulls included, in the order of their names.
+
+    NaN and infinite numbers raise when they are met. A name may occur once.
+    """
+    named = {c if isinstance(c, str) else _name_of(c): F.col(c) if isinstance(c, str) else c for c in columns}
+    if len(named) != len(columns):
+        raise ValueError("a fingerprint's columns need names of their own")
+    text = F.to_json(F.struct(F.lit(version).alias("version"), *(named[n].alias(n) for n in sorted(named))), {"ignoreNullFields": "false"})
+    odd = text.rlike(r'[:\[,]"?(?:NaN|-?Infinity)"?[,\]}]')
+    return F.sha2(F.when(odd, F.raise_error(F.lit("NaN or infinite number in a fingerprint")).cast("string")).otherwise(text), 256)
+
+
+def _name_of(column: Column) -> str:
+    """The name a column has in a struct."""
+    text = column._jc.toString() if hasattr(column, "_jc") else str(column)
+    return text.rsplit(" AS ", 1)[-1].strip("`")
 
 
 def segment_fingerprint(source: str, target: str, model: str) -> Column:
@@ -102,9 +120,44 @@ class StageGraph:
         return out
 
 
-def retryable(error: str) -> bool:
-    """Whether an error text names a transient HTTP status or a lost connection."""
-    return any(x in error for x in ("408", "409", "425", "429", "500", "502", "503", "504")) or "timed out" in error.lower() or "connection" in error.lower()
+def drop_stale(spark: SparkSession, root: str, graph: StageGraph, changed: str) -> list[str]:
+    """Delete the tables of all stages downstream of a changed one; the names of those that were there."""
+    gone = []
+    for name in graph.stale(changed):
+        path = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/{name}")
+        if path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True):
+            gone.append(name)
+    return gone
+
+
+def implementation_digest(*modules: object) -> str:
+    """SHA-256 over the sources of modules, in the order of their names: what results are bound to."""
+    named = sorted((m.__name__, inspect.getsource(m)) for m in modules)
+    return hashlib.sha256(json.dumps(named).encode()).hexdigest()
+
+
+#: HTTP statuses after which the same call may succeed.
+TRANSIENT = (408, 409, 425, 429, 500, 502, 503, 504)
+
+
+def retryable(error: Exception | str) -> bool:
+    """Whether an error names a transient HTTP status, or is or tells of a lost connection.
+
+    Digits only count where they are said to be a status.
+    """
+    if isinstance(error, (ConnectionError, TimeoutError)):
+        return True
+    said = re.findall(r"(?i)\b(?:http(?:/[\d.]+)?|status(?: code)?|code)[ :=]*(\d{3})\b", str(error))
+    return any(int(n) in TRANSIENT for n in said) or re.search(r"(?i)\btimed out\b|\bconnection (?:reset|refused|aborted|closed|error)\b", str(error)) is not None
+
+
+def error_chain(error: BaseException | None) -> str:
+    """An error and what it came from, nearest first."""
+    seen: dict[int, str] = {}
+    while error is not None and id(error) not in seen:
+        seen[id(error)] = f"{type(error).__name__}: {error}"
+        error = error.__cause__ or error.__context__
+    return " <- ".join(seen.values())
 
 
 def with_retries(call: Callable[[], object], tries: int = 3, wait: float = 1.0, sleep: Callable[[float], None] = time.sleep) -> object:
@@ -113,7 +166,7 @@ def with_retries(call: Callable[[], object], tries: int = 3, wait: float = 1.0,
         try:
             return call()
         except Exception as e:
-            if k + 1 == tries or not retryable(str(e)):
+            if k + 1 == tries or not retryable(e):
                 raise
             sleep(wait * 2**k)
     raise ValueError("no tries")

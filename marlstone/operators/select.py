@@ -65,10 +65,15 @@ def closest_duration(candidates: DataFrame) -> DataFrame:
     return best.select("media", "pos", F.col("m.idx").alias("idx"), "m.text", "m.actual", F.col("m.err").alias("duration_error"), "m.status")
 
 
+def fallback_gate(share: float = 0.5) -> Column:
+    """An aggregate over `status`: whether two or more rows, and more than the share, fell back."""
+    bad, n = F.count_if(F.col("status") == "fallback"), F.count(F.lit(1))
+    return (bad >= 2) & (bad / F.greatest(n, F.lit(1)) > share)
+
+
 def too_many_fallbacks(selections: DataFrame, share: float = 0.5) -> bool:
-    """Whether two or more segments, and more than the share, fell back."""
-    row = selections.agg(F.count_if(F.col("status") == "fallback").alias("bad"), F.count(F.lit(1)).alias("n")).first()
-    return row["bad"] >= 2 and row["bad"] / max(1, row["n"]) > share
+    """The gate over all selections."""
+    return bool(selections.agg(fallback_gate(share)).first()[0])
 
 
 def pick_strategy(options: DataFrame) -> DataFrame:

@@ -159,7 +159,14 @@ def q36_adjacent_merge(spark: SparkSession, d: str) -> DataFrame:
     return sequence.merge_adjacent(seg(spark, d)).drop("text")
 
 
-@query()
+@query(f"""WITH RECURSIVE {SEG}, n AS (SELECT media, speaker, start_ms, end_ms, row_number() OVER (PARTITION BY media ORDER BY start_ms, pos) AS k FROM seg),
+f AS (SELECT preset, most, gap, media, k, [{{'speaker': speaker, 'start_ms': start_ms, 'end_ms': end_ms}}] AS st FROM n, (VALUES ('narrow', 500, 150), ('wide', 1500, 600)) AS p(preset, most, gap) WHERE k = 1
+  UNION ALL SELECT preset, most, gap, f.media, n.k,
+    CASE WHEN len(st) >= 2 AND st[-2].speaker = n.speaker AND st[-1].speaker <> n.speaker AND st[-1].end_ms - st[-1].start_ms <= most AND st[-1].start_ms - st[-2].end_ms <= gap AND n.start_ms - st[-1].end_ms <= gap
+      THEN list_append(st[1:len(st) - 2], {{'speaker': n.speaker, 'start_ms': st[-2].start_ms, 'end_ms': n.end_ms}}) ELSE list_append(st, {{'speaker': n.speaker, 'start_ms': n.start_ms, 'end_ms': n.end_ms}}) END
+  FROM f JOIN n ON n.media = f.media AND n.k = f.k + 1)
+SELECT preset, media, CAST(i AS INTEGER) AS id, x.speaker AS speaker, x.start_ms AS start_ms, x.end_ms AS end_ms
+FROM (SELECT preset, media, unnest(range(len(st))) AS i, unnest(st) AS x FROM (SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY preset, media ORDER BY k DESC) = 1))""")
 def q37_island_smoothing(spark: SparkSession, d: str) -> DataFrame:
     """Short A-B-A islands collapsed, with the preset and with a wider one."""
     rows = seg(spark, d)
@@ -185,7 +192,12 @@ def q39_prefix_reference(spark: SparkSession, d: str) -> DataFrame:
     return sequence.reference_prefix(span(spark, d)).select("media", "speaker", "pos", "before_ms")
 
 
-@query()
+@query(f"""WITH RECURSIVE {SPAN}, r AS (SELECT media, pos, start_ms, end_ms, list_filter(list_transform(range(1, (end_ms - start_ms) // 7000 + 1), lambda i: {{'a': start_ms + i * 7000 + pos % 900, 'b': start_ms + i * 7000 + pos % 900 + 300}}), lambda p: (p.a - start_ms) % 3 <> 0) AS pauses FROM span WHERE end_ms - start_ms > 20000),
+f AS (SELECT media, pos, end_ms, pauses, start_ms AS c, -1 AS part, false AS done, start_ms AS s, start_ms AS e, '' AS reason FROM r
+  UNION ALL SELECT media, pos, end_ms, pauses, cut, part + 1, stop, c, CASE WHEN stop THEN end_ms ELSE cut END, CASE WHEN stop THEN 'range_end' WHEN near IS NULL THEN 'unsafe_continuous_speech' ELSE 'natural_pause' END
+  FROM (SELECT *, end_ms - c <= 25000 OR near IS NULL AND end_ms - c <= 45000 AS stop, coalesce(near, c + 45000) AS cut
+    FROM (SELECT *, (list_sort(list_transform(list_filter(pauses, lambda p: p.a >= c + 20000 AND p.b <= least(end_ms, c + 30000)), lambda p: {{'d': abs((p.a + p.b) // 2 - c - 25000), 'a': p.a, 'cut': (p.a + p.b) // 2}}))[1]).cut AS near FROM f WHERE NOT done)))
+SELECT media, pos, part, s AS part_start, e AS part_end, reason FROM f WHERE part >= 0""")
 def q40_pause_split(spark: SparkSession, d: str) -> DataFrame:
     """Long ranges cut at pauses near a soft target."""
     rows = span(spark, d).where("end_ms - start_ms > 20000")
@@ -246,7 +258,7 @@ def q61_batches(spark: SparkSession, d: str) -> DataFrame:
     return select.batches(seg(spark, d), 3).select("media", "pos", "batch")
 
 
-@query()
+@query(rf"""WITH {SEG} SELECT CASE WHEN pos % 3 = 0 AND upper(replace(text, 'ß', 'ss')) <> text THEN 'invalidated_text_changed' WHEN pos % 5 = 4 AND len(string_split_regex(trim(text), '\s+')) >= 2 THEN 'invalidated_invalid_bounds' ELSE 'unchanged_valid_bounds' END AS stamp_status, count(*) AS n FROM seg GROUP BY 1""")
 def q62_stamps(spark: SparkSession, d: str) -> DataFrame:
     """Word times dropped where the text changed or a time is out of order."""
     rows = seg(spark, d)

@@ -10,10 +10,11 @@ from marlstone.functions import guards, policy, text, unicode
 from marlstone.operators import alignment, evaluate, select, sequence
 from marlstone.plans.registry import query
 
-WORDS = r"[A-Za-z]+(?:[\x27\x{2019}-][A-Za-z]+)*|\d+(?:\.\d+)?"
+#: The word pattern as SQL text, in which an apostrophe is written twice.
+WORDS = policy.WORD.replace("'", "''")
 COUNTS = f"""
   len(regexp_extract_all(t, '{WORDS}')) AS words,
-  CASE WHEN t = '' THEN 0 ELSE len(regexp_extract_all(t, '[,;:\\x{{FF0C}}\\x{{FF1B}}\\x{{FF1A}}\\x{{3001}}]')) + 1 END AS clauses"""
+  CASE WHEN t = '' THEN 0 ELSE len(regexp_extract_all(t, '{policy.CLAUSE}')) + 1 END AS clauses"""
 SHORT = "regexp_extract(text, '^[^.]*', 0)"
 STRIP = r"regexp_replace(regexp_replace(X, '^[\s\x{85}\x{A0}\x{2028}\x{2029}]+', ''), '[\s\x{85}\x{A0}\x{2028}\x{2029}]+$', '')"
 

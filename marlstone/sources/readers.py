@@ -16,7 +16,7 @@ def json_document(spark: SparkSession, path: str, schema: T.StructType | str) ->
 
 
 def results(spark: SparkSession, path: str, row: str, key: str = "segment_id") -> DataFrame:
-    """Result rows from a list of rows or a map by id (S03, S04); ids become strings. row: DDL of a row without its key."""
+    """Result rows from a list of rows or a map by id (S03, S04); ids become strings. row: a struct's fields without the key, as `n:long, text:string`."""
     text = spark.read.text(path, wholetext=True)
     as_list = F.from_json("value", f"array<struct<{key}:string,{row}>>")
     as_map = F.from_json("value", f"map<string,struct<{row}>>")

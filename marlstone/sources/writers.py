@@ -20,8 +20,8 @@ def append_json(df: DataFrame, path: str) -> None:
 
 
 def save_csv(df: DataFrame, path: str, fields: list[str]) -> None:
-    """Named columns in order with a header (K07, K12); others are left out, missing ones are empty."""
-    df.select(*(F.col(c) if c in df.columns else F.lit(None).cast("string").alias(c) for c in fields)).write.mode("overwrite").csv(path, header=True)
+    """Named columns in order with a header (K07, K12); others are left out, missing ones are empty, quotes are doubled."""
+    df.select(*(F.col(c) if c in df.columns else F.lit(None).cast("string").alias(c) for c in fields)).write.mode("overwrite").csv(path, header=True, escape='"')
 
 
 def segment_problems(rows: DataFrame) -> DataFrame:

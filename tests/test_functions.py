@@ -217,7 +217,10 @@ def test_snap_and_split(spark):
     texts = ["So", "we", "go.", "Now", "you", "do"]
     starts = [0, 200, 400, 600, 800, 1000]
     assert turns.snap(texts, starts, [s + 150 for s in starts], list("AABBBB")) == list("AAABBB")
-    assert unicode._split("So we go. Now", [6, 3]) == ["So we go.", "Now"] or len(unicode._split("So we go. Now", [6, 3])) == 2
+    assert unicode.share_out("So we go. Now", [6, 3]) == ["So we go.", "Now"]
+    assert unicode.share_out("ab cd ef", [1, 1, 1]) == ["ab", "cd", "ef"] and unicode.share_out(" x ", [1]) == ["x"]
+    assert unicode.share_out("", [1, 2]) == ["", ""] and unicode.share_out("?!", [1, 2]) == ["?!", ""] and unicode.share_out("abc", [0, 0]) == ["abc", ""]
+    assert unicode.share_out("abcdef", [9, 0, 1]) == ["abcde", "", "f"] and unicode.share_out("(a)", [1, 1]) == ["(", "a)"]
 
 
 def test_alignment(spark):
