@@ -54,7 +54,7 @@ class Forest:
     #: Rounds in which each row's most alike open pair is confirmed, before all that are still open are.
     best_rounds: int = 3
     #: Rows of a block of queries, and of a block of the rows that they are compared with.
-    block: int = 512
+    block: int = 256
     #: Pairs stay candidates down to so many standard deviations of the estimate below the threshold.
     slack: float = 5.0
 
@@ -275,8 +275,8 @@ def blocks(shared: DataFrame, comps: DataFrame, f: Forest, paths: list[str]) ->
     return targets.unionByName(asked).select(F.concat("region", *(F.unhex(F.lpad(F.hex(c), 8, "0")) for c in ("t", "q"))).alias("g"), "id", "comp", "brief", "query")
 
 
-def _by_group(df: DataFrame, run, schema: str) -> DataFrame:
-    """Apply `run(group table) -> record batch or None` to the rows of each group, which come together."""
+def _by_group(dealt: DataFrame, run, schema: str) -> DataFrame:
+    """Apply `run(group table) -> record batch or None` to the rows of each group g, which are dealt to one partition."""
 
     def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest: pa.Table | None = None
@@ -293,7 +293,7 @@ def _by_group(df: DataFrame, run, schema: str) -> DataFrame:
         if rest is not None and rest.num_rows and (made := run(rest)) is not None:
             yield made
 
-    return df.repartition("g").sortWithinPartitions("g").mapInArrow(tidy(groups), schema)
+    return dealt.sortWithinPartitions("g").mapInArrow(tidy(groups), schema)
 
 
 def promising(rows: DataFrame, f: Forest) -> DataFrame:
@@ -316,7 +316,8 @@ def promising(rows: DataFrame, f: Forest) -> DataFrame:
             return None
         return pa.RecordBatch.from_arrays([pa.array(t.column("g").to_numpy(zero_copy_only=False)[good], pa.binary()), pa.array(ids[good]), pa.array(comp[good]), pa.array(query[good])], names=["g", "id", "comp", "query"])
 
-    return _by_group(rows, run, "g binary, id long, comp long, query boolean")
+    # By ranges of groups, which are drawn so that partitions have like numbers of rows.
+    return _by_group(rows.repartitionByRange("g"), run, "g binary, id long, comp long, query boolean")
 
 
 def confirm_blocks(rows: DataFrame, texts: DataFrame, f: Forest) -> DataFrame:
@@ -351,7 +352,7 @@ def confirm_blocks(rows: DataFrame, texts: DataFrame, f: Forest) -> DataFrame:
             a += [int(ids[k])] * len(first)
         return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b), pa.int64()), pa.array(np.maximum(a, b), pa.int64())], names=["a", "b"]) if a else None
 
-    return _by_group(rows.join(texts.hint("merge"), "id"), run, "a long, b long")
+    return _by_group(rows.join(texts.hint("merge"), "id").repartition("g"), run, "a long, b long")
 
 
 # --- links and components -------------------------------------------------------------------------
