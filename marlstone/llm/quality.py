@@ -30,11 +30,11 @@ VECTOR = 8
 FILTERS = 16
 HIDDEN = 16
 #: Passes over the training texts; of few texts there are more, for so many steps in all.
-EPOCHS = 4
+EPOCHS = 6
 LEAST_STEPS = 150
 THRESHOLD = 0.7
-#: Chunks whose gradients are computed at once; bounds memory whatever the texts.
-BLOCK_CHUNKS = 256
+#: Half chunks that go through the filters at once in training; bounds memory whatever the texts.
+BLOCK_HALVES = 512
 
 
 def padded(text: str | None) -> np.ndarray:
@@ -64,36 +64,42 @@ class Network:
         }
         self.w["vector"][0] = 0
 
-    def _chunks(self, chunks: np.ndarray) -> tuple:
-        """Forward over (n, CHUNK + WIDTH - 1) byte codes to (n, HIDDEN), with what backward needs."""
+    def _halves(self, codes: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Of (n, HALF + WIDTH - 1) byte codes: what the filters see and say, and per filter where its largest output is, that output and the sum."""
         w = self.w
-        v = w["vector"][chunks]
-        x = np.concatenate([v[:, i : i + CHUNK] for i in range(WIDTH)], axis=2)
+        v = w["vector"][codes]
+        x = np.concatenate([v[:, i : i + HALF] for i in range(WIDTH)], axis=2)
         z = x @ w["filter"] + w["bias"]
         a = np.maximum(z, 0)
         top = a.argmax(axis=1)
-        most = np.take_along_axis(a, top[:, None, :], 1)[:, 0]
-        pooled = np.concatenate([most, a.mean(axis=1) * 4], axis=1)
-        h = np.tanh(pooled @ w["hidden"] + w["hidden_bias"])
-        return x, z, top, pooled, h
+        return x, z, top, np.take_along_axis(a, top[:, None, :], 1)[:, 0], a.sum(axis=1)
+
+    def hidden(self, most: np.ndarray, total: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Pooled filter outputs of chunks, of (n, 2, FILTERS) outputs of their halves, and the hidden layer."""
+        pooled = np.concatenate([most.max(axis=1), total.sum(axis=1) * (4 / CHUNK)], axis=1)
+        return pooled, np.tanh(pooled @ self.w["hidden"] + self.w["hidden_bias"])
 
     def step(self, texts: list[np.ndarray], y: np.ndarray, weight: np.ndarray) -> tuple[dict, float]:
-        """Gradients and loss of a batch of padded texts, over all their chunks, block by block."""
+        """Gradients and loss of a batch of padded texts, over all their chunks; half chunks go through the filters block by block."""
         w = self.w
-        starts = [np.arange(0, len(t) - WIDTH + 1 - HALF, HALF) for t in texts]
-        owner = np.repeat(np.arange(len(texts)), [len(s) for s in starts])
-        at = np.concatenate(starts)
-        blocks = [slice(i, i + BLOCK_CHUNKS) for i in range(0, len(owner), BLOCK_CHUNKS)]
-        span = np.arange(CHUNK + WIDTH - 1)
+        sizes = np.array([(len(t) - WIDTH + 1) // HALF for t in texts])
+        of = np.repeat(np.arange(len(texts)), sizes)
+        at = np.concatenate([np.arange(0, n * HALF, HALF) for n in sizes])
+        blocks = [slice(i, i + BLOCK_HALVES) for i in range(0, len(of), BLOCK_HALVES)]
+        span = np.arange(HALF + WIDTH - 1)
 
-        def forward(block: slice) -> tuple:
-            chunks = np.stack([texts[k][s + span] for k, s in zip(owner[block], at[block], strict=True)])
-            return chunks, *self._chunks(chunks)
+        def forward(block: slice) -> tuple[np.ndarray, ...]:
+            codes = np.stack([texts[k][s + span] for k, s in zip(of[block], at[block], strict=True)])
+            return codes, *self._halves(codes)
 
-        # What backward needs is kept for one block only; where there are more, they are computed again.
+        # What the filters see is kept for one block only; where there are more, it is computed again.
         kept = forward(blocks[0]) if len(blocks) == 1 else None
-        h = kept[-1] if kept else np.concatenate([forward(b)[-1] for b in blocks])
-        n, count = len(texts), np.bincount(owner, minlength=len(texts))[:, None].astype(np.float32)
+        most, total = (np.concatenate(x) for x in zip(*((kept or forward(b))[-2:] for b in blocks), strict=True))
+        first = np.flatnonzero(of[:-1] == of[1:])  # a chunk is a half and the next of the same text
+        pair = first[:, None] + np.arange(2)
+        pooled, h = self.hidden(most[pair], total[pair])
+        owner, n = of[first], len(texts)
+        count = np.bincount(owner, minlength=n)[:, None].astype(np.float32)
         best = np.full((n, HIDDEN), -2, np.float32)
         np.maximum.at(best, owner, h)
         mean = np.zeros((n, HIDDEN), np.float32)
@@ -109,30 +115,33 @@ class Network:
         np.add.at(ties, owner, is_top)
         d_h = (d_doc[:, HIDDEN:] / count)[owner] + np.where(is_top, (d_doc[:, :HIDDEN] / ties)[owner], 0)
         d_s = d_h * (1 - h * h)
-        g = {k: np.zeros_like(v) for k, v in w.items()} | {"out": doc.T @ d, "out_bias": d.sum(keepdims=True)}
+        g = {k: np.zeros_like(v) for k, v in w.items()} | {"out": doc.T @ d, "out_bias": d.sum(keepdims=True), "hidden": pooled.T @ d_s, "hidden_bias": d_s.sum(axis=0)}
+        d_pool = d_s @ w["hidden"].T
+        later = most[first + 1] > most[first]  # of equal outputs the earlier half's counts
+        d_most, d_total = np.zeros_like(most), np.zeros_like(total)
+        for side, own in ((0, ~later), (1, later)):
+            d_most[first + side] += np.where(own, d_pool[:, :FILTERS], 0)
+            d_total[first + side] += d_pool[:, FILTERS:] * (4 / CHUNK)
         for block in blocks:
-            self._backward(*(kept or forward(block)), d_s[block], g)
+            codes, x, z, top, *_ = kept or forward(block)
+            self._backward(codes, x, z, top, d_most[block], d_total[block], g)
         g["vector"][0] = 0
         return g, loss
 
-    def _backward(self, chunks: np.ndarray, x: np.ndarray, z: np.ndarray, top: np.ndarray, pooled: np.ndarray, h: np.ndarray, d_s: np.ndarray, g: dict) -> None:
-        """Add the gradients below the hidden layer of a block of chunks, given those of its sums."""
-        w = self.w
-        g["hidden"] += pooled.T @ d_s
-        g["hidden_bias"] += d_s.sum(axis=0)
-        d_pool = d_s @ w["hidden"].T
-        d_a = np.repeat(d_pool[:, None, FILTERS:] * (4 / CHUNK), CHUNK, axis=1)
-        at = np.arange(len(chunks))[:, None], top, np.arange(FILTERS)[None, :]
-        d_a[at] += d_pool[:, :FILTERS]
+    def _backward(self, codes: np.ndarray, x: np.ndarray, z: np.ndarray, top: np.ndarray, d_most: np.ndarray, d_total: np.ndarray, g: dict) -> None:
+        """Add the gradients of vectors and filters of a block of half chunks, given those of their largest and summed outputs."""
+        d_a = np.repeat(d_total[:, None, :], HALF, axis=1)
+        at = np.arange(len(codes))[:, None], top, np.arange(FILTERS)[None, :]
+        d_a[at] += d_most
         d_z = np.where(z > 0, d_a, 0).reshape(-1, FILTERS)
         g["filter"] += x.reshape(-1, WIDTH * VECTOR).T @ d_z
         g["bias"] += d_z.sum(axis=0)
-        d_x = (d_z @ w["filter"].T).reshape(len(chunks), CHUNK, WIDTH, VECTOR)
-        d_v = np.zeros((len(chunks), CHUNK + WIDTH - 1, VECTOR), np.float32)
+        d_x = (d_z @ self.w["filter"].T).reshape(len(codes), HALF, WIDTH, VECTOR)
+        d_v = np.zeros((len(codes), HALF + WIDTH - 1, VECTOR), np.float32)
         for i in range(WIDTH):
-            d_v[:, i : i + CHUNK] += d_x[:, :, i]
-        codes, flat = chunks.ravel(), d_v.reshape(-1, VECTOR)
-        g["vector"] += np.stack([np.bincount(codes, flat[:, j], 257) for j in range(VECTOR)], axis=1).astype(np.float32)
+            d_v[:, i : i + HALF] += d_x[:, :, i]
+        flat_codes, flat = codes.ravel(), d_v.reshape(-1, VECTOR)
+        g["vector"] += np.stack([np.bincount(flat_codes, flat[:, j], 257) for j in range(VECTOR)], axis=1).astype(np.float32)
 
     def train(self, rows: list[tuple[str, int]], epochs: int | None = None, batch: int = 24, rate: float = 0.01, seed: int = 11, good_weight: float = 1.5) -> list[float]:
         """Adam on (text, label) rows; both labels weigh alike but for `good_weight`, which spares clean texts."""

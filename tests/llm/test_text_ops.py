@@ -73,6 +73,14 @@ def test_items_without_an_id_hit_too(spark):
     assert [r["doc_id"] for r in decontaminate.remove_contaminated(d, bench).collect()] == [3]
 
 
+def test_repeated_documents_and_items(spark):
+    bench = spark.createDataFrame([(7, "one two three"), (7, "one two three"), (7, "four five"), (8, "one two three")], "item_id long, text string")
+    d = docs(spark, [(1, "one two three"), (1, "one two three"), (1, "four five"), (None, "one two three"), (None, None)])
+    got = sorted(((r["doc_id"], r["n_words"], r["n_hit"], r["n_items"]) for r in decontaminate.op7_decontaminate(d, bench).collect()), key=str)
+    assert got == sorted([(1, 3, 3, 2), (1, 3, 3, 2), (1, 2, 2, 1), (None, 3, 3, 2), (None, 0, 0, 0)], key=str)
+    assert [r["doc_id"] for r in decontaminate.remove_contaminated(d, bench).collect()] == [None]
+
+
 def test_no_benchmark_and_no_documents(spark):
     none = spark.createDataFrame([], "item_id long, text string")
     assert [r["contaminated"] for r in decontaminate.op7_decontaminate(docs(spark, [(1, "a b")]), none).collect()] == [False]
@@ -305,7 +313,7 @@ def test_gradients_block_by_block(monkeypatch):
     net = quality.Network(seed=3)
     texts, y, w = [quality.padded("ab c" * n) for n in (3, 400, 90)], np.array([1, 0, 1], np.float32), np.ones(3, np.float32)
     whole, loss = net.step(texts, y, w)
-    monkeypatch.setattr(quality, "BLOCK_CHUNKS", 5)
+    monkeypatch.setattr(quality, "BLOCK_HALVES", 5)
     parts, again = net.step(texts, y, w)
     assert again == pytest.approx(loss, rel=1e-5)
     assert all(np.allclose(whole[k], parts[k], rtol=1e-3, atol=1e-5) for k in whole)
@@ -325,8 +333,10 @@ def test_compiled_scores_are_the_networks():
     net = quality.Network(seed=4)
     for text in ("", "short", "long text é " * 200):
         codes = quality.padded(text)
-        starts = range(0, len(codes) - quality.WIDTH + 1 - quality.HALF, quality.HALF)
-        h = net._chunks(np.stack([codes[s : s + quality.CHUNK + quality.WIDTH - 1] for s in starts]))[-1]
+        cut = np.stack([codes[k : k + quality.HALF + quality.WIDTH - 1] for k in range(0, len(codes) - quality.WIDTH + 1, quality.HALF)])
+        *_, most, total = net._halves(cut)
+        pair = np.arange(len(cut) - 1)[:, None] + np.arange(2)
+        h = net.hidden(most[pair], total[pair])[1]
         z = float(np.concatenate([h.max(axis=0), h.mean(axis=0)]) @ net.w["out"] + net.w["out_bias"][0])
         assert net.compiled().score(text) == pytest.approx(1 / (1 + np.exp(-z)), abs=1e-5)
 
@@ -360,6 +370,16 @@ def test_license_scan(spark):
     assert license_scan.scan(df.limit(0)).count() == 0
 
 
+def test_several_licence_files_and_equal_scores(spark):
+    mit, apache = license_scan.TEMPLATES[0][1], license_scan.TEMPLATES[2][1]
+    files = [(1, "a/LICENSE", mit), (2, "a/COPYING", mit), (3, "a/LICENSE.apache", apache), (4, "a/x.c", "code"), (5, "b/LICENSE", f"{mit} and more words here"), (6, "b/COPYING", apache), (7, "b/y.c", "code"), (8, "c.c", f"{apache}\n{mit}"), (9, "c.d", f"{mit}\n{apache}"), (None, "a/z.c", None)]
+    df = spark.createDataFrame(files, "doc_id long, path string, text string")
+    got = {r["doc_id"]: (r["license"], r["license_dir"]) for r in license_scan.scan(df).collect()}
+    # Of equal scores the file whose path sorts first, else the most similar; of equal lines the first.
+    assert got[4] == got[None] == ("MIT", "a") and got[7] == ("Apache-2.0", "b")
+    assert got[8] == ("Apache-2.0", None) and got[9] == ("MIT", None)
+
+
 def test_weights_of_words_of_no_template(spark):
     import math
     from collections import Counter
