@@ -25,7 +25,7 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def _load() -> None:
-    from marlstone.plans import queries_files, queries_order, queries_policy, queries_rows, queries_stages, queries_text  # noqa: F401
+    from marlstone.plans import queries_files, queries_order, queries_policy, queries_rows, queries_seams, queries_stages, queries_text  # noqa: F401
 
 
 def queries() -> dict[str, Query]:
