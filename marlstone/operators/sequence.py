@@ -99,20 +99,25 @@ def merge_adjacent(segments: DataFrame, cfg: Turns = Turns()) -> DataFrame:
     """Merge neighbours of one speaker at most merge_gap_ms apart while what is merged so far or the next is short.
 
     The end is that of the later row; texts are joined by a space. Rows: media, id, first_pos, speaker, text, start_ms, end_ms, parts.
+    The fold over a media keeps the open row and a character a row that says where a new one begins.
     """
-    kind = "array<struct<pos:bigint,speaker:string,text:string,start_ms:bigint,end_ms:bigint,parts:int>>"
+    kind = "struct<speaker:string,start_ms:bigint,end_ms:bigint,begins:string>"
 
     def step(acc: Column, x: Column) -> Column:
-        last = F.try_element_at(acc, F.lit(-1))
-        short = (last["end_ms"] - last["start_ms"] < cfg.short_ms) | (x["end_ms"] - x["start_ms"] < cfg.short_ms)
-        join = F.coalesce((last["speaker"] == x["speaker"]) & (x["start_ms"] - last["end_ms"] <= cfg.merge_gap_ms) & short, F.lit(False))
-        text = F.trim(F.concat_ws(" ", last["text"], x["text"]))
-        grown = F.struct(last["pos"].alias("pos"), last["speaker"].alias("speaker"), text.alias("text"), last["start_ms"].alias("start_ms"), x["end_ms"].alias("end_ms"), (last["parts"] + 1).alias("parts"))
-        own = F.struct(x["pos"].alias("pos"), x["speaker"].alias("speaker"), x["text"].alias("text"), x["start_ms"].alias("start_ms"), x["end_ms"].alias("end_ms"), F.lit(1).alias("parts"))
-        return F.when(join, F.concat(F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0))), F.array(grown))).otherwise(F.concat(acc, F.array(own))).cast(kind)
-
-    merged = _ordered(segments, ("speaker", "text", "start_ms", "end_ms")).select("media", F.posexplode(F.aggregate("rows", F.array().cast(kind), step)).alias("id", "m"))
-    return merged.select("media", "id", F.col("m.pos").alias("first_pos"), "m.speaker", "m.text", "m.start_ms", "m.end_ms", "m.parts")
+        short = (acc["end_ms"] - acc["start_ms"] < cfg.short_ms) | (x["end_ms"] - x["start_ms"] < cfg.short_ms)
+        join = F.coalesce((acc["speaker"] == x["speaker"]) & (x["start_ms"] - acc["end_ms"] <= cfg.merge_gap_ms) & short, F.lit(False))
+        start = F.when(join, acc["start_ms"]).otherwise(x["start_ms"])
+        return F.struct(x["speaker"].alias("speaker"), start.alias("start_ms"), x["end_ms"].alias("end_ms"), F.concat(acc["begins"], F.when(join, "0").otherwise("1")).alias("begins")).cast(kind)
+
+    empty = F.struct(F.lit(None).cast("string").alias("speaker"), F.lit(None).cast("bigint").alias("start_ms"), F.lit(None).cast("bigint").alias("end_ms"), F.lit("").alias("begins"))
+    folded = _ordered(segments, ("speaker", "text", "start_ms", "end_ms")).withColumn("begins", F.aggregate("rows", empty, step)["begins"])
+    each = folded.select("media", "begins", F.posexplode("rows").alias("k", "r"))
+    each = each.withColumn("id", F.sum((F.substring("begins", F.col("k") + 1, F.lit(1)) == "1").cast("int")).over(Window.partitionBy("media").orderBy("k").rowsBetween(Window.unboundedPreceding, 0)) - 1)
+    first, last = F.min(F.struct("k", "r")), F.max(F.struct("k", F.col("r.end_ms").alias("end_ms")))
+    merged = each.groupBy("media", "id").agg(first.alias("f"), last.alias("l"), F.array_sort(F.collect_list(F.struct("k", F.col("r.text").alias("text")))).alias("t"), F.count(F.lit(1)).cast("int").alias("parts"))
+    later = F.slice("t", 2, F.greatest(F.size("t") - 1, F.lit(1)))
+    said = F.when(F.size("t") == 1, F.element_at("t", 1)["text"]).otherwise(F.aggregate(later, F.element_at("t", 1)["text"], lambda acc, x: F.trim(F.concat_ws(" ", acc, x["text"]))))
+    return merged.select("media", F.col("id").cast("int").alias("id"), F.col("f.r.pos").alias("first_pos"), F.col("f.r.speaker").alias("speaker"), said.alias("text"), F.col("f.r.start_ms").alias("start_ms"), F.col("l.end_ms").alias("end_ms"), "parts")
 
 
 def smooth_islands(spans: DataFrame, cfg: Turns = Turns(), keep: int | None = None) -> DataFrame:
