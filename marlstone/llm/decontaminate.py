@@ -14,11 +14,12 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import repeat
 
 import ahocorasick
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -119,11 +120,11 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", tex
     returned. Other columns are ignored.
     """
     out = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    blocks = list(_shipped_blocks(docs, benchmark, item_col, item_text_col, window, max_block_bytes))
-    for k, (shipped, key) in enumerate(blocks):
-        fields = _FIELDS if k + 1 < len(blocks) else _FIELDS[:-1]
 
-        def scan(batches: Iterator[pa.RecordBatch], shipped=shipped, key=key, fields=fields, first=not k) -> Iterator[pa.RecordBatch]:
+    def passed(out: DataFrame, shipped: Broadcast, key: str, first: bool, last: bool) -> DataFrame:
+        fields = _FIELDS[:-1] if last else _FIELDS
+
+        def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             windows = _automaton(shipped.value, window, key)
             schema = pa.schema([(n, t) for n, _, t in fields])
             for batch in batches:
@@ -145,31 +146,46 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", tex
                 cols |= {"doc_id": batch.column(0), "text": texts}
                 yield pa.RecordBatch.from_arrays([pa.array(cols[n], t) if isinstance(cols[n], list) else cols[n].cast(t) for n, _, t in fields], schema=schema)
 
-        if k and k % CHAIN == 0:
-            out = materialise(out, "hits")
-        out = out.mapInArrow(tidy(scan), ", ".join(f"{n} {t}" for n, t, _ in fields))
-    return out
+        return out.mapInArrow(tidy(scan), ", ".join(f"{n} {t}" for n, t, _ in fields))
 
+    return _over_blocks(out, benchmark, item_col, item_text_col, window, max_block_bytes, passed)
 
-def _shipped_blocks(docs: DataFrame, benchmark: DataFrame, item_col: str, item_text_col: str, window: int, max_block_bytes: int) -> Iterator[tuple]:
-    """Each block of items as a broadcast, and the key of its automaton."""
-    for items in blocks_of(benchmark, item_col, item_text_col, max_block_bytes):
-        yield docs.sparkSession.sparkContext.broadcast(items), hashlib.sha256(repr((window, items)).encode("utf-8", "surrogatepass")).hexdigest()
 
+def _over_blocks(out: DataFrame, benchmark: DataFrame, item_col: str, text_col: str, window: int, max_block_bytes: int, passed: Callable[[DataFrame, Broadcast, str, bool, bool], DataFrame]) -> DataFrame:
+    """Apply a pass for each block of items: passed(rows, the block as a broadcast, its key, whether it is first, whether last).
 
-def remove_contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
+    After CHAIN passes the rows are written down and those blocks let go, so that neither a worker nor the
+    driver holds more of them.
+    """
+    context = out.sparkSession.sparkContext
+    held: list[Broadcast] = []
+    blocks = blocks_of(benchmark, item_col, text_col, max_block_bytes)
+    items, first = next(blocks), True
+    while items is not None:
+        after = next(blocks, None)
+        if len(held) == CHAIN:
+            out = materialise(out, "hits")
+            while held:
+                held.pop().destroy()
+        held.append(context.broadcast(items))
+        out = passed(out, held[-1], hashlib.sha256(repr((window, items)).encode("utf-8", "surrogatepass")).hexdigest(), first, after is None)
+        items, first = after, False
+    return out
+
+
+def remove_contaminated(docs: DataFrame, benchmark: DataFrame, item_col: str = "item_id", item_text_col: str = "text", text_col: str = "text", window: int = WINDOW, max_block_bytes: int = MAX_BLOCK_BYTES) -> DataFrame:
     """The rows of `docs` in which no window occurs, with all their columns; null texts stay."""
-    window, text_col = options.get("window", WINDOW), options.get("text_col", "text")
-    for shipped, key in _shipped_blocks(docs, benchmark, options.get("item_col", "item_id"), options.get("item_text_col", "text"), window, options.get("max_block_bytes", MAX_BLOCK_BYTES)):
 
-        def keep(batches: Iterator[pa.RecordBatch], shipped=shipped, key=key) -> Iterator[pa.RecordBatch]:
+    def passed(docs: DataFrame, shipped: Broadcast, key: str, first: bool, last: bool) -> DataFrame:
+        def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             windows = _automaton(shipped.value, window, key)
             for batch in batches:
                 text = batch.column(batch.schema.get_field_index(text_col))
                 yield batch.filter(pa.array([not windows.scan(words_of(t.as_py()))[0] for t in text], pa.bool_()))
 
-        docs = docs.mapInArrow(tidy(keep), docs.schema)
-    return docs
+        return docs.mapInArrow(tidy(keep), docs.schema)
+
+    return _over_blocks(docs, benchmark, item_col, item_text_col, window, max_block_bytes, passed)
 
 
 def op7_decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

@@ -34,6 +34,8 @@ PIECE = 24
 SWITCH_PENALTY = 9.0
 #: A script belongs to a language if at least so much of its training letters are of that script.
 SCRIPT_SHARE = 0.01
+#: A model's size at most, as it goes to every executor.
+MODEL_BYTES = 200_000_000
 #: Text that is labelled together, in bytes.
 BATCH_BYTES = 32_000_000
 #: Words whose scores a Python worker remembers.
@@ -313,7 +315,10 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     null, an empty table gives no rows. Texts are read whole, in batches bounded by bytes. Other columns
     are ignored.
     """
-    shipped = docs.sparkSession.sparkContext.broadcast(pickle.dumps(model))
+    packed = pickle.dumps(model)
+    if len(packed) > MODEL_BYTES:
+        raise ValueError(f"the model has {len(packed)} bytes, more than {MODEL_BYTES}: fit it on fewer rows")
+    shipped = docs.sparkSession.sparkContext.broadcast(packed)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         labeller = Labeller(pickle.loads(shipped.value), penalty)
