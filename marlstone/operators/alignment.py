@@ -9,8 +9,8 @@ from __future__ import annotations
 import difflib
 import json
 import re
-from collections import Counter
 from collections.abc import Iterator
+from itertools import accumulate, pairwise
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -18,56 +18,108 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from marlstone.functions import guards
-from marlstone.functions.text import placed_regions, splice_all
+from marlstone.functions.text import placed_regions, relocates, splice_all
 from marlstone.functions.unicode import _match, deletions, match_text, tokens_of
 from marlstone.operators.incremental import content_id
 from marlstone.operators.intervals import conflict_groups
 
-#: Matching tokens that a gap open at one side needs, the longest such window, and limits of one request.
+#: Content tokens of an anchor, of an anchor that bears a gap open at one side, and of such a gap at most.
+LEAST_ANCHOR = 2
 LEAST_SUPPORT = 3
 EDGE_WINDOW = 4
+#: Tokens and code points of either side of a candidate, candidates of a request and its bytes at most.
+MAX_TOKENS = 12
+MAX_CHARS = 80
 MAX_CANDIDATES = 24
 MAX_BYTES = 24_000
 
-_RAW = "id string, line_id string, start int, end int, original string, replacement string, operation string, left_support int, right_support int"
+_RAW = "id string, line_id string, start int, end int, original string, replacement string, operation string, alignment string, support int, reasons array<string>"
+
+
+class _Side:
+    """The tokens of one text, and how often runs of them occur."""
+
+    def __init__(self, text: str) -> None:
+        self.text, self.tokens = text, tokens_of(text)
+        self.keys = [t["key"] for t in self.tokens]
+        self.content = [t["kind"] != "punct" for t in self.tokens]
+        self.places: dict[str, list[int]] = {}
+        for i, key in enumerate(self.keys):
+            self.places.setdefault(key, []).append(i)
+
+    def once(self, i: int, n: int) -> bool:
+        """Whether the run of n tokens from i occurs once: looked for where its rarest token stands."""
+        at = min(range(i, i + n), key=lambda t: len(self.places[self.keys[t]]))
+        run = self.keys[i : i + n]
+        return sum(self.keys[p - at + i : p - at + i + n] == run for p in self.places[self.keys[at]] if p >= at - i) == 1
+
+    def span(self, i: int, j: int) -> tuple[int, int]:
+        """Where the tokens from i to before j stand; an empty range stands before token i."""
+        if j > i:
+            return self.tokens[i]["start"], self.tokens[j - 1]["end"]
+        at = self.tokens[i]["start"] if i < len(self.tokens) else self.tokens[-1]["end"] if self.tokens else 0
+        return at, at
+
+    def beside(self, edge: int, n: int, step: int) -> tuple[int, int] | None:
+        """The range of tokens from an edge on (step 1) or back (-1) with n content tokens, punctuation next to them included."""
+        way = range(edge, len(self.tokens)) if step > 0 else range(edge - 1, -1, -1)
+        size = found = 0
+        for seen in accumulate(int(self.content[i]) for i in way):
+            if seen > n:
+                break
+            size, found = size + 1, seen
+        if found < n:
+            return None
+        return (edge, edge + size) if step > 0 else (edge - size, edge)
 
 
 def gaps(heard: str, line: str) -> list[tuple]:
-    """Spans of the heard text that the line words otherwise: (start, end, original, replacement, operation, left, right).
+    """Spans of the heard text that the line words otherwise: (start, end, original, replacement, operation, alignment, support, reasons).
 
-    A gap lies between two runs of tokens that occur once in both texts (anchors); at the ends of the
-    line a gap of a few tokens counts if LEAST_SUPPORT tokens match on its one side.
+    Anchors are common runs of tokens with LEAST_ANCHOR content tokens or more that occur once in both texts.
+    A gap lies between two anchors, or before the first or behind the last one if the line has at most
+    EDGE_WINDOW content tokens there; then it takes as many of the heard text. support is the content tokens
+    of the one anchor of such a gap. reasons say why a gap is no candidate: nothing of content on one side, the
+    same content, or too long.
     """
-    a, b = tokens_of(heard), tokens_of(line)
-    ka, kb = [t["key"] for t in a], [t["key"] for t in b]
-    blocks = [m for m in difflib.SequenceMatcher(None, ka, kb, autojunk=False).get_matching_blocks() if m.size]
-    once_a, once_b = Counter(ka), Counter(kb)
-    anchored = [m for m in blocks if any(once_a[k] == 1 and once_b[k] == 1 for k in ka[m.a : m.a + m.size])]
+    a, b = _Side(heard), _Side(line)
+    anchors = []
+    for m in difflib.SequenceMatcher(None, a.keys, b.keys, autojunk=False).get_matching_blocks():
+        weight = sum(a.content[m.a : m.a + m.size])
+        if weight >= LEAST_ANCHOR and a.once(m.a, m.size) and b.once(m.b, m.size):
+            anchors.append((m.a, m.b, m.size, weight))
     out = []
 
-    def add(i: int, j: int, p: int, q: int, left: int, right: int) -> None:
-        if i == j and p == q:
+    def add(mine: tuple[int, int], theirs: tuple[int, int], alignment: str, support: int) -> None:
+        (x, y), (u, v) = a.span(*mine), b.span(*theirs)
+        original, replacement = heard[x:y], line[u:v]
+        if original == replacement:
             return
-        start, end = (a[i]["start"], a[j - 1]["end"]) if j > i else ((a[i]["start"],) * 2 if i < len(a) else (len(heard),) * 2)
-        replacement = line[b[p]["start"] : b[q - 1]["end"]] if q > p else ""
-        original = heard[start:end]
-        if _match(original) != _match(replacement):
-            out.append((start, end, original, replacement, "replace" if j > i and q > p else "delete" if j > i else "insert", left, right))
-
-    for m, n in zip(anchored, anchored[1:], strict=False):
-        add(m.a + m.size, n.a, m.b + m.size, n.b, m.size, n.size)
-    if anchored:
-        first, last = anchored[0], anchored[-1]
-        if 0 < first.a <= EDGE_WINDOW and 0 < first.b <= EDGE_WINDOW and first.size >= LEAST_SUPPORT:
-            add(0, first.a, 0, first.b, 0, first.size)
-        i, p = last.a + last.size, last.b + last.size
-        if 0 < len(a) - i <= EDGE_WINDOW and 0 < len(b) - p <= EDGE_WINDOW and last.size >= LEAST_SUPPORT:
-            add(i, len(a), p, len(b), last.size, 0)
+        told, said = sum(a.content[slice(*mine)]), sum(b.content[slice(*theirs)])
+        operation = "insert" if said and not told else "delete" if told and not said else "replace"
+        keys = lambda side, part: [k for k, c in zip(side.keys[slice(*part)], side.content[slice(*part)], strict=True) if c]
+        reasons = {
+            f"{operation}_diagnostic": operation != "replace",
+            "long_span": max(mine[1] - mine[0], theirs[1] - theirs[0]) > MAX_TOKENS or max(len(original), len(replacement)) > MAX_CHARS,
+            "surface_only": keys(a, mine) == keys(b, theirs),
+        }
+        out.append((x, y, original, replacement, operation, alignment, support, [r for r, holds in reasons.items() if holds]))
+
+    for (i, p, size, _), (j, q, _, _) in pairwise(anchors):
+        add((i + size, j), (p + size, q), "two_sided", 0)
+    if anchors:
+        i, p, _, weight = anchors[0]
+        j, q, size, last = anchors[-1]
+        for mine_edge, theirs, step, support in ((i, (0, p), -1, weight), (j + size, (q + size, len(b.keys)), 1, last)):
+            wanted = sum(b.content[slice(*theirs)])
+            mine = a.beside(mine_edge, wanted, step) if theirs[1] > theirs[0] and wanted <= EDGE_WINDOW else None
+            if mine:
+                add(mine, theirs, "one_sided", support)
     return out
 
 
 def enumerate_candidates(requests: DataFrame) -> DataFrame:
-    """Raw candidates of requests (id, heard, lines array<struct<line_id,text>>)."""
+    """Raw candidates of requests (id, heard, lines array<struct<line_id,text>>)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -78,19 +130,41 @@ def enumerate_candidates(requests: DataFrame) -> DataFrame:
 
 
 def inventory(requests: DataFrame) -> DataFrame:
-    """Merged candidates: id, candidate_id, start, end, original, replacement, operation, lines, support, conflict_group, status.
+    """Merged candidates: id, candidate_id, start, end, original, replacement, operation, alignment, lines, support, reasons, conflict_group, status.
 
-    Equal candidates of several lines are one. Overlapping ones conflict; a request with too many
-    candidates, or too many bytes of them, is over capacity.
+    Equal candidates of several lines are one (G13). A candidate is diagnostic_only for a reason of its gaps, for
+    gaps of both alignments, and at one side for an anchor of fewer than LEAST_SUPPORT content tokens or a
+    replacement that the heard text has elsewhere already; conflicting if it overlaps another one (N18);
+    over_capacity if its request has more than MAX_CANDIDATES candidates left or, with them, more than
+    MAX_BYTES bytes; else classifiable.
     """
     raw = enumerate_candidates(requests)
-    merged = raw.groupBy("id", "start", "end", "original", "replacement", "operation").agg(F.array_sort(F.collect_set("line_id")).alias("lines"), F.max("left_support").alias("left_support"), F.max("right_support").alias("right_support"))
+    merged = raw.groupBy("id", "start", "end", "replacement").agg(
+        F.min("original").alias("original"),
+        F.min("operation").alias("operation"),
+        F.array_sort(F.collect_set("line_id")).alias("lines"),
+        F.min(F.when(F.col("alignment") == "one_sided", F.col("support"))).alias("anchor"),
+        F.array_sort(F.collect_set("alignment")).alias("how"),
+        F.array_distinct(F.flatten(F.collect_list("reasons"))).alias("reasons"),
+    )
+    one_sided = (F.size("how") == 1) & (F.col("how")[0] == "one_sided") & (F.size("reasons") == 0)
+    more = {
+        "mixed_alignment_provenance": F.size("how") > 1,
+        "weak_one_sided_anchor": one_sided & (F.col("anchor") < LEAST_SUPPORT),
+        "relocated_existing_text": one_sided & relocates(F.col("heard"), F.col("start"), F.col("end"), F.col("replacement")),
+    }
+    merged = merged.join(requests.select("id", "heard"), "id").withColumn("reasons", F.array_sort(F.concat("reasons", guards.all_reasons(more))))
+    merged = merged.withColumn("alignment", F.when(F.size("how") > 1, "ambiguous").otherwise(F.col("how")[0])).drop("how", "heard", "anchor")
     merged = merged.withColumn("support", F.size("lines").cast("long")).withColumn("candidate_id", content_id("c", "id", "start", "end", "replacement"))
     grouped = conflict_groups(merged.withColumnsRenamed({"id": "media", "start": "start_ms", "end": "end_ms"}).withColumn("pos", F.col("candidate_id")))
     grouped = grouped.withColumnsRenamed({"media": "id", "start_ms": "start", "end_ms": "end"}).drop("pos")
-    w = Window.partitionBy("id")
-    over = (F.count(F.lit(1)).over(w) > MAX_CANDIDATES) | (F.sum(F.octet_length("original") + F.octet_length("replacement")).over(w) > MAX_BYTES)
-    return grouped.withColumn("status", F.when(over, "over_capacity").when(F.col("conflict_size") > 1, "conflicting").otherwise("classifiable"))
+    own = F.when(F.col("conflict_size") > 1, "conflicting").when(F.size("reasons") > 0, "diagnostic_only").otherwise("classifiable")
+    grouped = grouped.withColumn("status", own)
+    w, fits = Window.partitionBy("id"), F.col("status") == "classifiable"
+    said = F.octet_length(F.to_json(F.struct("candidate_id", "start", "end", "original", "replacement", "operation", "lines")))
+    asked = requests.select("id", F.octet_length(F.to_json(F.struct("id", "heard", "lines"))).alias("asked"))
+    sized = grouped.join(asked, "id").withColumn("over", (F.count_if(fits).over(w) > MAX_CANDIDATES) | (F.col("asked") + F.sum(F.when(fits, said).otherwise(0)).over(w) > MAX_BYTES))
+    return sized.withColumn("status", F.when(fits & F.col("over"), "over_capacity").otherwise(F.col("status"))).drop("asked", "over")
 
 
 # --- cited lines, overlaps, local deletions, sanitised lines ---------------------------------------

@@ -214,7 +214,7 @@ def inventory_problems(requests: DataFrame, candidates: DataFrame) -> DataFrame:
         .when(F.substring("heard", F.col("start") + 1, F.col("end") - F.col("start")) != F.col("original"), "other_text")
         .when(F.size("lines") == 0, "no_lines")
         .when(F.size(F.array_except("lines", "known")) > 0, "unknown_line")
-        .when(~F.col("status").isin("classifiable", "conflicting", "over_capacity"), "unknown_status")
+        .when(~F.col("status").isin("classifiable", "diagnostic_only", "conflicting", "over_capacity"), "unknown_status")
         .when(F.col("own") != F.col("candidate_id"), "other_identifier")
     )
     return both.withColumn("problem", p).where("problem IS NOT NULL").select("id", "candidate_id", "problem")

@@ -99,7 +99,8 @@ def test_decisions_splice_accepted_edits(spark):
             assert 0 <= r["start"] <= r["end"] <= len(heard[i]) and heard[i][r["start"] : r["end"]] != r["replacement"]
         spans = sorted((r["start"], r["end"]) for r in found)
         hit = any(b[0] < a[1] for a, b in itertools.pairwise(spans))
-        assert hit == any(r["status"] == "conflicting" for r in found) or any(r["status"] == "over_capacity" for r in found)
+        assert hit == any(r["status"] == "conflicting" for r in found)
+        assert len({r["status"] for r in found} & {"classifiable", "over_capacity"}) < 2
     for r in rows(spark, "q57_decisions"):
         text = heard[r["id"]]
         assert r["accepted"] == (r["corrected_text"] != text) == (r["edits"] > 0)
@@ -107,6 +108,42 @@ def test_decisions_splice_accepted_edits(spark):
         assert reference in (None, r["corrected_text"])
 
 
+def test_gaps_of_anchored_texts(spark):
+    cut = lambda heard, line: [(g[2], g[3], *g[4:]) for g in alignment.gaps(heard, line)]
+    assert cut("we like the red hause on the hill", "we like the red house on the hill") == [("hause", "house", "replace", "two_sided", 0, [])]
+    assert cut("we like the red on the hill", "we like the red house on the hill") == [("", "house", "insert", "two_sided", 0, ["insert_diagnostic"])]
+    assert cut("Dear all, see the red house", "Deer all, see the red house") == [("Dear", "Deer", "replace", "one_sided", 5, [])]
+    assert cut("see the red hause now, he said", "see the red house now") == [("hause now,", "house now", "replace", "one_sided", 3, [])]
+    assert cut("a b x", "a b y") == [("x", "y", "replace", "one_sided", 2, [])]
+    # No anchor: one content token only, or a run that occurs twice.
+    assert cut("a x", "a y") == [] and cut("a b x a b", "a b y a b") == []
+    # Five content tokens at the line's end are too many; more than twelve between anchors are too long.
+    assert cut("so it goes one", "so it goes 1 2 3 4 5") == []
+    assert cut("so it " + "w " * 13 + "goes on", "so it now goes on")[0][-1] == ["long_span"]
+    assert cut("so it goes on", "so it, goes on") == [("", ",", "replace", "two_sided", 0, ["surface_only"])]
+
+
+def test_inventory_statuses(spark):
+    line = lambda k, t: (f"L0{k}", t)
+    asks = [
+        ("ok", "we like the red hause on the hill", [line(1, "we like the red house on the hill"), line(2, "we like the red house on the hill")]),
+        ("weak", "a b x", [line(1, "a b y")]),
+        ("moved", "so it goes and then it goes", [line(1, "so it goes then")]),
+        ("mixed", "we like the hause here", [line(1, "we like the house here now"), line(2, "we like the house")]),
+        ("over", " ".join(f"a{i} b{i} x{i}" for i in range(30)) + " end of it", [line(1, " ".join(f"a{i} b{i} y{i}" for i in range(30)) + " end of it")]),
+        ("bytes", "we like the red hause on the hill", [line(1, "we like the red house on the hill"), line(2, "z" * 25_000)]),
+    ]
+    df = spark.createDataFrame(asks, "id string, heard string, lines array<struct<line_id:string,text:string>>")
+    got = {}
+    for r in alignment.inventory(df).collect():
+        got.setdefault(r["id"], []).append((r["original"], r["replacement"], r["status"], r["support"], list(r["reasons"])))
+    assert got["ok"] == [("hause", "house", "classifiable", 2, [])]
+    assert got["weak"] == [("x", "y", "diagnostic_only", 1, ["weak_one_sided_anchor"])]
+    assert got["moved"] == [("and", "then", "diagnostic_only", 1, ["relocated_existing_text"])]
+    assert len(got["over"]) == 30 and {r[2] for r in got["over"]} == {"over_capacity"}
+    assert got["bytes"] == [("hause", "house", "over_capacity", 1, [])]
+
+
 def test_turns_cover_their_segments(spark):
     """Parts of a segment are in order, without gaps, and hold its letters once."""
     got = {}
