@@ -12,6 +12,7 @@ import re
 from collections.abc import Iterator
 from itertools import accumulate, pairwise
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -36,6 +37,71 @@ MAX_BYTES = 24_000
 _RAW = "id string, line_id string, start int, end int, original string, replacement string, operation string, alignment string, support int, reasons array<string>"
 
 
+#: Cells of a pair of ranges below which difflib is quick enough.
+SMALL = 20_000
+
+
+def matching_blocks(a: list[str], b: list[str], small: int = SMALL) -> list[tuple[int, int, int]]:
+    """The blocks (place in a, place in b, size) that difflib finds without junk, for long lists too.
+
+    The longest common run, of equal ones the first in a and then in b, and the same on both sides of it.
+    Runs of 1, 2, 4, ... elements get numbers once; a run of any length is two of those, so the longest
+    run of two ranges is found by halving over lengths. Small ranges are left to difflib.
+    """
+    code: dict[str, int] = {}
+    whole = np.array([code.setdefault(x, len(code)) for x in (*a, *b)], np.int64)
+    n = len(a)
+    #: levels[p][i] is the number of the run of 2 ** p elements from i; those that leave their list have numbers of their own.
+    levels = [whole]
+
+    def level(p: int) -> np.ndarray:
+        while len(levels) <= p:
+            half, last = 1 << (len(levels) - 1), levels[-1]
+            after = np.full(len(last), -1, np.int64)
+            after[:-half or None] = last[half:] if half < len(last) else -1
+            after[max(0, n - half) : n] = -2 - np.arange(min(n, half))  # over the end of a
+            key = last * (2 * len(whole) + 2) + after + len(whole) + 1
+            levels.append(np.unique(key, return_inverse=True)[1])
+        return levels[p]
+
+    def runs(lo: int, hi: int, size: int) -> np.ndarray:
+        """A number for each run of `size` elements inside [lo, hi)."""
+        p = size.bit_length() - 1
+        ranks = level(p)
+        return ranks[lo : hi - size + 1] * (len(whole) + 1) + ranks[lo + size - (1 << p) : hi - (1 << p) + 1]
+
+    out, todo = [], [(0, n, 0, len(b))]
+    while todo:
+        alo, ahi, blo, bhi = todo.pop()
+        if alo >= ahi or blo >= bhi:
+            continue
+        if (ahi - alo) * (bhi - blo) <= small:
+            found = difflib.SequenceMatcher(None, a[alo:ahi], b[blo:bhi], autojunk=False).get_matching_blocks()
+            out += [(m.a + alo, m.b + blo, m.size) for m in found if m.size]
+            continue
+        low, high = 0, min(ahi - alo, bhi - blo)
+        while low < high:
+            size = (low + high + 1) // 2
+            if np.isin(runs(alo, ahi, size), runs(n + blo, n + bhi, size)).any():
+                low = size
+            else:
+                high = size - 1
+        if not low:
+            continue
+        mine, theirs = runs(alo, ahi, low), runs(n + blo, n + bhi, low)
+        i = int(np.isin(mine, theirs).argmax())
+        j = int((theirs == mine[i]).argmax())
+        i, j = alo + i, blo + j
+        out.append((i, j, low))
+        todo += [(alo, i, blo, j), (i + low, ahi, j + low, bhi)]
+    joined: list[tuple[int, int, int]] = []
+    for i, j, size in sorted(out):
+        if joined and joined[-1][0] + joined[-1][2] == i and joined[-1][1] + joined[-1][2] == j:
+            i, j, size = joined[-1][0], joined[-1][1], joined.pop()[2] + size
+        joined.append((i, j, size))
+    return joined
+
+
 class _Side:
     """The tokens of one text, and how often runs of them occur."""
 
@@ -84,10 +150,10 @@ def gaps(heard: str, line: str) -> list[tuple]:
     """
     a, b = _Side(heard), _Side(line)
     anchors = []
-    for m in difflib.SequenceMatcher(None, a.keys, b.keys, autojunk=False).get_matching_blocks():
-        weight = sum(a.content[m.a : m.a + m.size])
-        if weight >= LEAST_ANCHOR and a.once(m.a, m.size) and b.once(m.b, m.size):
-            anchors.append((m.a, m.b, m.size, weight))
+    for i, p, size in matching_blocks(a.keys, b.keys):
+        weight = sum(a.content[i : i + size])
+        if weight >= LEAST_ANCHOR and a.once(i, size) and b.once(p, size):
+            anchors.append((i, p, size, weight))
     out = []
 
     def add(mine: tuple[int, int], theirs: tuple[int, int], alignment: str, support: int) -> None:

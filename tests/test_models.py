@@ -108,6 +108,18 @@ def test_decisions_splice_accepted_edits(spark):
         assert reference in (None, r["corrected_text"])
 
 
+def test_blocks_are_those_of_difflib():
+    rng = np.random.default_rng(3)
+    for _ in range(400):
+        letters = list("abcdefgh"[: int(rng.integers(1, 9))])
+        a = [str(x) for x in rng.choice(letters, rng.integers(0, 60))]
+        b = [str(x) for x in rng.choice(letters, rng.integers(0, 60))]
+        if rng.random() < 0.6:
+            b = [x for x in a if rng.random() > 0.15]
+        want = [(m.a, m.b, m.size) for m in difflib.SequenceMatcher(None, a, b, autojunk=False).get_matching_blocks() if m.size]
+        assert alignment.matching_blocks(a, b, small=int(rng.choice([0, 30]))) == want
+
+
 def test_gaps_of_anchored_texts(spark):
     cut = lambda heard, line: [(g[2], g[3], *g[4:]) for g in alignment.gaps(heard, line)]
     assert cut("we like the red hause on the hill", "we like the red house on the hill") == [("hause", "house", "replace", "two_sided", 0, [])]
