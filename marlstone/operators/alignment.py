@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from marlstone.functions import guards
-from marlstone.functions.text import placed_regions, relocates, splice_all
+from marlstone.functions.text import placed_regions, splice_all
 from marlstone.functions.unicode import _match, deletions, match_text, tokens_of
 from marlstone.operators.incremental import content_id
 from marlstone.operators.intervals import conflict_groups
@@ -34,7 +34,7 @@ MAX_CHARS = 80
 MAX_CANDIDATES = 24
 MAX_BYTES = 24_000
 
-_RAW = "id string, line_id string, start int, end int, original string, replacement string, operation string, alignment string, support int, reasons array<string>"
+_RAW = "id string, line_id string, start int, end int, original string, replacement string, operation string, alignment string, support int, reasons array<string>, elsewhere boolean"
 
 
 #: Cells of a pair of ranges below which difflib is quick enough.
@@ -184,12 +184,18 @@ def gaps(heard: str, line: str) -> list[tuple]:
     return out
 
 
+def stands_elsewhere(text: str, start: int, end: int, replacement: str) -> bool:
+    """Whether a text has a replacement outside a span already, case aside; as `marlstone.functions.text.relocates`."""
+    low, wanted = text.lower(), replacement.lower()
+    return wanted != "" and (low.find(wanted, 0, start) >= 0 or low.find(wanted, end) >= 0)
+
+
 def enumerate_candidates(requests: DataFrame) -> DataFrame:
     """Raw candidates of requests (id, heard, lines array<struct<line_id,text>>)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = [(r.id, x["line_id"], *g) for r in batch.itertuples(index=False) for x in r.lines for g in gaps(r.heard or "", x["text"] or "")]
+            rows = [(r.id, x["line_id"], *g, g[5] == "one_sided" and stands_elsewhere(r.heard, *g[:2], g[3])) for r in batch.itertuples(index=False) for x in r.lines for g in gaps(r.heard or "", x["text"] or "")]
             yield pd.DataFrame(rows, columns=[c.split()[0] for c in _RAW.split(", ")])
 
     return requests.select("id", "heard", "lines").mapInPandas(run, _RAW)
@@ -212,15 +218,16 @@ def inventory(requests: DataFrame) -> DataFrame:
         F.min(F.when(F.col("alignment") == "one_sided", F.col("support"))).alias("anchor"),
         F.array_sort(F.collect_set("alignment")).alias("how"),
         F.array_distinct(F.flatten(F.collect_list("reasons"))).alias("reasons"),
+        F.bool_or("elsewhere").alias("elsewhere"),
     )
     one_sided = (F.size("how") == 1) & (F.col("how")[0] == "one_sided") & (F.size("reasons") == 0)
     more = {
         "mixed_alignment_provenance": F.size("how") > 1,
         "weak_one_sided_anchor": one_sided & (F.col("anchor") < LEAST_SUPPORT),
-        "relocated_existing_text": one_sided & relocates(F.col("heard"), F.col("start"), F.col("end"), F.col("replacement")),
+        "relocated_existing_text": one_sided & F.col("elsewhere"),
     }
-    merged = merged.join(requests.select("id", "heard"), "id").withColumn("reasons", F.array_sort(F.concat("reasons", guards.all_reasons(more))))
-    merged = merged.withColumn("alignment", F.when(F.size("how") > 1, "ambiguous").otherwise(F.col("how")[0])).drop("how", "heard", "anchor")
+    merged = merged.withColumn("reasons", F.array_sort(F.concat("reasons", guards.all_reasons(more))))
+    merged = merged.withColumn("alignment", F.when(F.size("how") > 1, "ambiguous").otherwise(F.col("how")[0])).drop("how", "anchor", "elsewhere")
     merged = merged.withColumn("support", F.size("lines").cast("long")).withColumn("candidate_id", content_id("c", "id", "start", "end", "replacement"))
     grouped = conflict_groups(merged.withColumnsRenamed({"id": "media", "start": "start_ms", "end": "end_ms"}).withColumn("pos", F.col("candidate_id")))
     grouped = grouped.withColumnsRenamed({"media": "id", "start_ms": "start", "end_ms": "end"}).drop("pos")
