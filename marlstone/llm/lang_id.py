@@ -37,7 +37,7 @@ SCRIPT_SHARE = 0.01
 #: A model's size at most, as it goes to every executor.
 MODEL_BYTES = 200_000_000
 #: Text that is labelled together, in bytes.
-BATCH_BYTES = 32_000_000
+BATCH_BYTES = 16_000_000
 #: Words whose scores a Python worker remembers.
 MAX_WORDS = 400_000
 
