@@ -14,6 +14,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """Rows over all cores where they come in fewer partitions, for work that is heavy by the row; larger tables stay as they are."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows if rows._jdf.queryExecution().toRdd().getNumPartitions() >= cores else rows.repartition(cores)
+
+
 def segments(conversations: DataFrame) -> DataFrame:
     """media, pos, text, speaker, start_ms, end_ms, one row a turn."""
     conv, turn = F.col("conv_id"), F.col("turn")
@@ -78,7 +84,7 @@ LINE = r"""line AS (
 def evaluation(documents: DataFrame) -> DataFrame:
     """id, lang, source, reference and two hypotheses of whole texts' ASCII characters, as a recogniser and its correction would give."""
     base = F.regexp_replace("text", r"[^\x20-\x7e]", "")
-    rows = documents.select(F.col("doc_id").alias("id"), "lang", "source", base.alias("reference"))
+    rows = spread(documents.select("doc_id", "lang", "source", "text")).select(F.col("doc_id").alias("id"), "lang", "source", base.alias("reference"))
     heard = F.regexp_replace(F.regexp_replace("reference", "the", "teh"), "o", "0")
     fixed = F.when(F.col("id") % 4 == 0, F.col("baseline")).when(F.col("id") % 4 == 1, F.regexp_replace("baseline", "0", "o")).when(F.col("id") % 4 == 2, F.col("reference")).otherwise(F.regexp_replace("baseline", "e", ""))
     return rows.withColumn("baseline", heard).withColumn("corrected", fixed)

@@ -71,14 +71,19 @@ def _within(a: list | str, b: list | str, most: int) -> int | None:
     return score if score <= most else None
 
 
+#: The narrowest band that is tried.
+LEAST_BAND = 1_024
+
+
 def distance(a: list | str, b: list | str) -> int:
     """Edit distance of two sequences: a column of the table at a time, its steps up and down as bits of two numbers (Myers).
 
-    Narrow bands around the diagonal are tried first, so alike sequences take time in proportion to their length and distance.
+    For long sequences narrow bands around the diagonal are tried first, so alike ones take time in proportion to their
+    length and distance; short ones gain nothing by it.
     """
     if not a or not b:
         return len(a) + len(b)
-    most = max(16, abs(len(a) - len(b)))
+    most = max(LEAST_BAND, abs(len(a) - len(b)))
     while most * 4 < len(a):
         if (near := _within(a, b, most)) is not None:
             return near

@@ -78,7 +78,7 @@ def test_bigrams_of_whole_items(spark, fixture):
         assert (r["shared"], r["jaccard"]) == (len(a & b), pytest.approx(len(a & b) / len(a | b), abs=1e-6))
 
 
-def test_distances_against_the_table(spark):
+def test_distances_against_the_table(spark, monkeypatch):
     rng = random.Random(5)
     word = lambda n: "".join(rng.choice("abcé") for _ in range(n))
     pairs = [(word(rng.randrange(90)), word(rng.randrange(90))) for _ in range(150)]
@@ -88,5 +88,10 @@ def test_distances_against_the_table(spark):
         pairs.append(("".join(a), "".join(b)))
     want = [table_distance(a, b) for a, b in pairs]
     assert [unicode.distance(a, b) for a, b in pairs] == want
+    monkeypatch.setattr(unicode, "LEAST_BAND", 2)
+    assert [unicode.distance(a, b) for a, b in pairs] == want
+    for (a, b), d in zip(pairs, want, strict=True):
+        for most in range(max(1, abs(len(a) - len(b))), len(a) + 1, 7):
+            assert unicode._within(a, b, most) == (d if d <= most else None) or not b
     df = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(pairs)], "i long, a string, b string")
     assert [r[0] for r in df.orderBy("i").select(text.edit_distance(df.a, df.b)).collect()] == want
