@@ -47,7 +47,7 @@ def q24_duplicate_policy(spark: SparkSession, d: str) -> DataFrame:
 WITH w AS (SELECT o_orderkey AS k FROM orders WHERE o_orderkey % 13 <> 0), g AS (SELECT l_orderkey AS k, count(*) AS n FROM lineitem WHERE l_linenumber = 1 OR l_orderkey % 29 = 0 GROUP BY ALL)
 SELECT problem, count(*) AS n FROM (SELECT CASE WHEN g.k IS NULL THEN 'missing' WHEN w.k IS NULL THEN 'unknown' WHEN n > 1 THEN 'duplicate' END AS problem FROM w FULL JOIN g ON w.k = g.k) WHERE problem IS NOT NULL GROUP BY problem""")
 def q25_coverage_check(spark: SparkSession, d: str) -> DataFrame:
-    """Missing, unknown and repeated keys of returned rows against those asked for."""
+    """Missing, unknown and repeated keys of returned rows against those asked for."""
     wanted = table(spark, d, "orders").select(F.col("o_orderkey").alias("k")).where("k % 13 <> 0")
     got = table(spark, d, "lineitem").where("l_linenumber = 1 OR l_orderkey % 29 = 0").select(F.col("l_orderkey").alias("k"))
     return incremental.coverage(wanted, got, "k").groupBy("problem").agg(F.count(F.lit(1)).alias("n"))

@@ -60,7 +60,7 @@ COMPACT = r"regexp_replace(line, '[\s\x{85}\x{A0}\x{2028}\x{2029}]+', '', 'g')"
 
 @query(f"WITH {LINE} SELECT reason, count(*) AS n FROM (SELECT {NOISE} AS reason FROM (SELECT line, {COMPACT} AS c FROM line)) GROUP BY reason")
 def q08_line_noise(spark: SparkSession, d: str) -> DataFrame:
-    """Why lines of pages are no text."""
+    """Why lines of pages are no text."""
     return lines(table(spark, d, "pages")).groupBy(text.noise_reason(F.col("line")).alias("reason")).agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -77,7 +77,7 @@ SUBTITLE = r"""round(least(1.0, 0.65 * len(regexp_extract_all(c, '[\pL\pN]')) /
 @query(f"""WITH {LINE}, s AS (SELECT media, pos, line, CAST({SUBTITLE} AS DOUBLE) AS score FROM (SELECT *, {COMPACT} AS c FROM line) WHERE c <> '')
 SELECT media, pos, score, k AS rank FROM (SELECT *, row_number() OVER (PARTITION BY media ORDER BY score DESC, pos) AS k FROM s) WHERE k <= 5""")
 def q10_subtitle_score_topk(spark: SparkSession, d: str) -> DataFrame:
-    """The five most subtitle-like lines of each page."""
+    """The five most subtitle-like lines of each page."""
     rows = lines(table(spark, d, "pages")).where(text.compact(F.col("line")) != "").withColumn("score", F.round(text.subtitle_score(F.col("line")), 6))
     w = Window.partitionBy("media").orderBy(F.col("score").desc(), "pos")
     return rows.withColumn("rank", F.row_number().over(w)).where("rank <= 5").select("media", "pos", "score", "rank")
@@ -152,7 +152,7 @@ def q15_eval_summary(spark: SparkSession, d: str) -> DataFrame:
 @query(f"""WITH {EVAL}, {CER}, m AS (SELECT *, corrected <> baseline AS accepted, 'm' || (id % 2) AS model, CASE WHEN id % 11 = 0 THEN '' ELSE lang END AS language FROM rated)
 SELECT model, CASE WHEN grouping(l) = 1 THEN 'all' ELSE l END AS scope, {REPORT} FROM (SELECT *, CASE WHEN coalesce(language, '') = '' THEN 'unknown' ELSE language END AS l FROM m) GROUP BY GROUPING SETS ((model), (model, l))""")
 def q16_eval_grouping_sets(spark: SparkSession, d: str) -> DataFrame:
-    """Reports by model, and by model and language."""
+    """Reports by model, and by model and language."""
     rows = rated(spark, d).withColumn("model", F.concat(F.lit("m"), (F.col("id") % 2).cast("string"))).withColumn("language", F.when(F.col("id") % 11 == 0, "").otherwise(F.col("lang")))
     return rounded(evaluate.summary_sets(rows, "model", "language"))
 
@@ -196,14 +196,14 @@ def proposals(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {EVAL}, {PROPOSAL} SELECT id, reason, reason = 'accepted' AS accepted FROM g")
 def q18_guard_cascade(spark: SparkSession, d: str) -> DataFrame:
-    """Ordered rules on proposed corrections."""
+    """Ordered rules on proposed corrections."""
     reason = F.when(F.col("reason").startswith("edit_ratio_"), "edit_ratio").otherwise(F.col("reason"))
     return proposals(spark, d).select("id", reason.alias("reason"), (F.col("reason") == "accepted").alias("accepted"))
 
 
 @query(r"""SELECT doc_id, len(list_distinct(regexp_extract_all(text, '\d+(?:[.:/-]\d+)*'))) AS numbers, len(list_filter(list_distinct(regexp_extract_all(text, '\d+(?:[.:/-]\d+)*')), lambda x: NOT list_contains(regexp_extract_all(substr(text, 1, 2000), '\d+(?:[.:/-]\d+)*'), x))) AS later FROM documents""")
 def q19_digits_introduced(spark: SparkSession, d: str) -> DataFrame:
-    """Numbers of a text, and those that its first 2,000 characters lack."""
+    """Numbers of a text, and those that its first 2,000 characters lack."""
     new = F.array_except(text.digit_tokens(F.col("text")), text.digit_tokens(F.substring("text", 1, 2000)))
     return table(spark, d, "documents").select("doc_id", F.size(text.digit_tokens(F.col("text"))).cast("long").alias("numbers"), F.size(new).cast("long").alias("later"))
 
@@ -274,7 +274,7 @@ def q46_dominant_language(spark: SparkSession, d: str) -> DataFrame:
 
 @query("""SELECT event_type, count(*) AS n, count(json_extract_string(props, '$.k')) AS with_k, sum(CAST(json_extract_string(props, '$.k') AS BIGINT)) AS total FROM events GROUP BY event_type""")
 def q49_json_lenient(spark: SparkSession, d: str) -> DataFrame:
-    """JSON objects found inside fenced and padded replies."""
+    """JSON objects found inside fenced and padded replies."""
     i = F.col("event_id")
     reply = F.when(i % 3 == 0, F.concat(F.lit("```json\n"), "props", F.lit("\n```"))).when(i % 3 == 1, F.concat(F.lit("Answer: "), "props", F.lit(" done"))).otherwise(F.col("props"))
     k = F.get_json_object(text.lenient_object(reply), "$.k")
