@@ -8,7 +8,7 @@ into many buckets; choose the bucket near their usual length.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -37,6 +37,26 @@ def overlap_join(left: DataFrame, right: DataFrame, keys: Sequence[str], bucket:
     return a.join(b, [*keys, "_bucket"]).where(meets & (F.floor(later / bucket) == F.col("_bucket"))).drop("_bucket")
 
 
+def running(rows: DataFrame, name: str, value: Column, at: Column, order: Sequence[str], agg: Callable[[Column], Column] = F.max, join: Callable[[Column, Column], Column] = F.greatest, ahead: bool = False, own: bool = True, bucket: int = 600_000) -> DataFrame:
+    """Rows with `name`: a running aggregate over their media in the order given, through time buckets.
+
+    A window stays within one bucket of a media; what earlier (ahead: later) buckets come to is one row
+    a bucket and joins it, so a long recording is many tasks. `at` is the time that the order begins with.
+    own: the row itself counts. Nulls don't count.
+    """
+    first, last = (0 if own else 1, Window.unboundedFollowing) if ahead else (Window.unboundedPreceding, 0 if own else -1)
+    outer = (1, Window.unboundedFollowing) if ahead else (Window.unboundedPreceding, -1)
+    dealt = rows.withColumn("_b", F.floor(at / bucket)).withColumn("_v", value)
+    carried = dealt.groupBy("media", "_b").agg(agg(F.col("_v")).alias("_top"))
+    carried = carried.select("media", "_b", agg(F.col("_top")).over(Window.partitionBy("media").orderBy("_b").rowsBetween(*outer)).alias("_carry"))
+    within = agg(F.col("_v")).over(Window.partitionBy("media", "_b").orderBy(*order).rowsBetween(first, last))
+    return dealt.join(carried, ["media", "_b"]).withColumn("_in", within).withColumn(name, join(F.col("_carry"), F.col("_in"))).drop("_b", "_v", "_carry", "_in")
+
+
+def _added(a: Column, b: Column) -> Column:
+    return F.coalesce(a, F.lit(0)) + F.coalesce(b, F.lit(0))
+
+
 def overlaps_by_speaker(segments: DataFrame, spans: DataFrame, bucket: int = 60_000) -> DataFrame:
     """(media, pos, speaker, overlap_ms, first_pos) of segments and the speakers that overlap them."""
     ms = F.least("end_ms", "r_end_ms") - F.greatest("start_ms", "r_start_ms")
@@ -82,8 +102,9 @@ def priority_speaker(items: DataFrame, spans: DataFrame, fallback: str = "SPEAKE
 def nearest_span(items: DataFrame, spans: DataFrame, bucket: int = 60_000) -> DataFrame:
     """Each item with the first span that holds its middle, else the span with the nearest end or start.
 
-    The nearest boundary is found by two windows over the media's spans and items in time order, not by
-    comparing all pairs. Distances are in half milliseconds; ties go to the span that begins first.
+    The nearest boundary behind and ahead are running aggregates over the media's spans and items in time
+    order, not found by comparing all pairs. Distances are in half milliseconds; ties go to the span that
+    begins first.
     """
     mid = (F.col("start_ms") + F.col("end_ms")).alias("t2")
     points = items.select("media", "pos", mid)
@@ -93,10 +114,10 @@ def nearest_span(items: DataFrame, spans: DataFrame, bucket: int = 60_000) -> Da
     # Of edges at one time the span that begins first counts.
     edges = edge("start_ms").unionByName(edge("end_ms")).groupBy("media", "t2").agg(F.min("e").alias("e")).withColumn("pos", F.lit(None).cast("long"))
     line = points.withColumn("e", F.lit(None).cast(edges.schema["e"].dataType)).unionByName(edges).withColumn("kind", F.col("pos").isNotNull())
-    order = Window.partitionBy("media").orderBy("t2", "kind", "pos")
-    back = F.last(F.when(~F.col("kind"), F.struct("t2", "e")), ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0))
-    ahead = F.first(F.when(~F.col("kind"), F.struct("t2", "e")), ignorenulls=True).over(order.rowsBetween(0, Window.unboundedFollowing))
-    near = line.withColumn("b", back).withColumn("a", ahead).where("kind")
+    edge_here = F.when(~F.col("kind"), F.struct("t2", "e"))
+    line = running(line, "b", edge_here, F.col("t2"), ("t2", "kind", "pos"), bucket=20 * bucket)
+    line = running(line, "a", edge_here, F.col("t2"), ("t2", "kind", "pos"), F.min, F.least, ahead=True, bucket=20 * bucket)
+    near = line.where("kind")
     best = F.least(F.when(F.col("b").isNotNull(), F.struct((F.col("t2") - F.col("b.t2")).alias("d"), F.col("b.e").alias("e"))), F.when(F.col("a").isNotNull(), F.struct((F.col("a.t2") - F.col("t2")).alias("d"), F.col("a.e").alias("e"))))
     found = near.select("media", "pos", best.alias("n")).join(inside, ["media", "pos"], "left")
     found = found.select("media", "pos", F.coalesce("inside.r_speaker", "n.e.speaker").alias("nearest"), F.when(F.col("inside").isNotNull(), F.lit(0)).otherwise(F.col("n.d")).cast("long").alias("half_ms"))
@@ -110,10 +131,10 @@ def merge_ranges(ranges: DataFrame, cfg: Speech = Speech(), pad: bool = True) ->
     """
     by = cfg.keep_silence_ms if pad else 0
     rows = ranges.select("media", "pos", F.greatest(F.lit(0), F.col("start_ms") - by).alias("start_ms"), (F.col("end_ms") + by).alias("end_ms")).where(F.col("end_ms") - F.col("start_ms") >= cfg.min_chunk_ms)
-    order = Window.partitionBy("media").orderBy("start_ms", "pos")
-    reach = F.max("end_ms").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    rows = rows.withColumn("new", (reach.isNull() | (F.col("start_ms") - reach > cfg.merge_gap_ms)).cast("int"))
-    rows = rows.withColumn("island", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    order = ("start_ms", "pos")
+    rows = running(rows, "reach", F.col("end_ms"), F.col("start_ms"), order, own=False)
+    rows = rows.withColumn("new", (F.col("reach").isNull() | (F.col("start_ms") - F.col("reach") > cfg.merge_gap_ms)).cast("int"))
+    rows = running(rows, "island", F.col("new"), F.col("start_ms"), order, F.sum, _added)
     return rows.groupBy("media", "island").agg(F.min("start_ms").alias("start_ms"), F.max("end_ms").alias("end_ms"), F.count(F.lit(1)).alias("parts"))
 
 
@@ -129,11 +150,13 @@ def conflict_groups(ranges: DataFrame) -> DataFrame:
 
     Equal empty ranges conflict with one another. Groups are numbered in time order within a media.
     """
-    order = Window.partitionBy("media").orderBy("start_ms", "end_ms", "pos")
-    before = order.rowsBetween(Window.unboundedPreceding, -1)
-    same_point = (F.lag("start_ms").over(order) == F.col("start_ms")) & (F.lag("end_ms").over(order) == F.col("end_ms")) & (F.col("start_ms") == F.col("end_ms"))
-    new = F.max("end_ms").over(before).isNull() | ((F.col("start_ms") >= F.max("end_ms").over(before)) & ~F.coalesce(same_point, F.lit(False)))
-    rows = ranges.withColumn("_new", new.cast("int")).withColumn("conflict_group", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0))).drop("_new")
+    order = ("start_ms", "end_ms", "pos")
+    rows = running(ranges, "_reach", F.col("end_ms"), F.col("start_ms"), order, own=False)
+    # Equal empty ranges stand together; one that has another before it opens no group.
+    point = F.col("start_ms") == F.col("end_ms")
+    again = point & (F.count(F.lit(1)).over(Window.partitionBy("media", "start_ms", "end_ms").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)) > 0)
+    new = F.col("_reach").isNull() | ((F.col("start_ms") >= F.col("_reach")) & ~again)
+    rows = running(rows.withColumn("_new", new.cast("int")), "conflict_group", F.col("_new"), F.col("start_ms"), order, F.sum, _added).drop("_new", "_reach")
     return rows.withColumn("conflict_size", F.count(F.lit(1)).over(Window.partitionBy("media", "conflict_group")))
 
 
