@@ -17,6 +17,8 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from marlstone.llm.shared import materialise
+
 # What the headers and short forms of well-known licences say.
 TEMPLATES: tuple[tuple[str, str], ...] = (
     ("MIT", "Released under the MIT License."),
@@ -96,12 +98,10 @@ def tokens(text: Column) -> Column:
     return F.transform(F.regexp_extract_all(text, F.lit(f"({TOKEN})"), F.lit(1)), F.lower)
 
 
-def weigh(files: DataFrame, text_col: str = "text") -> Weights:
-    """Counts over all files: how many there are, and how many have each template word (a few hundred rows at most)."""
-    listed = F.array(*map(F.lit, vocabulary()))
-    found = files.select(F.explode(F.array_append(F.coalesce(F.array_intersect(tokens(F.coalesce(text_col, F.lit(""))), listed), F.array()), F.lit(""))).alias("word"))
-    counts = {r["word"]: r["n"] for r in found.groupBy("word").agg(F.count(F.lit(1)).alias("n")).collect()}
-    return Weights(counts.pop("", 0), counts)
+def weigh(counted: DataFrame, n: int) -> Weights:
+    """Weights from the number of files and their (word, df), of which only the words of templates (a few thousand) come to the driver."""
+    listed = counted.sparkSession.createDataFrame([(w,) for w in vocabulary()], "word string")
+    return Weights(n, {r["word"]: r["df"] for r in counted.join(F.broadcast(listed), "word").collect()})
 
 
 def frequencies(files: DataFrame, text_col: str = "text") -> DataFrame:
@@ -129,25 +129,25 @@ def identified(lines: DataFrame, key: str) -> DataFrame:
     return found.select(key, F.struct(F.lit(1.0).alias("score"), F.lit(0).alias("form"), (-F.col("line")).alias("line"), F.lit(1).alias("place"), F.coalesce(F.try_element_at(known, F.lower(name)), name).alias("license")).alias("b"))
 
 
-def headers(files: DataFrame, weights: Weights, key: str, text_col: str = "text", threshold: float = THRESHOLD, name_col: str | None = None) -> DataFrame:
+def headers(files: DataFrame, weights: Weights, counted: DataFrame, key: str, text_col: str = "text", threshold: float = THRESHOLD, name_col: str | None = None) -> DataFrame:
     """(key, license, score) of each file that has a header: its most similar template, or its SPDX identifier.
 
-    Lines, blocks of lines and (by the file name in name_col) whole licence files are compared; ties go to lines, then blocks, then
-    the earlier one, then template.
+    counted: (word, df) over all files. Lines, blocks of lines and (by the file name in name_col) whole licence files are compared;
+    ties go to lines, then blocks, then the earlier one, then template.
     """
     spark = files.sparkSession
     has = F.col(text_col).rlike(ANCHOR)
     whole = F.col(name_col).rlike(LICENSE_FILE) if name_col else F.lit(False)
-    lines = files.where(has).select(key, F.inline(units(F.col(text_col), whole)))
+    lines = materialise(files.where(has).select(key, F.inline(units(F.col(text_col), whole))), "units")
     spread = lines.repartition(key, "form", "line").select(key, "form", "line", F.explode(tokens(F.col("said"))).alias("word"))
     tf = spread.groupBy(key, "form", "line", "word").agg(F.count(F.lit(1)).alias("tf"))
     columns = [f"t{i}" for i in range(len(weights.names))]
     table = [(w, weights.idf(w), *(v.get(w, 0.0) for v in weights.vectors)) for w in vocabulary()]
     known = spark.createDataFrame(table, f"word string, idf double, {', '.join(f'{c} double' for c in columns)}")
-    others = frequencies(files, text_col).join(F.broadcast(known.select("word")), "word", "left_anti")
+    others = counted.join(F.broadcast(known.select("word")), "word", "left_anti")
     # A word of no template has the weight of its own document frequency; one of `others` only if it occurs in a unit.
-    counted = F.log(F.lit(1.0 + weights.n) / (F.lit(1) + F.coalesce("df", F.lit(0)))) + 1
-    w = F.col("tf") * F.coalesce(F.col("idf"), counted)
+    own = F.log(F.lit(1.0 + weights.n) / (F.lit(1) + F.coalesce("df", F.lit(0)))) + 1
+    w = F.col("tf") * F.coalesce(F.col("idf"), own)
     # The table of template words is fixed and has a few thousand rows.
     sums = tf.join(F.broadcast(known), "word", "left").join(others, "word", "left").groupBy(key, "form", "line").agg(F.sqrt(F.sum(w * w)).alias("norm"), *(F.coalesce(F.sum(w * F.col(c)), F.lit(0.0)).alias(c) for c in columns))
     each = F.array(*(F.struct(F.round(F.col(c) / F.col("norm"), 9).alias("score"), F.lit(-i).alias("place"), F.lit(name).alias("license")) for i, (c, name) in enumerate(zip(columns, weights.names, strict=True))))
@@ -165,11 +165,12 @@ def scan(files: DataFrame, path_col: str = "path", id_col: str = "doc_id", text_
     header; a null path inherits nothing. The root directory is "". Rows are matched by a hash of id,
     path and text, so repeated ids, paths and rows are all returned. Other columns are ignored.
     """
-    weights = weigh(files, text_col)
+    counted = materialise(frequencies(files, text_col), "frequencies")
+    weights = weigh(counted, files.count())
     path = F.regexp_replace(F.col(path_col).cast("string"), "^/+", "")
     rows = files.select(F.col(id_col).alias("id"), path.alias("path"), F.xxhash64(F.col(id_col), path, F.col(text_col)).alias("row"), F.col(text_col).alias("text"))
     rows = rows.withColumn("dir", F.regexp_replace("path", "/?[^/]*$", "")).withColumn("name", F.regexp_extract("path", "[^/]*$", 0))
-    own = headers(rows.where("text IS NOT NULL"), weights, "row", "text", threshold, "name")
+    own = headers(rows.where("text IS NOT NULL"), weights, counted, "row", "text", threshold, "name")
     narrow = rows.drop("text").join(own, "row", "left")
     listed = narrow.where(F.col("name").rlike(LICENSE_FILE) & F.col("own_license").isNotNull())
     by_dir = listed.groupBy("dir").agg(F.min(F.struct((-F.col("own_score")).alias("s"), "path", "own_license")).alias("m")).select(F.col("dir").alias("license_dir"), F.col("m.own_license").alias("dir_license"))
