@@ -21,6 +21,7 @@ from pyspark.sql import types as T
 from marlstone.functions import guards
 from marlstone.functions.text import placed_regions, splice_all
 from marlstone.functions.unicode import _match, deletions, match_text, tokens_of
+from marlstone.operators.durable import durable
 from marlstone.operators.incremental import content_id
 from marlstone.operators.intervals import conflict_groups
 
@@ -229,6 +230,7 @@ def inventory(requests: DataFrame) -> DataFrame:
     merged = merged.withColumn("reasons", F.array_sort(F.concat("reasons", guards.all_reasons(more))))
     merged = merged.withColumn("alignment", F.when(F.size("how") > 1, "ambiguous").otherwise(F.col("how")[0])).drop("how", "anchor", "elsewhere")
     merged = merged.withColumn("support", F.size("lines").cast("long")).withColumn("candidate_id", content_id("c", "id", "start", "end", "replacement"))
+    merged = durable(merged, "candidates")  # what follows reads it several times
     grouped = conflict_groups(merged.withColumnsRenamed({"id": "media", "start": "start_ms", "end": "end_ms"}).withColumn("pos", F.col("candidate_id")))
     grouped = grouped.withColumnsRenamed({"media": "id", "start_ms": "start", "end_ms": "end"}).drop("pos")
     own = F.when(F.col("conflict_size") > 1, "conflicting").when(F.size("reasons") > 0, "diagnostic_only").otherwise("classifiable")

@@ -42,7 +42,7 @@ def running(rows: DataFrame, name: str, value: Column, at: Column, order: Sequen
 
     A window stays within one bucket of a media; what earlier (ahead: later) buckets come to is one row
     a bucket and joins it, so a long recording is many tasks. `at` is the time that the order begins with.
-    own: the row itself counts. Nulls don't count.
+    own: the row itself counts. Nulls don't count. Rows are read twice; write down what is costly to make.
     """
     first, last = (0 if own else 1, Window.unboundedFollowing) if ahead else (Window.unboundedPreceding, 0 if own else -1)
     outer = (1, Window.unboundedFollowing) if ahead else (Window.unboundedPreceding, -1)

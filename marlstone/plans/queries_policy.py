@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from marlstone.adapters import EMO, SEG, emotions, segments, table
+from marlstone.adapters import EMO, SEG, emotions, segments, spread, table
 from marlstone.functions import guards, policy, text, unicode
 from marlstone.operators import alignment, clustering, incremental, routing, select
 from marlstone.plans.queries_text import STRIP, WORDS
@@ -188,14 +188,14 @@ def q94_places(spark: SparkSession, d: str) -> DataFrame:
 FROM (SELECT doc_id, text, replace(lower(nfc_normalize(text)), 'ß', 'ss') AS k FROM documents)""")
 def q95_normal_forms(spark: SparkSession, d: str) -> DataFrame:
     """Texts as they are compared and as they are measured."""
-    return table(spark, d, "documents").select("doc_id", unicode.match_text("text").alias("match_key"), unicode.bare_text("text").alias("bare"), unicode.metric_text("text").alias("metric"), unicode.surface_key("text").alias("surface"))
+    return spread(table(spark, d, "documents").select("doc_id", "text")).select("doc_id", unicode.match_text("text").alias("match_key"), unicode.bare_text("text").alias("bare"), unicode.metric_text("text").alias("metric"), unicode.surface_key("text").alias("surface"))
 
 
 @query(r"""SELECT doc_id, len(regexp_extract_all(text, w)) AS words, len(regexp_extract_all(text, '[0-9]+')) AS numbers, length(regexp_replace(rest, '[^\pL\pN]', '', 'g')) AS letters, length(regexp_replace(rest, '[\pL\pN]', '', 'g')) AS marks, len(regexp_extract_all(text, w)) + len(regexp_extract_all(text, '[0-9]+')) + length(regexp_replace(rest, '[^\pL\pN]', '', 'g')) AS content
 FROM (SELECT doc_id, text, w, regexp_replace(regexp_replace(text, w, '', 'g'), '[0-9\s]', '', 'g') AS rest FROM documents, (VALUES ('[A-Za-z]+(?:[''’][A-Za-z]+)*')) AS v(w))""")
 def q96_tokens(spark: SparkSession, d: str) -> DataFrame:
     """Tokens by kind, and how many are content."""
-    rows = table(spark, d, "documents").select("doc_id", unicode.tokenize("text").alias("t"), unicode.content_keys("text").alias("c"))
+    rows = spread(table(spark, d, "documents").select("doc_id", "text")).select("doc_id", unicode.tokenize("text").alias("t"), unicode.content_keys("text").alias("c"))
     kind = lambda k: F.size(F.filter("t", lambda x: x["kind"] == k)).cast("long")
     return rows.select("doc_id", kind("word").alias("words"), kind("number").alias("numbers"), kind("cjk").alias("letters"), kind("punct").alias("marks"), F.size("c").cast("long").alias("content"))
 
