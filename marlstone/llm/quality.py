@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marlstone.llm.lang_id import held_out
-from marlstone.llm.shared import materialise, rows_of, sample_ids, tidy
+from marlstone.llm.shared import materialise, sample_ids, tidy
 
 #: Labelled rows that the network is fitted on at most (half of each label at most). Their texts are learned from as a whole.
 SAMPLE_ROWS = 2_000
@@ -223,14 +223,25 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> N
     """
     known = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     known = known.groupBy("doc_id").agg(F.min("quality").cast("int").alias("quality"))
-    # One narrow pass finds the ids and labels; the texts of the chosen rows come last.
+    # One narrow pass finds the ids and labels; the texts of the chosen rows come last, to one task.
     near = materialise(docs.select("doc_id").join(known, "doc_id").groupBy("doc_id").agg(F.min("quality").alias("quality")), "labelled")
-    net = Network()
+    spark = docs.sparkSession
     chosen = {i: q for q in (0, 1) for i in sample_ids(near.where(F.col("quality") == q), sample_rows // 2)}
-    rows = rows_of(docs.select("doc_id", "text"), list(chosen))
-    taken = [(r["text"], chosen[r["doc_id"]]) for r in rows.groupBy("doc_id").agg(F.min("text").alias("text")).orderBy("doc_id").collect()]
-    if taken:
-        net.train(taken)
+    listed = spark.createDataFrame(list(chosen.items()), "doc_id long, quality int")
+    rows = docs.select("doc_id", "text").join(F.broadcast(listed), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.min("quality").alias("quality"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        taken = sorted((i, t or "", q) for batch in batches for i, t, q in zip(*(c.to_pylist() for c in batch.columns), strict=True))
+        if taken:
+            net = Network()
+            net.train([(t, q) for _, t, q in taken])
+            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(net.w)], pa.binary())], names=["weights"])
+
+    # One task learns from the sample, with one thread as Spark sets it there; only the weights come back.
+    found = rows.repartition(1).mapInArrow(tidy(run), "weights binary").collect()
+    net = Network()
+    if found:
+        net.w = pickle.loads(found[0]["weights"])
     return net
 
 

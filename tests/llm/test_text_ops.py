@@ -320,7 +320,7 @@ def test_gradients_block_by_block(monkeypatch):
 
 
 def test_documents_with_two_labels_and_long_training_texts(spark):
-    rows = [(i, ("good words in a line " if i % 2 else "#!#! $$ %% ") * (20_000 if i < 2 else 8)) for i in range(60)]
+    rows = [(i, ("good words in a line " if i % 2 else "#!#! $$ %% ") * (3_000 if i < 2 else 8)) for i in range(60)]
     labels = [(i, i % 2) for i, _ in rows] + [(5, 0), (5, 1), (None, 1), (7, None), (999, 1)]
     net = quality.fit(docs(spark, rows), spark.createDataFrame(labels, "doc_id long, quality int"))
     got = {r["doc_id"]: r["score"] for r in quality.score(docs(spark, rows), net).collect()}
