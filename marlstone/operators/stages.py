@@ -113,6 +113,11 @@ def run_worker(jobs: DataFrame, model: str, finished: DataFrame, work: Work, sav
     return out
 
 
+def has_emotion(status: Column, emotion: Column, score: Column) -> Column:
+    """Whether a segment's emotion stands and need not be found again."""
+    return F.coalesce((status == "success") & (emotion != "") & score.isNotNull(), F.lit(False))
+
+
 def three_ways(segments: DataFrame, checkpoint: DataFrame, value: str) -> tuple[DataFrame, DataFrame]:
     """(rows that have their value, in themselves or from a checkpoint of the same id and fingerprint; rows that need work).
 

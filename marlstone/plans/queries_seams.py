@@ -5,14 +5,15 @@ from __future__ import annotations
 import json
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marlstone.adapters import EMO, SEG, emotions, segments, table
+from marlstone.adapters import EMO, SEG, emotions, segments, table, vectors
 from marlstone.config import Complexity
 from marlstone.functions import policy, text, unicode
-from marlstone.operators import alignment, incremental, routing, select, turns
+from marlstone.operators import alignment, clustering, incremental, routing, select, stages, turns
 from marlstone.operators.durable import durable, new_path
 from marlstone.plans.queries_text import STRIP, WORDS
 from marlstone.plans.registry import query
@@ -214,3 +215,71 @@ def q123_turns(spark: SparkSession, d: str) -> DataFrame:
     spoken = spoken.select("media", "pos", "word", "said", at.alias("start_ms"), (at + 190).alias("end_ms"), F.substring("who", F.col("word") + 1, F.lit(1)).alias("speaker"))
     cut = turns.split_segments(rows, spoken, sentences=True)
     return cut.select(F.col("media").alias("doc_id"), "part", "speaker", F.col("text").alias("said"))
+
+
+@query("""SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 1.5 WHEN 3 THEN 2.0 ELSE 0.0 END AS number, doc_id % 4 IN (1, 3) AS yes, doc_id % 3 = 0 AS within, 'a b' AS bare, doc_id % 5 = 0 AS done FROM documents""")
+def q124_predicates(spark: SparkSession, d: str) -> DataFrame:
+    """Lenient casts, subsets, trimmed white space of any script, and rows that are done."""
+    i = F.col("doc_id")
+    number = policy.lenient_double(F.when(i % 4 == 0, "1.5").when(i % 4 == 1, "x").when(i % 4 == 2, "").otherwise(" 2 "))
+    yes = policy.truthy(F.when(i % 4 == 0, "no").when(i % 4 == 1, " TRUE ").when(i % 4 == 2, F.lit(None)).otherwise("1"))
+    within = text.is_subset(F.when(i % 3 == 0, F.array(F.lit("L2"), F.lit("L1"))).otherwise(F.array(F.lit("L1"), F.lit("L9"))), F.array(F.lit("L1"), F.lit("L2"), F.lit("L3")))
+    bare = policy.strip(F.lit("　 a b \n\t"))
+    done = stages.has_emotion(F.when(i % 5 != 1, "success").otherwise("failed"), F.when(i % 5 != 2, F.when(i % 5 == 3, "").otherwise("sad")), F.when(i % 5 != 4, 0.5))
+    return table(spark, d, "documents").select("doc_id", number.alias("number"), yes.alias("yes"), within.alias("within"), bare.alias("bare"), done.alias("done"))
+
+
+@query("""SELECT 'm' || doc_id || '-00000' || (100 + doc_id % 50) || '-00000' || (900 + doc_id % 50) || ' m' || doc_id || ' 0.' || (100 + doc_id % 50) || ' 0.' || (900 + doc_id % 50) AS value, 64 AS digits FROM documents""")
+def q125_inputs(spark: SparkSession, d: str) -> DataFrame:
+    """Lines that speaker programs read, bound to the code that writes them."""
+    i = F.col("doc_id")
+    rows = table(spark, d, "documents").select(F.concat(F.lit("m"), i.cast("string")).alias("media"), (F.lit(100) + i % 50).alias("start_ms"), (F.lit(900) + i % 50).alias("end_ms"))
+    bound = incremental.implementation_digest(writers)
+    return writers.segment_list(rows).withColumn("digits", F.when(F.lit(bound).rlike("^[0-9a-f]{64}$"), F.length(F.lit(bound))))
+
+
+def by_sign(x: np.ndarray) -> np.ndarray:
+    """A clusterer that goes by the sign of the first component."""
+    return (x[:, 0] > 0).astype(int)
+
+
+@query("""SELECT label AS utt, vec_id AS key, CAST(embedding[1] > 0 AS INTEGER) AS cluster, 'sign' AS method FROM embeddings
+UNION ALL SELECT CAST(doc_id AS INTEGER), k, CASE WHEN k < 2 THEN 0 ELSE 1 END, 'linkage' FROM documents, (VALUES (0), (1), (2)) AS v(k)""")
+def q126_clusterers(spark: SparkSession, d: str) -> DataFrame:
+    """Vectors grouped by another clusterer, and by average linkage where the groups are plain."""
+    signs = clustering.cluster(vectors(table(spark, d, "embeddings")), by_sign).withColumn("method", F.lit("sign"))
+    made = table(spark, d, "documents").select(F.col("doc_id").cast("int").alias("utt"), F.posexplode(F.array(*(F.array(F.lit(a), F.lit(b)) for a, b in ((1.0, 0.0), (0.99, 0.1), (0.0, 1.0))))).alias("key", "vector"))
+    return signs.unionByName(clustering.cluster(made.withColumn("key", F.col("key").cast("long"))).withColumn("method", F.lit("linkage")))
+
+
+@query("""SELECT CAST(doc_id AS VARCHAR) AS id, CASE k WHEN 0 THEN 'hause' WHEN 1 THEN 'x' WHEN 2 THEN 'and' ELSE 'hause' END AS original, CASE k WHEN 1 THEN 'y' WHEN 2 THEN 'then' ELSE 'house' END AS replacement, CASE k WHEN 0 THEN 'classifiable' WHEN 3 THEN 'over_capacity' ELSE 'diagnostic_only' END AS status,
+CASE k WHEN 1 THEN 'one_sided' WHEN 2 THEN 'one_sided' ELSE 'two_sided' END AS alignment, CASE k WHEN 0 THEN 'L01,L02' ELSE 'L01' END AS lines, CASE k WHEN 1 THEN 'weak_one_sided_anchor' WHEN 2 THEN 'relocated_existing_text' ELSE '' END AS reasons FROM (SELECT doc_id, doc_id % 4 AS k FROM documents)""")
+def q127_inventories(spark: SparkSession, d: str) -> DataFrame:
+    """Candidates of requests whose gaps are known: merged lines, weak anchors, moved text and capacity."""
+    i = F.col("doc_id")
+    line = lambda k, said: F.struct(F.lit(f"L0{k}").alias("line_id"), said.alias("text"))
+    heard = F.when(i % 4 == 1, "a b x").when(i % 4 == 2, "so it goes and then it goes").otherwise("we like the red hause on the hill")
+    house = F.lit("we like the red house on the hill")
+    lines = F.when(i % 4 == 0, F.array(line(2, house), line(1, house))).when(i % 4 == 1, F.array(line(1, F.lit("a b y")))).when(i % 4 == 2, F.array(line(1, F.lit("so it goes then")))).otherwise(F.array(line(1, house), line(2, F.repeat(F.lit("z"), F.lit(25_000)))))
+    found = alignment.inventory(table(spark, d, "documents").select(i.cast("string").alias("id"), heard.alias("heard"), lines.alias("lines")))
+    return found.select("id", "original", "replacement", "status", "alignment", F.array_join("lines", ",").alias("lines"), F.array_join("reasons", ",").alias("reasons"))
+
+
+@query("""SELECT doc_id AS media, k AS rank, 'L0' || k AS line_id, CASE k WHEN 1 THEN 'same words' ELSE 'zzz' END AS line, CASE k WHEN 1 THEN 1.0 ELSE 0.0 END AS lexical, CASE k WHEN 1 THEN 'lexical' ELSE 'subtitle_candidate' END AS selection FROM documents, (VALUES (1), (2)) AS v(k)""")
+def q128_evidence(spark: SparkSession, d: str) -> DataFrame:
+    """Evidence lines whose likeness is known: noise and repeated lines go."""
+    said = F.array(*map(F.lit, ("http://x.org", "zzz", "same words", "SAME  words", "12:30")))
+    rows = table(spark, d, "documents").select(F.col("doc_id").alias("media"), F.lit("Same words!").alias("heard"), F.posexplode(said).alias("pos", "line"))
+    return select.evidence(rows).select("media", "rank", "line_id", "line", "lexical", "selection")
+
+
+@query("""SELECT doc_id AS media, k AS id, CASE k WHEN 0 THEN 'A' ELSE 'B' END AS speaker, CASE k WHEN 0 THEN 'So we go.' ELSE 'Now you do' END AS text, CASE k WHEN 0 THEN 0 ELSE 595 END AS start_ms, CASE k WHEN 0 THEN 595 ELSE 1190 END AS end_ms FROM documents, (VALUES (0), (1)) AS v(k)""")
+def q129_assigned(spark: SparkSession, d: str) -> DataFrame:
+    """The whole assignment where it is known: words to spans, changes to the sentence's end, parts to speakers."""
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("media"))
+    long = lambda x: F.lit(x).cast("long")
+    rows = docs.select("media", long(0).alias("pos"), F.lit("So we go. Now you do").alias("text"), long(0).alias("start_ms"), long(1190).alias("end_ms"))
+    words = docs.select("media", long(0).alias("pos"), F.posexplode(F.array(*map(F.lit, ("So", "we", "go.", "Now", "you", "do")))).alias("word", "said"))
+    words = words.withColumn("start_ms", (F.col("word") * 200).cast("long")).withColumn("end_ms", F.col("start_ms") + 190)
+    spans = docs.select("media", F.posexplode(F.array(F.lit("A"), F.lit("B"))).alias("pos", "speaker")).select("media", F.col("pos").cast("long").alias("pos"), "speaker", F.when(F.col("pos") == 0, long(0)).otherwise(long(395)).alias("start_ms"), F.when(F.col("pos") == 0, long(395)).otherwise(long(1190)).alias("end_ms"))
+    return turns.assign_speakers(rows, words, spans).select("media", "id", "speaker", "text", "start_ms", "end_ms")
