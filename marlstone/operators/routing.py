@@ -16,12 +16,12 @@ def route_segments(segments: DataFrame, source: str, target: str, complexity: Co
     """Segments with languages, emotion, engine and complexity.
 
     segments: media, pos, text, start, end (seconds), label, score; optional id, speaker, reliable,
-    source_lang. A reliable flag, if there, decides over the score. A range that doesn't move ahead
+    source_lang. A reliable flag, if there, decides over the score. Lengths count to the microsecond. A range that doesn't move ahead
     raises. Other columns stay.
     """
     has = lambda c: c in segments.columns
     lang = policy.normalize_language(F.lit(target))
-    by_score = policy.normalize_emotion(F.col("label"), F.col("score"), F.col("end") - F.col("start"), emotion)
+    by_score = policy.normalize_emotion(F.col("label"), F.col("score"), policy.seconds_between(F.col("start"), F.col("end")), emotion)
     mood = F.when(F.col("reliable").isNull(), by_score).when(F.col("reliable"), policy.emotion_label(F.col("label"))).otherwise("neutral") if has("reliable") else by_score
     bad = F.raise_error(F.format_string("segment %s has no range", F.col("pos").cast("string")))
     rows = segments.withColumn("end", F.when(F.col("end") > F.col("start"), F.col("end")).otherwise(bad)).withColumn("text", policy.strip(F.coalesce("text", F.lit(""))))

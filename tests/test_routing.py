@@ -93,3 +93,14 @@ def test_measured_choice(spark):
     empty = spark.createDataFrame([], "fingerprint string, measured double")
     best = {r["pos"]: (r["idx"], r["status"]) for r in select.closest_duration(clients.measure(cand, empty, Engine, "fake-1")).collect()}
     assert best == {0: (1, "success"), 1: (0, "fallback")}
+
+
+def _short(spark):
+    kind = "media long, pos long, text string, start double, end double, label string, score double, speaker string"
+    return spark.createDataFrame([(1, 0, "hi", 15.6, 16.4, "anger", 0.9, "a"), (1, 1, "hi", 15.6, 16.399, "anger", 0.9, "a")], kind)
+
+
+def test_eight_tenths_of_a_second_are_not_short(spark):
+    """16.4 - 15.6 is less than 0.8 in binary."""
+    got = [(r["emotion"], r["engine"]) for r in routing.route_segments(_short(spark), "zh", "en").orderBy("pos").collect()]
+    assert got == [("angry", "indextts2"), ("neutral", "f5tts")]
