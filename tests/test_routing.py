@@ -104,3 +104,11 @@ def test_eight_tenths_of_a_second_are_not_short(spark):
     """16.4 - 15.6 is less than 0.8 in binary."""
     got = [(r["emotion"], r["engine"]) for r in routing.route_segments(_short(spark), "zh", "en").orderBy("pos").collect()]
     assert got == [("angry", "indextts2"), ("neutral", "f5tts")]
+
+
+def test_jobs_of_segments_at_the_least_length(spark):
+    """The planned engine of a segment of 0.8 s is that of its emotion, and so are its file and its next engine."""
+    none = spark.createDataFrame([], "media long, speaker string, ref_audio string, ref_text string")
+    made = routing.next_jobs(routing.jobs(routing.route_segments(_short(spark), "zh", "en"), none))
+    got = [(r["planned_engine"], r["model"], r["file"]) for r in made.orderBy("id").collect()]
+    assert got == [("indextts2", "f5tts", "segment_0_indextts2.wav"), ("f5tts", "cosyvoice3", "segment_1_f5tts.wav")]
