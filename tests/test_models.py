@@ -120,6 +120,27 @@ def test_blocks_are_those_of_difflib():
         assert alignment.matching_blocks(a, b, small=int(rng.choice([0, 30]))) == want
 
 
+def test_blocks_of_two_or_more_are_those_of_difflib():
+    rng = np.random.default_rng(4)
+    for _ in range(200):
+        a, b = ([str(x) for x in rng.integers(0, 6, int(rng.integers(0, 60)))] for _ in range(2))
+        want = [(m.a, m.b, m.size) for m in difflib.SequenceMatcher(None, a, b, autojunk=False).get_matching_blocks() if m.size >= 2]
+        for small in (0, 10, 10_000):
+            assert alignment.matching_blocks(a, b, small=small, least=2) == want
+
+
+def test_texts_meet_their_candidates_once(spark):
+    """The inventory follows from a request's row alone, and decisions join texts with an array of candidates."""
+    lines = [("L01", "we like the red house on the hill")]
+    df = spark.createDataFrame([("1", "we like the red hause on the hill", lines)], "id string, heard string, lines array<struct<line_id:string,text:string>>")
+    plan = lambda x: x._jdf.queryExecution().optimizedPlan().toString()
+    found = alignment.inventory(df)
+    assert not any(x in plan(found) for x in ("Join", "Window", "Aggregate"))
+    decided = alignment.decide(df, found)
+    assert plan(decided).count("Join") == 1
+    assert [tuple(r) for r in decided.collect()] == [("1", "we like the red house on the hill", True, 1, ["accepted"])]
+
+
 def test_gaps_of_anchored_texts(spark):
     cut = lambda heard, line: [(g[2], g[3], *g[4:]) for g in alignment.gaps(heard, line)]
     assert cut("we like the red hause on the hill", "we like the red house on the hill") == [("hause", "house", "replace", "two_sided", 0, [])]
