@@ -141,6 +141,17 @@ def test_texts_meet_their_candidates_once(spark):
     assert [tuple(r) for r in decided.collect()] == [("1", "we like the red house on the hill", True, 1, ["accepted"])]
 
 
+def test_equal_lines_are_aligned_once(monkeypatch):
+    calls, plain = [], alignment._gaps
+    monkeypatch.setattr(alignment, "_gaps", lambda a, b: calls.append(b.text) or plain(a, b))
+    line = lambda k, t: {"line_id": f"L0{k}", "text": t}
+    house, mouse = "we like the red house on the hill", "we like the red mouse on the hill"
+    found = alignment.enumerate_candidates("we like the red hause on the hill", [line(1, house), line(2, house), line(3, mouse)])
+    assert calls == [house, mouse] and [(c["replacement"], c["lines"]) for c in found] == [("house", ["L01", "L02"]), ("mouse", ["L03"])]
+    alignment.mark_conflicts(found)
+    assert [(c["conflict_group"], c["conflict_size"]) for c in found] == [(1, 2), (1, 2)]
+
+
 def test_gaps_of_anchored_texts(spark):
     cut = lambda heard, line: [(g[2], g[3], *g[4:]) for g in alignment.gaps(heard, line)]
     assert cut("we like the red hause on the hill", "we like the red house on the hill") == [("hause", "house", "replace", "two_sided", 0, [])]
