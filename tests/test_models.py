@@ -7,6 +7,7 @@ import re
 import unicodedata
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from marlstone.config import Turns
@@ -129,6 +130,38 @@ def test_blocks_of_two_or_more_are_those_of_difflib():
             assert alignment.matching_blocks(a, b, small=small, least=2) == want
 
 
+def test_blocks_of_many_texts_at_once_are_those_of_difflib(monkeypatch):
+    """Runs don't go over from one pair of texts to the next, whether a pair repeats much or little."""
+    rng = np.random.default_rng(5)
+    for small in (0, 5, 8_000):
+        monkeypatch.setattr(alignment, "SMALL", small)
+        for _ in range(60):
+            sides = [[rng.integers(0, int(rng.integers(1, 9)), int(rng.integers(0, 90))).astype(np.uint64) for _ in range(8)] for _ in range(2)]
+            ends = [np.cumsum([0, *map(len, side)]) for side in sides]
+            want = []
+            for k, (a, b) in enumerate(zip(*sides, strict=True)):
+                found = difflib.SequenceMatcher(None, a.tolist(), b.tolist(), autojunk=False).get_matching_blocks()
+                want += [[m.a + int(ends[0][k]), m.b + int(ends[1][k]), m.size] for m in found if m.size >= 2]
+            cells = np.stack([ends[0][:-1], ends[0][1:], ends[1][:-1], ends[1][1:]], 1)
+            assert alignment._common(*map(np.concatenate, sides), cells, 2).tolist() == want
+
+
+def test_texts_are_aligned_together(spark, monkeypatch):
+    """Requests of one batch are aligned by one call, each as it would be alone."""
+    heard, line = "we like the red hause on the hill", "we like the red house on the hill"
+    texts = [(heard, line), ("see the old mill, see the", "see the old mill, see a"), (heard.upper(), "Wir mögen das rote Haus"), ("", line), (heard, heard), ("die mögen das Haus am see", "die mögen das Hans am see")]
+    alone = [alignment.gaps(*x) for x in texts]
+    assert [len(x) for x in alone] == [1, 1, 0, 0, 0, 1] and alignment.all_gaps(texts) == alone
+    df = spark.createDataFrame([(str(k), h, [("L01", x)]) for k, (h, x) in enumerate(texts)], "id string, heard string, lines array<struct<line_id:string,text:string>>").coalesce(1)
+    got = {r["id"]: (r["start"], r["end"], r["original"], r["replacement"]) for r in alignment.inventory(df).collect()}
+    assert got == {str(k): x[0][:4] for k, x in enumerate(alone) if x}
+    asked = lambda n: (n, "a" * 40, [{"line_id": "L01", "text": "a" * 40}])
+    batch = lambda *n: pa.RecordBatch.from_pylist([dict(zip(("id", "heard", "lines"), asked(x), strict=True)) for x in n])
+    for most, want in ((1000, [["1", "2", "3"]]), (160, [["1", "2"], ["3"]]), (10, [["1"], ["2"], ["3"]])):
+        monkeypatch.setattr(alignment, "MOST_CHARS", most)
+        assert [[r[0] for r in x] for x in alignment._together(iter([batch("1", "2"), batch("3")]))] == want
+
+
 def test_texts_meet_their_candidates_once(spark):
     """The inventory follows from a request's row alone, and decisions join texts with an array of candidates."""
     lines = [("L01", "we like the red house on the hill")]
