@@ -40,6 +40,11 @@ def scratch_path(spark: SparkSession, tag: str) -> str:
     return f"{shared_dir(spark)}/marlstone/{tag}-{uuid.uuid4().hex}"
 
 
+#: Where the shared folder is a local one, Hadoop starts `chmod` four times for a file with its .crc beside it and once
+#: without; until such a child has begun, the whole JVM's memory seems to be its own as well. Other stores ignore this.
+_PLAIN_FILES = {"fs.file.impl": "org.apache.hadoop.fs.RawLocalFileSystem", "fs.file.impl.disable.cache": "true"}
+
+
 def materialise(df: DataFrame, tag: str, paths: list[str] | None = None) -> DataFrame:
     """Write `df` as a Parquet table in the shared folder and read it back; its path is added to `paths`.
 
@@ -47,7 +52,7 @@ def materialise(df: DataFrame, tag: str, paths: list[str] | None = None) -> Data
     """
     spark = df.sparkSession
     path = scratch_path(spark, tag)
-    df.write.parquet(path)
+    df.write.options(**_PLAIN_FILES).parquet(path)
     if paths is not None:
         paths.append(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -1,8 +1,9 @@
 """Exact and near deduplication against brute force."""
 
+import os
 import random
 
-from marlstone.llm import exact_dedup, near_dedup
+from marlstone.llm import exact_dedup, near_dedup, shared
 
 KIND = "doc_id long, text string, rank string, n long"
 
@@ -169,3 +170,15 @@ def test_components_of_random_graphs(spark):
         parent[b] = a
     got = {r["id"]: r["comp"] for r in near_dedup.components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {i: find(i) for e in edges for i in e}
+
+
+def test_tables_between_steps_have_no_side_files(spark):
+    """Each file with a .crc beside it starts `chmod` four times in an executor on a local shared folder."""
+    paths = []
+    made = shared.materialise(spark.range(1000).repartition(4), "plain", paths)
+    names = os.listdir(paths[0].removeprefix("file://"))
+    assert sum(n.startswith("part-") for n in names) == 4
+    assert not [n for n in names if n.endswith(".crc")]
+    assert sorted(r["id"] for r in made.collect()) == list(range(1000))
+    shared.drop_tables(spark, paths)
+    assert not paths
